@@ -97,13 +97,11 @@ def erase_type_text(t, levels: int = 8) -> Column:
     ``levels`` is the deepest generic nesting removed pass by pass; deeper text is cut at its first '<'.
     """
     x = F.regexp_replace(F.trim(_c(t)), r"\s+", " ")
-    x = F.when(x.startswith("?"), F.coalesce(
-        F.nullif(F.regexp_extract(x, r"^\?\s*extends\s+(.*)\z", 1), F.lit("")),
-        F.lit("java.lang.Object"))).otherwise(x)
     for _ in range(levels):
         x = F.regexp_replace(x, r"<[^<>]*>", "")
     x = F.regexp_replace(x, r"<.*>", "")
-    return F.regexp_replace(F.regexp_replace(x, r"\s*\.\.\.\s*\z", "[]"), r"\s+", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\s*\.\.\.\s*\z", "[]"), r"\s+", "")
+    return F.when(F.trim(_c(t)).startswith("?"), "java.lang.Object").otherwise(x)
 
 
 def relative_path(root, path) -> Column:

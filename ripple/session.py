@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -38,13 +39,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", bucket_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and continue from the written table.
 
     The table survives executor loss, ends the lineage, and gives the planner exact sizes, so a later
-    join broadcasts it only when it really is small.
+    join broadcasts it only when it really is small. With ``bucket_by`` the table is laid out by those
+    columns once, and later joins on them do not shuffle it again.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/ripple-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    token = f"ripple_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{scratch_root(spark)}/{token}"
+    if bucket_by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, *bucket_by).write.bucketBy(n, *bucket_by).sortBy(*bucket_by)
+     .option("path", path).format("parquet").saveAsTable(token))
+    return spark.table(token)
