@@ -1,6 +1,6 @@
 """DuckDB SQL twins of the registered queries, written against the same tables."""
 
-from ripple.sources.warehouse import BASE_END, HEAD_START
+from ripple.sources.warehouse import BASE_END, HEAD_START, PART_SPAN
 
 ORD = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate"
 RANK = "CASE {} WHEN 'exact' THEN 0 WHEN 'single_impl' THEN 1 WHEN 'regex' THEN 2 WHEN 'ambiguous' THEN 3 END"
@@ -17,13 +17,12 @@ def pf(p):
 
 
 LINES = f"""
-li AS (
+li AS (SELECT *, w = lead_w AS is_lead, lead_w % {PART_SPAN} AS lead_part FROM (
+  SELECT *, max(w) OVER (PARTITION BY l_orderkey) AS lead_w FROM (
   SELECT 'r'||c_nationkey AS repo_id, l.*, o_orderdate, o_orderpriority,
     o_orderdate < TIMESTAMP '{BASE_END}' AS in_base, o_orderdate >= TIMESTAMP '{HEAD_START}' AS in_head,
-    rank() OVER w = 1 AS is_lead, first_value(l_partkey) OVER w AS lead_part, first_value(l_suppkey) OVER w AS lead_supp
-  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC,
-               l_linenumber DESC, l_quantity DESC))"""
+    ((l_partkey * 7919 + l_orderkey * 104729) % 1000003) * {PART_SPAN} + l_partkey AS w
+  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)))"""
 
 NODE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'route:GET /o/'||l_orderkey WHEN '2-HIGH' THEN 'route:POST /o/'||l_orderkey
   WHEN '3-MEDIUM' THEN 'job:com.acme.O'||l_orderkey||'#run()' WHEN '4-NOT SPECIFIED' THEN 'listener:kafka:o'||l_orderkey
@@ -50,7 +49,7 @@ raw_{v} AS (
   UNION ALL
   SELECT {gv}, repo_id, {NODE}, {pk('lead_part')},
     CASE WHEN o_orderpriority IN ('3-MEDIUM','4-NOT SPECIFIED') THEN 'triggers' ELSE 'handles' END,
-    lead_supp % 2 = 0, 'exact', NULL, {pf('lead_part')}, 0, {ORD} FROM li WHERE in_{v} AND is_lead
+    lead_part % 2 = 0, 'exact', NULL, {pf('lead_part')}, 0, {ORD} FROM li WHERE in_{v} AND is_lead
   UNION ALL
   SELECT {gv}, repo_id, 'entity:com.acme.S'||l_suppkey, 'table:nation_'||s_nationkey, 'maps_to', true,
     CASE WHEN s_acctbal > 5000 THEN 'exact' ELSE 'single_impl' END, NULL, {pf('l_partkey')}, 0, {ORD}

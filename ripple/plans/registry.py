@@ -24,117 +24,127 @@ def sites_text(c):
     return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["file_path"], x["line"].cast("string"))), ";")
 
 
-def touched(spark, d):
-    return diff.touched_files(wh.name_status(spark, d))
+def changes(fl):
+    files = cut(diff.touched_files(fl.name_status), "touched")
+    return analyze.detect(fl.analyses, fl.function_versions("base"), fl.function_versions("head"), files)
 
 
-def changes(spark, d):
-    files = cut(touched(spark, d), "touched")
-    return analyze.detect(wh.analyses(spark, d), wh.function_versions(spark, d, "base"),
-                          wh.function_versions(spark, d, "head"), files)
-
-
-def changed_roots(spark, d):
-    return cut(analyze.roots_of(changes(spark, d)), "roots")
+def changed_roots(fl):
+    return cut(analyze.roots_of(changes(fl)), "roots")
 
 
 @query
 def touched_files(spark, d):
-    return touched(spark, d)
+    fl = wh.Fleet(spark, d, staged=False)
+    return diff.touched_files(fl.name_status)
 
 
 @query
 def changed_functions(spark, d):
-    return changes(spark, d).select("analysis_id", "function_key", "change_kind",
+    fl = wh.Fleet(spark, d)
+    return changes(fl).select("analysis_id", "function_key", "change_kind",
                                     F.coalesce("head.file_path", "base.file_path").alias("file_path"))
 
 
 @query
 def signature_diff(spark, d):
-    return changes(spark, d).select(
+    fl = wh.Fleet(spark, d)
+    return changes(fl).select(
         "analysis_id", "function_key", "base_signature", "head_signature", "return_type_changed", "visibility_changed",
         "params_changed", F.size("throws_added").alias("throws_added"), "signature_compatible")
 
 
 @query
 def edge_collapse(spark, d):
-    return wh.edges(spark, d, "base").select(
+    fl = wh.Fleet(spark, d, staged=False)
+    return fl.edges("base").select(
         F.col("graph_version_id").alias("gv"), "src", "dst", "type", "inferred", "confidence", "reason",
         sites_text("call_sites").alias("call_sites"))
 
 
 @query
 def surface_collapse(spark, d):
+    fl = wh.Fleet(spark, d, staged=False)
     attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return wh.surfaces(spark, d, "base").select(F.col("graph_version_id").alias("gv"), "repo_id", "key", "kind",
+    return fl.surfaces("base").select(F.col("graph_version_id").alias("gv"), "repo_id", "key", "kind",
                                                 attrs.alias("attrs"))
 
 
 @query
 def adjacency(spark, d):
     """Incoming and outgoing code edges of every changed function."""
-    keys = changed_roots(spark, d).select(F.col("gv").alias("graph_version_id"), "node")
-    e = cut(wh.edges(spark, d, "base"), "edges")
+    fl = wh.Fleet(spark, d)
+    keys = changed_roots(fl).select(F.col("gv").alias("graph_version_id"), "node")
+    e = fl.base_edges
     shown = lambda df, side: df.select(F.lit(side).alias("side"), F.col("graph_version_id").alias("gv"), "src", "dst", "type")
     return shown(walk.incoming(e, keys, REVERSE_TYPES), "in").unionByName(shown(walk.outgoing(e, keys), "out"))
 
 
 @query
 def direct_callers(spark, d):
-    ranked, _ = walk.direct_callers(changed_roots(spark, d), cut(wh.edges(spark, d, "base"), "edges"), 5)
+    fl = wh.Fleet(spark, d)
+    ranked, _ = walk.direct_callers(changed_roots(fl), fl.base_edges, 5)
     return ranked.select("root_id", *big("position", "hops", "line"), "key", "display_name", "file_path", "usage",
                          "signature_compatible", "confidence", "inferred")
 
 
 @query
 def direct_caller_totals(spark, d):
-    _, totals = walk.direct_callers(changed_roots(spark, d), cut(wh.edges(spark, d, "base"), "edges"), 5)
+    fl = wh.Fleet(spark, d)
+    _, totals = walk.direct_callers(changed_roots(fl), fl.base_edges, 5)
     return totals.select("root_id", *big("caller_total", "ambiguous_callers"), "truncated")
 
 
 @query
 def level_walk_reverse(spark, d):
-    return walk.level_walk(changed_roots(spark, d), wh.edges(spark, d, "base")).select(
+    fl = wh.Fleet(spark, d)
+    return walk.level_walk(changed_roots(fl), fl.edges("base")).select(
         "root_id", "node", *big("depth", "rank"), "inferred")
 
 
 @query
 def level_walk_forward(spark, d):
-    return walk.level_walk(changed_roots(spark, d), wh.edges(spark, d, "base"), "forward").select(
+    fl = wh.Fleet(spark, d)
+    return walk.level_walk(changed_roots(fl), fl.edges("base"), "forward").select(
         "root_id", "node", *big("depth", "rank"), "inferred")
 
 
 @query
 def walk_meta(spark, d):
-    hops = walk.prepare_hops(wh.edges(spark, d, "base"), "reverse")
-    visited = walk.level_walk(changed_roots(spark, d), hops)
+    fl = wh.Fleet(spark, d)
+    hops = walk.prepare_hops(fl.edges("base"), "reverse")
+    visited = walk.level_walk(changed_roots(fl), hops)
     return walk.walk_meta(visited, hops).select("root_id", *big("max_depth", "nodes_visited"), "depth_cap_hit")
 
 
 @query
 def entrypoints(spark, d):
-    e = cut(wh.edges(spark, d, "base"), "edges")
-    visited = walk.level_walk(changed_roots(spark, d), e)
-    return walk.entrypoints(visited, e, wh.surfaces(spark, d, "base")).select(
+    fl = wh.Fleet(spark, d)
+    e = fl.base_edges
+    visited = walk.level_walk(changed_roots(fl), e)
+    return walk.entrypoints(visited, e, fl.surfaces("base")).select(
         "root_id", "key", "kind", *big("min_hops"), "via_inferred_edge")
 
 
 @query
 def data_surfaces(spark, d):
-    e = cut(wh.edges(spark, d, "base"), "edges")
-    visited = walk.level_walk(changed_roots(spark, d), e, "forward")
+    fl = wh.Fleet(spark, d)
+    e = fl.base_edges
+    visited = walk.level_walk(changed_roots(fl), e, "forward")
     return walk.data_surfaces(visited, e).drop("gv")
 
 
 @query
 def now_depends_on(spark, d):
-    return walk.now_depends_on(changed_roots(spark, d), wh.edges(spark, d, "head"),
-                               wh.edges(spark, d, "base")).drop("gv")
+    fl = wh.Fleet(spark, d)
+    return walk.now_depends_on(changed_roots(fl), fl.edges("head"),
+                               fl.edges("base")).drop("gv")
 
 
 @query
 def ambiguous_on_path(spark, d):
-    roots, e = changed_roots(spark, d), cut(wh.edges(spark, d, "base"), "edges")
+    fl = wh.Fleet(spark, d)
+    roots, e = changed_roots(fl), fl.base_edges
     totals = walk.caller_totals(walk.all_callers(roots, e))
     data = walk.data_surfaces(walk.level_walk(roots, e, "forward"), e)
     return walk.ambiguous_on_path(totals, data, roots).select("root_id", *big("ambiguous_edges_on_path"))
@@ -143,7 +153,8 @@ def ambiguous_on_path(spark, d):
 @query
 def reverse_reachable(spark, d):
     """Everything that can reach any table of its repository, over every edge type."""
-    e = cut(wh.edges(spark, d, "base"), "edges")
+    fl = wh.Fleet(spark, d, staged=False)
+    e = fl.base_edges
     roots = e.filter("type = 'maps_to'").select(
         F.col("graph_version_id").alias("root_id"), F.col("graph_version_id").alias("gv"), F.col("dst").alias("node"))
     return walk.reverse_reachable(roots, e).select("gv", "node", *big("distance"))
@@ -152,15 +163,17 @@ def reverse_reachable(spark, d):
 @query
 def method_diffs(spark, d):
     """The diff text of every changed function, limited to the hunks that touch it."""
-    c = changes(spark, d)
+    fl = wh.Fleet(spark, d)
+    c = changes(fl)
     ranges = c.select("analysis_id", "function_key", F.coalesce("head.file_path", "base.file_path").alias("file_path"),
                       *[F.col(f"{s}.{x}_line").alias(f"{s}_{x}") for s in ("base", "head") for x in ("start", "end")])
-    return diff.method_diffs(diff.diff_hunks(wh.diff_texts(spark, d)), cut(ranges, "ranges"), 6)
+    return diff.method_diffs(diff.diff_hunks(fl.diff_texts), cut(ranges, "ranges"), 6)
 
 
 @query
 def diff_hunks(spark, d):
-    h = diff.diff_hunks(wh.diff_texts(spark, d))
+    fl = wh.Fleet(spark, d, staged=False)
+    h = diff.diff_hunks(fl.diff_texts)
     return h.select("analysis_id", "file_path", *big("hunk_no", "old_start", "old_end", "new_start", "new_end"),
                     F.array_join("lines", "|").alias("lines"))
 
@@ -172,15 +185,16 @@ def is_ancestor(spark, d):
 
 
 def whole_analysis(spark, d):
-    texts = diff.diff_hunks(wh.diff_texts(spark, d))
-    c = cut(changes(spark, d), "changes")
+    fl = wh.Fleet(spark, d)
+    texts = diff.diff_hunks(fl.diff_texts)
+    c = cut(changes(fl), "changes")
     ranges = c.select("analysis_id", "function_key", F.coalesce("head.file_path", "base.file_path").alias("file_path"),
                       *[F.col(f"{s}.{x}_line").alias(f"{s}_{x}") for s in ("base", "head") for x in ("start", "end")])
-    base = cut(wh.edges(spark, d, "base"), "edges")
+    base = fl.base_edges
     rates = base.groupBy(F.col("graph_version_id").alias("id")).agg(
         (F.count_if(F.col("type") == "unresolved") / F.count_if(F.col("type").isin("calls", "unresolved")))
         .alias("unresolved_rate"))
-    return analyze.Analysis(wh.analyses(spark, d), c, base, wh.edges(spark, d, "head"), wh.surfaces(spark, d, "base"),
+    return analyze.Analysis(fl.analyses, c, base, fl.edges("head"), fl.surfaces("base"),
                             source_diffs=diff.method_diffs(texts, ranges), versions=rates, caller_cap=5)
 
 

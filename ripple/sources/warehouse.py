@@ -1,19 +1,21 @@
 """Adapter: the shared order/part tables read as a fleet of repositories.
 
-One repository per customer nation. A part inside a repository is a function; the dearest line of an
+One repository per customer nation. A part inside a repository is a function; the leading part of an
 order is the function every other line of that order calls (so popular parts become hubs); an order is
 an entry point; a supplier is an entity. The base snapshot is the orders before BASE_END, the head
 snapshot the orders from HEAD_START on. Every row of the tables takes part, nothing is sampled.
 """
 
-from functools import lru_cache, reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ripple.operators.collapse import collapse_edges, collapse_surfaces
+from ripple.session import cut
 
 BASE_END = "2001-01-01"
 HEAD_START = "1995-07-01"
+PART_SPAN = 100_000_000_000  # larger than any part number
 VERBS = ["find", "get", "save", "delete", "count", "run"]
 ORDINAL = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
            "l_shipdate"]
@@ -43,23 +45,24 @@ def part_file(p):
     return F.concat(F.lit("src/main/java/com/acme/P"), p.cast("string"), F.lit(".java"))
 
 
-@lru_cache(maxsize=64)
 def lines(spark, d) -> DataFrame:
-    """Line items with their repository, snapshot membership and the leading line of their order."""
+    """Line items with their repository, snapshot membership and the leading part of their order.
+
+    The leading part maximises an order-dependent number, so calls point both up and down the part list.
+    """
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    items = table(spark, d, "lineitem")
-    lead = items.groupBy("l_orderkey").agg(F.max(F.struct(
-        "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")).alias("lead"))
+    weight = F.expr(f"((l_partkey * 7919 + l_orderkey * 104729) % 1000003) * {PART_SPAN} + l_partkey")
+    items = table(spark, d, "lineitem").withColumn("weight", weight)
+    lead = items.groupBy("l_orderkey").agg(F.max("weight").alias("lead_weight"))
     located = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("r"), F.col("c_nationkey")).alias("repo_id"),
         "o_orderdate", "o_orderpriority",
         (F.col("o_orderdate") < F.lit(BASE_END).cast("timestamp")).alias("in_base"),
         (F.col("o_orderdate") >= F.lit(HEAD_START).cast("timestamp")).alias("in_head"))
-    mine = F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return (items.join(lead, "l_orderkey").join(located, "l_orderkey")
-            .withColumn("is_lead", mine == F.col("lead")).withColumn("lead_part", F.col("lead.l_partkey"))
-            .withColumn("lead_supp", F.col("lead.l_suppkey")).drop("lead"))
+            .withColumn("is_lead", F.col("weight") == F.col("lead_weight"))
+            .withColumn("lead_part", F.col("lead_weight") % PART_SPAN).drop("weight", "lead_weight"))
 
 
 def in_version(df: DataFrame, version: str) -> DataFrame:
@@ -112,7 +115,7 @@ def order_edges(li: DataFrame, version: str) -> DataFrame:
     p = F.col("o_orderpriority")
     etype = F.when(p.isin("3-MEDIUM", "4-NOT SPECIFIED"), "triggers").otherwise("handles")
     return in_version(li, version).filter("is_lead").select(*_edge(
-        gv_of(version), order_node(), part_key(F.col("lead_part")), etype, F.col("lead_supp") % 2 == 0,
+        gv_of(version), order_node(), part_key(F.col("lead_part")), etype, F.col("lead_part") % 2 == 0,
         F.lit("exact"), part_file(F.col("lead_part")), F.lit(0), F.lit(None), F.struct(*ORDINAL)))
 
 
@@ -127,20 +130,17 @@ def table_edges(spark, d, li: DataFrame, version: str) -> DataFrame:
         F.lit(0), F.lit(None), F.struct(*ORDINAL)))
 
 
-@lru_cache(maxsize=64)
-def raw_edges(spark, d, version: str) -> DataFrame:
-    li = lines(spark, d)
+def raw_edges(spark, d, li: DataFrame, version: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [line_edges(li, version), order_edges(li, version),
                                           table_edges(spark, d, li, version)])
 
 
-@lru_cache(maxsize=64)
-def edges(spark, d, version: str) -> DataFrame:
-    return collapse_edges(raw_edges(spark, d, version))
+def edges(spark, d, li: DataFrame, version: str) -> DataFrame:
+    return collapse_edges(raw_edges(spark, d, li, version))
 
 
-def raw_surfaces(spark, d, version: str) -> DataFrame:
-    li = in_version(lines(spark, d), version).filter("is_lead")
+def raw_surfaces(spark, d, li: DataFrame, version: str) -> DataFrame:
+    li = in_version(li, version).filter("is_lead")
     k, p = F.col("l_orderkey").cast("string"), F.col("o_orderpriority")
     path = F.concat(F.lit("/o/"), k)
     kind = (F.when(p.isin("1-URGENT", "2-HIGH"), "http_route").when(p == "3-MEDIUM", "scheduled_job")
@@ -163,16 +163,14 @@ def raw_surfaces(spark, d, version: str) -> DataFrame:
     return entry.unionByName(entity).unionByName(tables)
 
 
-@lru_cache(maxsize=64)
-def surfaces(spark, d, version: str) -> DataFrame:
-    return collapse_surfaces(raw_surfaces(spark, d, version))
+def surfaces(spark, d, li: DataFrame, version: str) -> DataFrame:
+    return collapse_surfaces(raw_surfaces(spark, d, li, version))
 
 
-@lru_cache(maxsize=64)
-def function_versions(spark, d, version: str) -> DataFrame:
+def function_versions(spark, d, li: DataFrame, version: str) -> DataFrame:
     """One row per (repository, part) seen in the snapshot; facts come from its line items."""
     shift = 3 if version == "head" else 0
-    facts = in_version(lines(spark, d), version).groupBy("repo_id", "l_partkey").agg(
+    facts = in_version(li, version).groupBy("repo_id", "l_partkey").agg(
         F.count("*").alias("n"), F.max("l_tax").alias("tax"), F.min("l_discount").alias("disc"),
         F.max("l_quantity").alias("qmax"))
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
@@ -190,12 +188,12 @@ def function_versions(spark, d, version: str) -> DataFrame:
         F.lit(False).alias("is_abstract"), F.lit(False).alias("is_interface_method"))
 
 
-def name_status(spark, d) -> DataFrame:
+def name_status(li: DataFrame) -> DataFrame:
     """(analysis_id, text): one status line per file whose orders entered or left the window.
 
     Low-priority orders are not listed, so some base functions stay unloaded, as after a rename.
     """
-    moved = lines(spark, d).filter("in_base <> in_head AND o_orderpriority <> '5-LOW'")
+    moved = li.filter("in_base <> in_head AND o_orderpriority <> '5-LOW'")
     f = part_file(F.col("l_partkey"))
     status = (F.when(F.col("in_head") & (F.col("l_linestatus") == "O"),
                      F.concat(F.lit("R100\told/"), f, F.lit("\t"), f))
@@ -216,9 +214,9 @@ def analyses(spark, d) -> DataFrame:
         gv_of("base").alias("base_gv"), gv_of("head").alias("head_gv"))
 
 
-def diff_texts(spark, d) -> DataFrame:
+def diff_texts(li: DataFrame) -> DataFrame:
     """(analysis_id, file_path, text): two hunks per file, built from plain aggregates."""
-    g = lines(spark, d).groupBy("repo_id", "l_partkey").agg(
+    g = li.groupBy("repo_id", "l_partkey").agg(
         F.count("*").alias("n"), F.min("l_quantity").cast("int").alias("a"), F.max("l_quantity").cast("int").alias("b"))
     f = part_file(F.col("l_partkey"))
     s = lambda c: c.cast("string")
@@ -230,6 +228,47 @@ def diff_texts(spark, d) -> DataFrame:
     return g.select(analysis_id().alias("analysis_id"), f.alias("file_path"), text.alias("text"))
 
 
+class Fleet:
+    """The adapted tables for one query. ``staged`` writes the joined lines once when a query reads them often."""
+
+    def __init__(self, spark, d, staged=True):
+        self.spark, self.d, self.staged = spark, d, staged
+
+    @cached_property
+    def lines(self):
+        li = lines(self.spark, self.d)
+        return cut(li, "lines") if self.staged else li
+
+    def raw_edges(self, version):
+        return raw_edges(self.spark, self.d, self.lines, version)
+
+    def edges(self, version):
+        return edges(self.spark, self.d, self.lines, version)
+
+    def surfaces(self, version):
+        return surfaces(self.spark, self.d, self.lines, version)
+
+    def function_versions(self, version):
+        return function_versions(self.spark, self.d, self.lines, version)
+
+    @cached_property
+    def base_edges(self):
+        """Collapsed base edges, written once: the walks read them several times."""
+        return cut(self.edges("base"), "edges")
+
+    @property
+    def analyses(self):
+        return analyses(self.spark, self.d)
+
+    @property
+    def name_status(self):
+        return name_status(self.lines)
+
+    @property
+    def diff_texts(self):
+        return diff_texts(self.lines)
+
+
 def commit_history(spark, d):
     """(commit_parents, pairs): order k is a commit with parents k div 2 and k div 3."""
     o = table(spark, d, "orders").select("o_orderkey")
