@@ -56,9 +56,9 @@ def prepare_hops(edges: DataFrame, direction: str, types=None, hub_degree: int =
 def salt_hops(narrow: DataFrame, hub_degree: int = HUB_DEGREE) -> Hops:
     """Spread the edges of hub nodes over as many buckets as their degree needs, then bucket the table.
 
-    The bucketed copy is read by every level without another shuffle of the edges.
+    The bucketed copy is read by every level without another shuffle of the edges. ``narrow`` is read twice,
+    so it should come from a stored table.
     """
-    narrow = cut(narrow, "hops")
     hubs = cut(narrow.groupBy("gv", "from_node").agg(F.count("*").alias("degree"))
                .filter(F.col("degree") > hub_degree)
                .select("gv", "from_node", F.ceil(F.col("degree") / hub_degree).cast("int").alias("salts")), "hubs")

@@ -253,7 +253,7 @@ mdiff AS (SELECT c.analysis_id, c.function_key, c.root_id, coalesce(t.txt, '') A
 
 define("method_diffs", "SELECT analysis_id, function_key, source_diff FROM mdiff", LINES, CHANGES, HUNKS, method_diff(6))
 HEADER = f"""
-rates AS (SELECT gv, count(*) FILTER (type = 'unresolved') / count(*) FILTER (type IN ('calls','unresolved')) AS unresolved_rate FROM edges_base GROUP BY 1),
+rates AS (SELECT gv, count(*) FILTER (type = 'unresolved') / count(*) AS unresolved_rate FROM edges_base GROUP BY 1),
 header AS (SELECT c.root_id, c.repo_id, 'acme' AS owner, n_name AS name, CAST(n_nationkey AS BIGINT) AS pr_number, c.function_key,
     {DISPLAY.format(k='c.function_key')} AS display_name, change_kind, file_path, base_signature, head_signature, return_type_changed, visibility_changed,
     source_diff, coalesce(caller_total, 0) AS caller_total, coalesce(truncated, false) AS truncated, 5 AS max_depth, k.root_id IS NOT NULL AS depth_cap_hit,
@@ -262,3 +262,156 @@ header AS (SELECT c.root_id, c.repo_id, 'acme' AS owner, n_name AS name, CAST(n_
   LEFT JOIN meta USING (root_id) LEFT JOIN ambig USING (root_id) LEFT JOIN capped k USING (root_id))"""
 ALL_PARTS = (LINES, EB, EH, SB, CHANGES, CALLERS, REV, FWD, META, DATA, AMBIG, HUNKS, method_diff(200), HEADER)
 define("context_objects", "SELECT * FROM header", *ALL_PARTS)
+
+
+# --- graph construction ---------------------------------------------------------------------------------
+def tfile(k):
+    return f"CASE WHEN ({k}) % 5 = 4 THEN 'target/generated-sources/' ELSE '' END||'src/main/java/com/acme/T'||({k})||'.java'"
+
+
+FNS = f"""
+pp AS (SELECT *, p_partkey // 8 AS k, p_partkey % 8 AS slot FROM part),
+fns AS (SELECT *, 'fn:'||fqcn||'#'||mname||'('||ptypes||')' AS function_key FROM (
+  SELECT 'g'||(k % 4) AS gv, {tfile('k')} AS file_path, k % 5 <> 4 AS inside, slot * 20 + 1 AS start_line, 5 AS start_col, slot * 20 + 15 AS end_line, 6 AS end_col,
+    'com.acme.T'||k AS fqcn, 'T'||k AS class_name, CASE WHEN p_size = 50 THEN '<init>' ELSE 'op'||(slot // 2) END AS mname, p_size = 50 AS ctor,
+    'java.lang.'||CASE WHEN slot % 2 = 0 THEN 'Long' ELSE 'Integer' END||CASE WHEN p_size % 2 = 1 THEN ','||CASE WHEN k % 2 = 0 THEN 'java.util.List' ELSE 'List' END||
+      CASE WHEN p_size > 25 THEN '[]' ELSE '' END ELSE '' END AS ptypes, 1 + p_size % 2 AS arity, p_size % 2 AS unresolved_params,
+    CASE WHEN p_size = 50 THEN 'void' ELSE 'com.acme.'||p_type END AS return_type, p_name, p_type, p_size, k, slot, k % 3 = 0 AS iface,
+    p_size <> 50 AND p_type = 'PROMO' AS is_abstract, CASE WHEN p_type = 'PROMO' THEN 'public abstract' ELSE 'public' END AS modifiers FROM pp
+  UNION ALL
+  SELECT 'g'||(k % 4), {tfile('k')}, k % 5 <> 4, slot * 20 + 4, 9, slot * 20 + 7, 10, 'com.acme.T'||k||'$'||slot, 'T'||k||'$'||slot, 'run', false, '', 0, 0,
+    'void', p_name, 'NONE', 0, k, slot, false, false, 'public' FROM pp WHERE p_type = 'LARGE')),
+tps AS (SELECT DISTINCT k, 'g'||(k % 4) AS gv, 'com.acme.T'||k AS fqcn, k % 3 = 0 AS iface, k % 5 <> 4 AS inside, {tfile('k')} AS file_path FROM pp)"""
+UPS = """
+up(gv, fqcn, anc, distance) AS (SELECT 'g'||(k % 4), k, (k // 8) * 4 + k % 4, 1 FROM (SELECT DISTINCT p_partkey // 8 AS k FROM part) WHERE k >= 4
+  UNION SELECT gv, fqcn, (anc // 8) * 4 + anc % 4, distance + 1 FROM up WHERE anc >= 4),
+ups AS (SELECT gv, 'com.acme.T'||fqcn AS fqcn, 'com.acme.T'||anc AS ancestor_fqcn, min(distance) AS distance FROM up GROUP BY ALL)"""
+SITES = f"""
+sites0 AS (SELECT l_partkey AS p, (l_suppkey // 32) * 32 + l_partkey % 32 AS t, l_suppkey AS s, l_linenumber AS ln, CAST(floor(l_quantity) AS INT) AS q, month(l_shipdate) AS m FROM lineitem),
+sites AS (SELECT 'g'||((p // 8) % 4) AS gv, {tfile('p // 8')} AS file_path, (p // 8) % 5 <> 4 AS inside, (p % 8) * 20 + 1 + ln AS line, q AS col,
+    CASE ln WHEN 7 THEN 'constructor' WHEN 6 THEN 'method_ref' ELSE 'method' END AS target_kind, m <> 1 AS is_bound, m IN (1, 2) AS no_position,
+    {tfile('t // 8')} AS rfile, (t // 8) % 5 <> 4 AS rinside, (t % 8) * 20 + 1 AS rline, CASE WHEN q = 50 THEN 4 ELSE 5 END AS rcol,
+    CASE WHEN ln = 1 THEN NULL ELSE 'com.acme.T'||(t // 8) END AS scope_type, 'op'||((t % 8) // 2) AS name, 1 + s % 2 AS arity, s % 3 = 0 AS ambiguity FROM sites0),
+points AS (SELECT DISTINCT gv, file_path, line, col FROM sites),
+owner AS (SELECT gv, file_path, line, col, function_key FROM (SELECT q.*, f.function_key, row_number() OVER (PARTITION BY q.gv, q.file_path, q.line, q.col
+    ORDER BY f.end_line - f.start_line, -f.start_line) AS rn FROM points q JOIN fns f ON f.gv = q.gv AND f.file_path = q.file_path
+    AND (q.line > f.start_line OR (q.line = f.start_line AND q.col >= f.start_col)) AND (q.line < f.end_line OR (q.line = f.end_line AND q.col <= f.end_col))) WHERE rn = 1),
+cands AS (SELECT gv, fqcn AS scope_type, mname AS name, arity, count(*) AS n, min(function_key) AS only_key, min(inside::INT) = 1 AS only_inside,
+    string_agg(DISTINCT fqcn||'.'||mname||'('||replace(ptypes, ',', ', ')||')', ';' ORDER BY fqcn||'.'||mname||'('||replace(ptypes, ',', ', ')||')') AS sigs
+  FROM fns WHERE NOT ctor GROUP BY 1, 2, 3, 4),
+classed0 AS (SELECT s.*, o.function_key, f.function_key AS pos_key, c.n, c.only_key, c.only_inside, c.sigs,
+    NOT s.is_bound AND s.target_kind = 'method' AND coalesce(c.n, 0) = 1 AS single
+  FROM sites s JOIN owner o USING (gv, file_path, line, col) LEFT JOIN fns f ON NOT s.no_position AND f.gv = s.gv AND f.file_path = s.rfile AND f.start_line = s.rline AND f.start_col = s.rcol
+  LEFT JOIN cands c ON c.gv = s.gv AND c.scope_type = s.scope_type AND c.name = s.name AND c.arity = s.arity WHERE s.inside),
+classed AS (SELECT *, CASE outcome WHEN 'unresolved' THEN 'unresolved:'||coalesce(scope_type, '')||'#'||CASE WHEN target_kind = 'constructor' THEN '<init>' ELSE name END
+      WHEN 'calls' THEN CASE WHEN is_bound THEN coalesce(pos_key, 'fn:com.acme.Missing#lost()') ELSE only_key END END AS dst,
+    CASE outcome WHEN 'unresolved' THEN 'ambiguous' WHEN 'calls' THEN CASE WHEN is_bound THEN 'exact' ELSE 'single_impl' END END AS confidence,
+    CASE WHEN outcome = 'unresolved' THEN CASE WHEN ambiguity THEN 'ambiguous_overload' ELSE 'external_type' END END AS reason,
+    CASE WHEN outcome = 'unresolved' AND ambiguity AND target_kind = 'method' THEN coalesce(sigs, '') ELSE '' END AS candidates,
+    outcome = 'calls' AND is_bound AND pos_key IS NULL AS index_miss
+  FROM (SELECT *, CASE WHEN (is_bound AND NOT no_position AND rinside) OR (single AND only_inside) THEN 'calls' WHEN is_bound OR single THEN 'external' ELSE 'unresolved' END AS outcome FROM classed0))"""
+define("build_functions", """SELECT gv, file_path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, function_key, class_name, return_type,
+  'sha256:'||sha256(p_name) AS body_hash, modifiers, is_abstract, iface AS is_interface_method, unresolved_params, CASE WHEN p_type IN ('LARGE','NONE') THEN 0 ELSE 1 END AS annotations FROM fns""", FNS)
+define("qualify_types", """SELECT gv, file_path, CAST(start_line AS BIGINT) AS start_line, pos - 1 AS pos, t AS type_name, pos = 1 AS is_resolved FROM (
+  SELECT gv, file_path, start_line, unnest(string_split(ptypes, ',')) AS t, generate_subscripts(string_split(ptypes, ','), 1) AS pos FROM fns WHERE ptypes <> '')""", FNS)
+define("enclosing_callable", "SELECT gv, file_path, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, function_key FROM owner", FNS, SITES)
+define("declaring_type", "SELECT gv, file_path, CAST(start_line AS BIGINT) AS line, CAST(start_col AS BIGINT) AS col, fqcn FROM fns", FNS)
+define("number_anonymous", f"""SELECT gv, file_path, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, top||'$'||row_number() OVER (PARTITION BY gv, file_path, top ORDER BY line, col) AS fqcn FROM (
+  SELECT DISTINCT 'g'||((l_partkey // 8) % 4) AS gv, {tfile('l_partkey // 8')} AS file_path, 'com.acme.T'||(l_partkey // 8) AS top, (l_partkey % 8) * 20 + 1 + l_linenumber AS line,
+    CAST(floor(l_quantity) AS INT) AS col FROM lineitem WHERE l_returnflag = 'R')""")
+define("classify_calls", """SELECT gv, function_key, outcome, dst, confidence, reason, candidates, count(*) AS n, count(*) FILTER (index_miss) AS misses
+  FROM classed GROUP BY 1, 2, 3, 4, 5, 6, 7""", FNS, SITES)
+define("bind_by_elimination", """SELECT s.gv, s.scope_type, s.name, c.only_key AS dst, count(*) AS n FROM sites s JOIN cands c USING (gv, scope_type, name, arity)
+  WHERE NOT s.is_bound AND s.target_kind = 'method' AND c.n = 1 GROUP BY 1, 2, 3, 4""", FNS, SITES)
+
+
+def define_rec(name, body, *ctes):
+    SQL[name] = "WITH RECURSIVE " + ",".join(ctes) + "\n" + body
+
+
+define_rec("ancestor_closure", "SELECT gv, fqcn, ancestor_fqcn, CAST(distance AS BIGINT) AS distance FROM ups", UPS)
+INH = """
+inh AS (SELECT a.gv, a.function_key AS src, b.function_key AS dst, CASE WHEN t.iface THEN 'implements' ELSE 'overrides' END AS type, a.file_path, a.start_line
+  FROM fns a JOIN ups u ON u.gv = a.gv AND u.fqcn = a.fqcn JOIN tps t ON t.gv = u.gv AND t.fqcn = u.ancestor_fqcn AND t.inside
+  JOIN fns b ON b.gv = u.gv AND b.fqcn = u.ancestor_fqcn AND b.mname = a.mname AND b.arity = a.arity AND NOT b.ctor
+  WHERE NOT a.ctor AND a.inside AND string_split(a.ptypes, ',')[1] = string_split(b.ptypes, ',')[1])"""
+define_rec("inheritance_edges", "SELECT gv, src, dst, type, CAST(start_line AS BIGINT) AS line FROM inh", FNS, UPS, INH)
+define("selector_keys", """SELECT f.gv, f.function_key, f.k % 7 = 0 AS is_primary, f.k % 7 = 1 AS is_qualified FROM fns f JOIN tps t ON t.gv = f.gv AND t.fqcn = f.fqcn
+  WHERE f.k % 7 IN (0, 1)""", FNS)
+LIT = """
+raw_calls AS (SELECT gv, function_key AS src, dst, CASE WHEN outcome = 'calls' THEN 'calls' ELSE 'unresolved' END AS type, confidence, reason, file_path, line, col
+  FROM classed WHERE outcome <> 'external'),
+lit_calls AS (SELECT gv, src, dst, type, false AS inferred, arg_min(confidence, ord) AS confidence, arg_min(reason, ord) AS reason, count(DISTINCT (file_path, line)) AS sites
+  FROM (SELECT *, row_number() OVER (PARTITION BY gv, src, dst, type ORDER BY file_path, line, col, confidence, coalesce(reason, '')) AS ord FROM raw_calls) GROUP BY 1, 2, 3, 4),
+impls AS (SELECT DISTINCT i.gv, i.dst AS via, i.src AS impl, coalesce(f.k % 7 = 0 AND f.mname <> 'run', false) AS p, coalesce(f.k % 7 = 1 AND f.mname <> 'run', false) AS q
+  FROM inh i JOIN fns f ON f.gv = i.gv AND f.function_key = i.src WHERE i.type = 'implements'),
+chosen AS (SELECT gv, via, impl, CASE WHEN n = 1 OR np = 1 OR nq = 1 THEN 'single_impl' ELSE 'ambiguous' END AS confidence FROM (
+  SELECT *, count(*) OVER w AS n, count(*) FILTER (p) OVER w AS np, count(*) FILTER (q) OVER w AS nq FROM impls WINDOW w AS (PARTITION BY gv, via))
+  WHERE n = 1 OR (np = 1 AND p) OR (np <> 1 AND nq = 1 AND q) OR (np <> 1 AND nq <> 1)),
+disp AS (SELECT DISTINCT r.gv, r.src, c.impl AS dst, c.confidence, c.via, r.file_path, r.line FROM raw_calls r JOIN chosen c ON c.gv = r.gv AND c.via = r.dst WHERE r.type = 'calls')"""
+define_rec("dispatch_edges", "SELECT gv, src, dst, confidence, via, count(*) AS sites FROM disp GROUP BY 1, 2, 3, 4, 5", FNS, SITES, UPS, INH, LIT)
+MARKS = r"""
+marks AS (SELECT gv, fqcn, mname, arity, function_key, iface, inside, k, p_name, p_size, p_type FROM fns WHERE NOT ctor AND p_type IN ('ECONOMY','STANDARD','SMALL','MEDIUM')),
+slots AS (SELECT *, CASE WHEN p_type IN ('ECONOMY','STANDARD') THEN 'route' WHEN p_type = 'SMALL' THEN 'job' ELSE 'listener' END AS slot FROM marks),
+own AS (SELECT gv, fqcn, function_key, slot, p_name, p_size, p_type, fqcn AS decl, inside, false AS inherited FROM slots WHERE NOT iface),
+inherited AS (SELECT gv, fqcn, function_key, slot, p_name, p_size, p_type, decl, inside, true AS inherited FROM (
+  SELECT c.gv, c.fqcn, c.function_key, c.inside, s.slot, s.p_name, s.p_size, s.p_type, s.fqcn AS decl,
+    row_number() OVER (PARTITION BY c.gv, c.function_key, s.slot ORDER BY u.distance, s.fqcn, s.function_key) AS rn
+  FROM fns c JOIN ups u ON u.gv = c.gv AND u.fqcn = c.fqcn JOIN slots s ON s.gv = u.gv AND s.fqcn = u.ancestor_fqcn AND s.mname = c.mname AND s.arity = c.arity
+  WHERE NOT c.ctor AND NOT c.iface AND NOT EXISTS (SELECT 1 FROM own o WHERE o.gv = c.gv AND o.function_key = c.function_key AND o.slot = s.slot)) WHERE rn = 1),
+declared AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM inherited) WHERE inside),
+consts AS (SELECT 'com.acme.T'||k AS fqcn, p_name AS field, min(CASE WHEN p_size > 35 THEN NULL ELSE '/c/'||replace(p_name, ' ', '-') END) AS literal FROM pp GROUP BY 1, 2),
+route0 AS (SELECT d.*, CASE WHEN p_type = 'ECONOMY' THEN 'GET' ELSE 'PUT' END AS verb,
+    CASE WHEN p_type = 'ECONOMY' THEN CASE WHEN p_size > 40 THEN '${base}/x' ELSE replace(p_name, ' ', '/') END
+         ELSE coalesce(ltrim(literal, '/'), 'Api.PATH_'||upper(replace(p_name, ' ', '_'))) END AS tail,
+    p_type = 'STANDARD' AND literal IS NULL OR p_type = 'ECONOMY' AND p_size > 40 AS unsure,
+    CASE WHEN CAST(regexp_extract(d.fqcn, '^com.acme.T(\d+)$', 1) AS BIGINT) % 2 = 1 THEN '/t'||regexp_extract(d.fqcn, 'T(\d+)$', 1) ELSE '' END AS prefix
+  FROM declared d LEFT JOIN consts c ON c.fqcn = d.decl AND c.field = d.p_name WHERE slot = 'route'),
+routed AS (SELECT *, prefix||'/'||tail AS path, 'route:'||verb||' '||prefix||'/'||tail AS key, CASE WHEN unsure THEN 'ambiguous' ELSE 'exact' END AS confidence FROM route0),
+timed AS (SELECT gv, CASE WHEN slot = 'job' THEN replace(function_key, 'fn:', 'job:') WHEN p_size > 25 THEN 'listener:kafka:'||replace(function_key, 'fn:', '') ELSE 'listener:kafka:t.'||p_name END AS key,
+    CASE WHEN slot = 'job' THEN 'cron=0 '||p_size||' * * * *' WHEN p_size > 25 THEN 'kafka:' ELSE 'kafka:t.'||p_name END AS attrs, function_key, inherited, slot, p_size, p_name
+  FROM declared WHERE slot <> 'route')"""
+define_rec("routes", "SELECT gv, key, verb, path, confidence, function_key, inherited FROM routed", FNS, UPS, MARKS)
+define_rec("jobs_listeners", "SELECT gv, key, attrs, function_key, inherited FROM timed", FNS, UPS, MARKS)
+REPO = """
+markers AS (SELECT gv, fqcn, k, CASE WHEN k % 12 = 0 THEN 'com.acme.OrderLine'||k ELSE 'com.acme.T'||(k + 4) END AS entity FROM tps WHERE iface AND k % 6 = 0),
+holders AS (SELECT gv, fqcn AS holder, entity FROM markers UNION SELECT m.gv, u.ancestor_fqcn, entity FROM markers m JOIN ups u USING (gv, fqcn)),
+qe AS (SELECT DISTINCT h.gv, f.function_key AS src, 'entity:'||entity AS dst, CASE WHEN p_type = 'PROMO' THEN 'regex' ELSE 'exact' END AS confidence, f.file_path, f.start_line
+  FROM holders h JOIN fns f ON f.gv = h.gv AND f.fqcn = h.holder WHERE NOT f.ctor AND f.inside),
+ents AS (SELECT DISTINCT m.gv, 'entity:'||entity AS entity, entity AS fqcn, 'table:'||tab AS tab, tab AS name, CASE WHEN explicit THEN 'exact' ELSE 'single_impl' END AS confidence FROM (
+  SELECT m.*, t.k IS NOT NULL AND t.k % 11 = 0 AS explicit, CASE WHEN t.k % 11 = 0 THEN 't'||t.k WHEN m.k % 12 = 0 THEN 'order_line'||m.k ELSE 't'||(m.k + 4) END AS tab
+  FROM markers m LEFT JOIN tps t ON t.gv = m.gv AND t.fqcn = m.entity) m)"""
+define_rec("repository_edges", "SELECT h.gv, f.function_key AS src, 'entity:'||entity AS dst, CASE WHEN p_type = 'PROMO' THEN 'regex' ELSE 'exact' END AS confidence"
+           " FROM (SELECT DISTINCT m.gv, m.fqcn AS marker, h.holder, m.entity FROM markers m JOIN (SELECT gv, fqcn AS marker, fqcn AS holder FROM markers UNION ALL"
+           " SELECT gv, fqcn, ancestor_fqcn FROM ups) h ON h.gv = m.gv AND h.marker = m.fqcn) h JOIN fns f ON f.gv = h.gv AND f.fqcn = h.holder WHERE NOT f.ctor AND f.inside", FNS, UPS, REPO)
+define_rec("entity_tables", 'SELECT gv, entity, tab AS "table", confidence FROM ents', FNS, UPS, REPO)
+GRAPH = """
+merged AS (
+  SELECT gv, src, dst, type, 0 AS stage, '' AS via, inferred, confidence, reason FROM lit_calls
+  UNION ALL SELECT gv, src, dst, 'calls', 5, via, true, confidence, NULL FROM disp),
+merged_sites AS (SELECT gv, src, dst, type, file_path, line FROM raw_calls UNION SELECT gv, src, dst, 'calls', file_path, line FROM disp),
+code AS (SELECT m.*, s.sites FROM (SELECT gv, src, dst, type, arg_min(inferred, o) AS inferred, arg_min(confidence, o) AS confidence, arg_min(reason, o) AS reason FROM (
+    SELECT *, row_number() OVER (PARTITION BY gv, src, dst, type ORDER BY stage, f, l, via) AS o FROM (SELECT m.*, d.file_path AS f, d.line AS l FROM merged m
+      LEFT JOIN (SELECT gv, src, dst, via, min(file_path) AS file_path, min(line) AS line FROM disp GROUP BY 1, 2, 3, 4) d ON m.stage = 5 AND d.gv = m.gv AND d.src = m.src AND d.dst = m.dst AND d.via = m.via))
+    GROUP BY 1, 2, 3, 4) m
+  JOIN (SELECT gv, src, dst, type, count(*) AS sites FROM merged_sites GROUP BY 1, 2, 3, 4) s USING (gv, src, dst, type)),
+g AS (SELECT gv, src, dst, type, inferred, confidence, reason, sites FROM code
+  UNION ALL SELECT gv, src, dst, type, false, 'exact', NULL, count(DISTINCT (file_path, start_line)) FROM inh GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT gv, key, function_key, 'handles', true, confidence, NULL, 1 FROM routed
+  UNION ALL SELECT gv, key, function_key, 'triggers', true, 'exact', NULL, 1 FROM timed
+  UNION ALL SELECT gv, src, dst, 'queries', true, min(confidence), NULL, count(DISTINCT (file_path, start_line)) FROM qe GROUP BY 1, 2, 3
+  UNION ALL SELECT gv, entity, tab, 'maps_to', true, confidence, NULL, 1 FROM ents)"""
+ALLG = (FNS, SITES, UPS, INH, LIT, MARKS, REPO, GRAPH)
+define_rec("build_graph", "SELECT * FROM g", *ALLG)
+define_rec("graph_surfaces", """SELECT DISTINCT gv, key, 'http_route' AS kind, 'httpMethod='||verb||';path='||path AS attrs FROM routed
+  UNION SELECT gv, key, 'scheduled_job', attrs FROM timed WHERE slot = 'job'
+  UNION SELECT gv, key, 'message_listener', 'broker=kafka'||CASE WHEN p_size > 25 THEN '' ELSE ';topic=t.'||p_name END FROM timed WHERE slot = 'listener'
+  UNION SELECT gv, entity, 'entity', 'fqcn='||fqcn FROM ents UNION SELECT gv, tab, 'table', 'tableName='||name FROM ents""", *ALLG)
+define_rec("graph_diagnostics", """SELECT * FROM (SELECT gv, count(*) AS total_edges, count(*) FILTER (type = 'unresolved') AS unresolved_edges,
+    round(count(*) FILTER (type = 'unresolved') / count(*), 6) AS unresolved_rate, round(count(*) FILTER (type = 'unresolved' AND reason <> 'external_type') / count(*), 6) AS non_external_unresolved_rate FROM g GROUP BY 1)
+  JOIN (SELECT gv, count(*) FILTER (outcome = 'external') AS external_calls, count(*) FILTER (index_miss) AS index_misses, count(*) FILTER (reason = 'ambiguous_overload') AS ambiguous_overloads,
+    count(DISTINCT dst) FILTER (reason = 'ambiguous_overload') AS ambiguous_targets FROM classed GROUP BY 1) USING (gv)
+  JOIN (SELECT gv, sum(unresolved_params) AS unresolved_params, round(sum(unresolved_params) / sum(arity), 6) AS unresolved_param_rate FROM fns WHERE inside GROUP BY 1) USING (gv)""", *ALLG)
+define("graph_profile", """SELECT 'edge_type' AS section, type AS name, count(*) AS n FROM edges_base GROUP BY 2 UNION ALL SELECT 'surface_kind', kind, count(*) FROM surf_base GROUP BY 2
+  UNION ALL SELECT 'unresolved_reason', reason, count(*) FROM edges_base WHERE type = 'unresolved' GROUP BY 2
+  UNION ALL (SELECT 'sample_route', key, 1 FROM (SELECT DISTINCT key FROM surf_base WHERE kind = 'http_route' ORDER BY key LIMIT 6))""", LINES, EB, SB)

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ripple.operators import diff, walk
-from ripple.plans import analyze
+from ripple.operators import calls, declarations, diagnostics, diff, entry_rules, repository_rules, walk
+from ripple.plans import analyze, index
 from ripple.schema import REVERSE_TYPES
 from ripple.session import cut
-from ripple.sources import warehouse as wh
+from ripple.sources import code_facts as cf, warehouse as wh
 
 QUERIES = {}
 
@@ -98,21 +98,21 @@ def direct_caller_totals(spark, d):
 @query
 def level_walk_reverse(spark, d):
     fl = wh.Fleet(spark, d)
-    return walk.level_walk(changed_roots(fl), fl.edges("base")).select(
+    return walk.level_walk(changed_roots(fl), fl.base_edges).select(
         "root_id", "node", *big("depth", "rank"), "inferred")
 
 
 @query
 def level_walk_forward(spark, d):
     fl = wh.Fleet(spark, d)
-    return walk.level_walk(changed_roots(fl), fl.edges("base"), "forward").select(
+    return walk.level_walk(changed_roots(fl), fl.base_edges, "forward").select(
         "root_id", "node", *big("depth", "rank"), "inferred")
 
 
 @query
 def walk_meta(spark, d):
     fl = wh.Fleet(spark, d)
-    hops = walk.prepare_hops(fl.edges("base"), "reverse")
+    hops = walk.prepare_hops(fl.base_edges, "reverse")
     visited = walk.level_walk(changed_roots(fl), hops)
     return walk.walk_meta(visited, hops).select("root_id", *big("max_depth", "nodes_visited"), "depth_cap_hit")
 
@@ -192,7 +192,7 @@ def whole_analysis(spark, d):
                       *[F.col(f"{s}.{x}_line").alias(f"{s}_{x}") for s in ("base", "head") for x in ("start", "end")])
     base = fl.base_edges
     rates = base.groupBy(F.col("graph_version_id").alias("id")).agg(
-        (F.count_if(F.col("type") == "unresolved") / F.count_if(F.col("type").isin("calls", "unresolved")))
+        (F.count_if(F.col("type") == "unresolved") / F.count("*"))
         .alias("unresolved_rate"))
     return analyze.Analysis(fl.analyses, c, base, fl.edges("head"), fl.surfaces("base"),
                             source_diffs=diff.method_diffs(texts, ranges), versions=rates, caller_cap=5)
@@ -221,3 +221,161 @@ def context_nested(spark, d):
 def context_digests(spark, d):
     """Order-free content digest of every context object."""
     return analyze.context_digest(whole_analysis(spark, d))
+
+
+# --- graph construction from code facts ------------------------------------------------------------------
+
+
+def attrs_text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+
+
+def fact_functions(spark, d):
+    return cut(declarations.build_functions(cf.callables(spark, d), cf.imports(spark, d)), "functions")
+
+
+def fact_types(spark, d):
+    return cut(cf.types(spark, d).withColumn("in_extraction_set", index.extracted(F.col("file_path"))), "types")
+
+
+def fact_calls(spark, d):
+    """Classified call sites of extracted files, with their enclosing function."""
+    functions, sites = fact_functions(spark, d), cf.call_sites(spark, d)
+    owner = declarations.enclosing_callable(sites, functions)
+    mine = sites.join(owner, ["gv", "file_path", "line", "col"]).filter(index.extracted(F.col("file_path")))
+    return calls.classify_calls(mine, functions, index.extracted)
+
+
+@query
+def build_functions(spark, d):
+    f = declarations.build_functions(cf.callables(spark, d), cf.imports(spark, d))
+    return f.select("gv", "file_path", *big("start_line", "end_line"), "function_key", "class_name", "return_type", "body_hash",
+                    F.array_join("modifiers", " ").alias("modifiers"), "is_abstract", "is_interface_method",
+                    *big("unresolved_params"), F.size("annotations").cast("long").alias("annotations"))
+
+
+@query
+def qualify_types(spark, d):
+    c = cf.callables(spark, d).select("gv", "file_path", "start_line", F.posexplode("params").alias("pos", "p"))
+    rows = c.select("gv", "file_path", "start_line", "pos", F.col("p.text").alias("type_text"),
+                    F.col("p.resolved").alias("resolved_name"), F.col("p.is_varargs").alias("is_varargs"))
+    return declarations.qualify_types(rows, cf.imports(spark, d)).select(
+        "gv", "file_path", *big("start_line", "pos"), "type_name", "is_resolved")
+
+
+@query
+def enclosing_callable(spark, d):
+    return declarations.enclosing_callable(cf.call_sites(spark, d), fact_functions(spark, d)).select(
+        "gv", "file_path", *big("line", "col"), "function_key")
+
+
+@query
+def declaring_type(spark, d):
+    """Nearest type of every callable; anonymous bodies count as local types."""
+    f = fact_functions(spark, d)
+    local = f.filter("method_name = 'run'").select(
+        "gv", "file_path", "start_line", "start_col", "end_line", "end_col", F.lit(None).cast("string").alias("fqcn"),
+        F.substring_index("fqcn", "$", -1).alias("simple_name"))
+    spans = cf.types(spark, d).select(*local.columns).unionByName(local)
+    points = f.select("gv", "file_path", F.col("start_line").alias("line"), F.col("start_col").alias("col"))
+    return declarations.declaring_type(points, spans).select("gv", "file_path", *big("line", "col"), "fqcn")
+
+
+@query
+def number_anonymous(spark, d):
+    return declarations.number_anonymous(cf.creations(spark, d)).select("gv", "file_path", *big("line", "col"), "fqcn")
+
+
+@query
+def classify_calls(spark, d):
+    c = fact_calls(spark, d)
+    return c.groupBy("gv", "function_key", "outcome", "dst", "confidence", "reason", F.array_join("candidates", ";").alias("candidates")).agg(
+        F.count("*").alias("n"), F.count_if("index_miss").alias("misses"))
+
+
+@query
+def bind_by_elimination(spark, d):
+    unbound = cf.call_sites(spark, d).filter("NOT is_bound")
+    return calls.bind_by_elimination(unbound, fact_functions(spark, d)).groupBy("gv", "scope_type", "name", F.col("only_key").alias("dst")).agg(
+        F.count("*").alias("n"))
+
+
+@query
+def ancestor_closure(spark, d):
+    return walk.ancestor_closure(cf.supertypes(spark, d)).select("gv", "fqcn", "ancestor_fqcn", *big("distance"))
+
+
+@query
+def inheritance_edges(spark, d):
+    f = fact_functions(spark, d).filter(index.extracted(F.col("file_path")))
+    e = declarations.inheritance_edges(f, walk.ancestor_closure(cf.supertypes(spark, d)), fact_types(spark, d))
+    return e.select("gv", "src", "dst", "type", F.col("call_site.line").cast("long").alias("line"))
+
+
+@query
+def selector_keys(spark, d):
+    return declarations.selector_keys(fact_functions(spark, d), cf.types(spark, d))
+
+
+@query
+def dispatch_edges(spark, d):
+    g = index.build_graph(cf.all_facts(spark, d))
+    return g.dispatch.groupBy("gv", "src", "dst", "confidence", "via").agg(F.count("*").alias("sites"))
+
+
+def declared_marks(spark, d):
+    found = entry_rules.declared(fact_functions(spark, d), walk.ancestor_closure(cf.supertypes(spark, d)))
+    return cut(found, "declared").filter(index.extracted(F.col("file_path")))
+
+
+@query
+def routes(spark, d):
+    return entry_rules.routes(declared_marks(spark, d), cf.types(spark, d), cf.constants(spark, d)).select(
+        "gv", "key", "verb", "path", "confidence", "function_key", "inherited")
+
+
+@query
+def jobs_listeners(spark, d):
+    m = declared_marks(spark, d)
+    jobs = entry_rules.scheduled_jobs(m).select("gv", "key", attrs_text("attrs").alias("attrs"), "function_key", "inherited")
+    return jobs.unionByName(entry_rules.message_listeners(m).select(
+        "gv", "key", F.concat_ws(":", "broker", "topic").alias("attrs"), "function_key", "inherited"))
+
+
+@query
+def repository_edges(spark, d):
+    f = fact_functions(spark, d).filter(index.extracted(F.col("file_path")))
+    m = repository_rules.repository_markers(cf.type_params(spark, d))
+    return repository_rules.query_edges(m, walk.ancestor_closure(cf.supertypes(spark, d)), f).select(
+        "gv", "src", "dst", "confidence")
+
+
+@query
+def entity_tables(spark, d):
+    m = repository_rules.repository_markers(cf.type_params(spark, d))
+    return repository_rules.entity_tables(m, cf.types(spark, d)).select("gv", "entity", "table", "confidence")
+
+
+@query
+def build_graph(spark, d):
+    return index.build_graph(cf.all_facts(spark, d)).edges.select(
+        "gv", "src", "dst", "type", "inferred", "confidence", "reason", F.size("call_sites").cast("long").alias("sites"))
+
+
+@query
+def graph_surfaces(spark, d):
+    return index.build_graph(cf.all_facts(spark, d)).surfaces.select("gv", "key", "kind", attrs_text("attrs").alias("attrs"))
+
+
+@query
+def graph_diagnostics(spark, d):
+    g = index.build_graph(cf.all_facts(spark, d))
+    r = diagnostics.graph_diagnostics(g.edges, g.classified, g.functions)
+    rates = [c for c in r.columns if c.endswith("_rate")]
+    return r.select(*[c for c in r.columns if c not in rates], *[F.round(c, 6).alias(c) for c in rates])
+
+
+@query
+def graph_profile(spark, d):
+    fl = wh.Fleet(spark, d)
+    return diagnostics.graph_profile(fl.base_edges, fl.surfaces("base"))
