@@ -7,7 +7,6 @@ anti join with what was already visited; each level is written to the shared scr
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
@@ -15,7 +14,7 @@ from ripple.functions.keys import display_name
 from ripple.functions.text import access_of, usage_of
 from ripple.functions.trust import conf_name, conf_rank
 from ripple.schema import CALLER_CAP, DEPTH_CAP, ENTRY_TYPES, FORWARD_TYPES, REVERSE_TYPES
-from ripple.session import cut
+from ripple.session import Levels, cut
 
 # A node with more edges than this on the walked side is a hub: its edges are spread over salt buckets.
 HUB_DEGREE = 200_000
@@ -59,12 +58,12 @@ def salt_hops(narrow: DataFrame, hub_degree: int = HUB_DEGREE) -> Hops:
     The bucketed copy is read by every level without another shuffle of the edges. ``narrow`` is read twice,
     so it should come from a stored table.
     """
-    hubs = cut(narrow.groupBy("gv", "from_node").agg(F.count("*").alias("degree"))
-               .filter(F.col("degree") > hub_degree)
-               .select("gv", "from_node", F.ceil(F.col("degree") / hub_degree).cast("int").alias("salts")), "hubs")
+    hubs = (narrow.groupBy("gv", "from_node").agg(F.count("*").alias("degree")).filter(F.col("degree") > hub_degree)
+            .select("gv", "from_node", F.ceil(F.col("degree") / hub_degree).cast("int").alias("salts")))
     keys = ["gv", "from_node", "salt"]
     if hubs.isEmpty():
         return Hops(cut(narrow.withColumn("salt", F.lit(0)), "hops", keys), None)
+    hubs = cut(hubs, "hubs")
     spread = (narrow.join(hubs, ["gv", "from_node"], "left")
               .withColumn("salt", F.coalesce(F.pmod(F.hash("to_node"), F.col("salts")), F.lit(0))).drop("salts"))
     return Hops(cut(spread, "hops", keys), hubs)
@@ -92,25 +91,18 @@ def level_walk(roots: DataFrame, edges, direction: str = "reverse", depth_cap: i
     """
     hops = edges if isinstance(edges, Hops) else prepare_hops(edges, direction, types)
     state = ["root_id", "gv", "node"]
-    start = cut(roots.select(*state).distinct().select(
-        *state, F.lit(0).alias("depth"), F.lit(0).alias("rank"), F.lit(False).alias("inferred")), "level0")
-    levels = [start]
-    for depth in range(1, depth_cap + 1):
-        weight = (F.greatest("rank", "hop_rank") * 2
-                  + F.when(F.col("inferred") | F.col("hop_inferred"), 1).otherwise(0))
-        best = (expand(levels[-1], hops).select("root_id", "gv", F.col("to_node").alias("node"), weight.alias("w"))
+    weight = (F.greatest("rank", "hop_rank") * 2
+              + F.when(F.col("inferred") | F.col("hop_inferred"), 1).otherwise(0))
+    seen = Levels(roots.sparkSession, "walk", "depth")
+    level = seen.append(roots.select(*state).distinct().select(*state, F.lit(0).alias("rank"), F.lit(False).alias("inferred")))
+    for _ in range(depth_cap):
+        best = (expand(level, hops).select("root_id", "gv", F.col("to_node").alias("node"), weight.alias("w"))
                 .groupBy(*state).agg(F.min("w").alias("w")))
-        fresh = best.join(_union(levels).select(*state), state, "left_anti")
-        level = cut(fresh.select(*state, F.lit(depth).alias("depth"), F.floor(F.col("w") / 2).cast("int").alias("rank"),
-                                 (F.col("w") % 2 == 1).alias("inferred")), f"level{depth}")
+        fresh = best.join(seen.all().select(*state), state, "left_anti")
+        level = seen.append(fresh.select(*state, F.shiftright("w", 1).alias("rank"), (F.col("w") % 2 == 1).alias("inferred")))
         if level.isEmpty():
             break
-        levels.append(level)
-    return _union(levels)
-
-
-def _union(frames):
-    return reduce(DataFrame.unionByName, frames)
+    return seen.all().select(*state, "depth", "rank", "inferred")
 
 
 def walk_meta(visited: DataFrame, hops: Hops, depth_cap: int = DEPTH_CAP) -> DataFrame:
@@ -257,18 +249,16 @@ def reachable(roots: DataFrame, links: DataFrame) -> DataFrame:
     hops = salt_hops(links.select("gv", "from_node", "to_node").filter("from_node <> to_node").distinct())
     extra = ["stop"] if "stop" in roots.columns else []
     state = ["root_id", "gv", "node"]
-    levels = [cut(roots.select(*state, *extra).distinct().withColumn("distance", F.lit(0)), "reach0")]
-    while True:
-        frontier = levels[-1]
+    seen = Levels(roots.sparkSession, "reach", "distance")
+    level = seen.append(roots.select(*state, *extra).distinct())
+    while not level.isEmpty():
+        frontier = level
         if extra:
             done = frontier.filter("node = stop").select("root_id", "gv").distinct()
             frontier = frontier.join(done, ["root_id", "gv"], "left_anti")
-        grown = (expand(frontier.select(*state, *extra), hops).select("root_id", "gv", F.col("to_node").alias("node"), *extra)
-                 .distinct().join(_union(levels).select(*state), state, "left_anti"))
-        level = cut(grown.withColumn("distance", F.lit(len(levels))), "reach")
-        if level.isEmpty():
-            return _union(levels)
-        levels.append(level)
+        grown = expand(frontier, hops).select("root_id", "gv", F.col("to_node").alias("node"), *extra).distinct()
+        level = seen.append(grown.join(seen.all().select(*state), state, "left_anti"))
+    return seen.all()
 
 
 def reverse_reachable(roots: DataFrame, edges: DataFrame, types=None) -> DataFrame:

@@ -415,3 +415,53 @@ define_rec("graph_diagnostics", """SELECT * FROM (SELECT gv, count(*) AS total_e
 define("graph_profile", """SELECT 'edge_type' AS section, type AS name, count(*) AS n FROM edges_base GROUP BY 2 UNION ALL SELECT 'surface_kind', kind, count(*) FROM surf_base GROUP BY 2
   UNION ALL SELECT 'unresolved_reason', reason, count(*) FROM edges_base WHERE type = 'unresolved' GROUP BY 2
   UNION ALL (SELECT 'sample_route', key, 1 FROM (SELECT DISTINCT key FROM surf_base WHERE kind = 'http_route' ORDER BY key LIMIT 6))""", LINES, EB, SB)
+
+
+# --- events -----------------------------------------------------------------------------------------------------
+def sha(t):
+    return f"substr(sha256({t}), 1, 40)"
+
+
+def deliveries():
+    return f"""
+d0 AS (SELECT 'd'||CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END AS id, event_id AS n, ts, user_id AS u, user_id % 20 AS repo,
+  CASE event_type WHEN 'click' THEN 'push' WHEN 'view' THEN 'pull_request' WHEN 'signup' THEN 'installation' WHEN 'error' THEN 'installation_repositories' ELSE 'ping' END AS event FROM events),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS rn FROM d0) WHERE rn = 1),
+ddd AS (SELECT *, {sha("'b'||repo||'-'||(n // 50)")} AS base, {sha("'h'||u||'-'||(n // 400)")} AS head FROM dd),
+pushes AS (SELECT * FROM ddd WHERE event = 'push' AND n % 9 <> 0),
+units AS (SELECT 'analyze:'||repo||':push-'||head AS unit_id, repo AS repo_id, 'push' AS "trigger", NULL::BIGINT AS pr_number, base AS base_sha, head AS head_sha, id AS delivery_id, ts FROM pushes WHERE n % 30 <> 0
+  UNION ALL SELECT 'analyze:'||repo||':'||(n % 50)||'-'||head, repo, 'pull_request', n % 50, base, head, id, ts FROM ddd WHERE event = 'pull_request' AND n % 4 <> 2),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, base_sha, head_sha ORDER BY ts, delivery_id) AS rn, max(ts) OVER (PARTITION BY repo_id, base_sha, head_sha) AS last_ts FROM units) WHERE rn = 1)"""
+
+
+DEL = deliveries()
+DEDUPED = """SELECT id, event, CASE WHEN event = 'ping' THEN 'ignored' ELSE event END AS route, strftime(ts, '%Y-%m-%d %H:%M:%S') AS received_at FROM dd"""
+define("dedupe_deliveries", DEDUPED, DEL)
+define("stream_dedupe", DEDUPED, DEL)
+define("units", """SELECT 'index:'||repo||':'||head AS unit_id, repo AS repo_id, 'index' AS "trigger", NULL::BIGINT AS pr_number, NULL AS base_sha, head AS head_sha, id AS delivery_id FROM pushes
+  UNION ALL SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id FROM units""", DEL)
+define("stream_units", """SELECT unit_id, repo_id, base_sha, head_sha, delivery_id FROM units WHERE "trigger" = 'push'""", DEL)
+define("supersede", """SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id,
+  EXISTS (SELECT 1 FROM firsts o WHERE o.repo_id = f.repo_id AND o."trigger" = f."trigger" AND o.pr_number IS NOT DISTINCT FROM f.pr_number
+    AND (o.last_ts, o.base_sha, o.head_sha) > (f.last_ts, f.base_sha, f.head_sha)) AS superseded FROM firsts f""", DEL)
+define("await_base_graph", f"""SELECT unit_id, f.repo_id, f.base_sha, head_sha, outcome, outcome <> 'use' AND coalesce(last_status = 'failed', true) AS request_index,
+  CASE WHEN outcome = 'failed' THEN 'base commit '||f.base_sha||' was never indexed' END AS error FROM (
+    SELECT f.*, l.last_status, CASE WHEN l.usable <= f.ts + to_minutes(10) AND l.usable <= TIMESTAMP '2024-01-30 23:20:00' THEN 'use'
+      WHEN TIMESTAMP '2024-01-30 23:20:00' >= f.ts + to_minutes(10) THEN 'failed' ELSE 'wait' END AS outcome
+    FROM firsts f LEFT JOIN logs l ON l.repo_id = f.repo_id AND l.sha = f.base_sha) f""", DEL, f"""
+vlog AS (SELECT user_id % 20 AS repo_id, {sha("'b'||(user_id % 20)||'-'||(event_id // 50)")} AS sha, ts + to_minutes(event_id % 15) AS seen,
+  CASE WHEN value < 10 THEN 'building' WHEN value < 14 THEN 'failed' WHEN value < 16 THEN 'superseded' ELSE 'ready' END AS status FROM events),
+logs AS (SELECT repo_id, sha, min(seen) FILTER (status IN ('ready','superseded')) AS usable, arg_max(status, struct_pack(a := seen, s := status)) AS last_status FROM vlog GROUP BY 1, 2)""")
+INST = """
+inst AS (SELECT u % 40 AS github_installation_id, arg_max('l'||(n % 6), struct_pack(t := ts, i := id)) AS login, arg_max(CASE WHEN n % 2 = 0 THEN 'all' ELSE 'selected' END, struct_pack(t := ts, i := id)) AS sel,
+  min(ts) AS created FROM ddd WHERE event = 'installation' GROUP BY 1)"""
+define("registry_upsert", """SELECT repo AS github_repo_id, arg_max(owner, struct_pack(t := ts, i := id)) AS owner, 'n'||repo AS name,
+    coalesce(arg_max(branch, struct_pack(t := ts, i := id)) FILTER (event IN ('push','pull_request')), '') AS default_branch,
+    arg_max(u % 40, struct_pack(t := ts, i := id)) AS github_installation_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, 'repo' AS what
+  FROM (SELECT *, CASE WHEN event IN ('push','pull_request') THEN 'acme' ELSE 'acme'||(n % 3) END AS owner, CASE WHEN n > 5000 THEN 'main' ELSE 'master' END AS branch
+    FROM ddd WHERE event IN ('push','pull_request') OR event IN ('installation','installation_repositories') AND n % 7 <> 0) GROUP BY repo
+  UNION ALL SELECT NULL, login, 'Organization', sel, github_installation_id, strftime(created, '%Y-%m-%d %H:%M:%S'), 'installation' FROM inst""", DEL, INST)
+define("link_installation", """SELECT id, CASE WHEN i.github_installation_id IS NOT NULL THEN 'i'||i.github_installation_id END AS installation_id
+  FROM ddd LEFT JOIN inst i ON i.github_installation_id = u % 40 AND i.sel = 'all' WHERE event IN ('push','pull_request')""", DEL, INST)
+define("analysis_status", """SELECT 'a'||user_id AS analysis_id, (['queued','cloning','parsing','traversing','explaining'])[CAST(arg_max(event_id, ts) % 5 AS INT) + 1] AS status,
+  CAST(50 + floor((arg_max(event_id, ts) % 7) / 7 * 45 + 0.5) AS BIGINT) AS pct, arg_max(event_id, ts) AS seq FROM events GROUP BY user_id""")

@@ -1,12 +1,18 @@
 """Every registered query: (spark, sf_dir) -> flat DataFrame. The SQL twins are in ``ripple.plans.oracle``."""
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
 
-from ripple.operators import calls, declarations, diagnostics, diff, entry_rules, repository_rules, walk
+from pyspark.sql import DataFrame, functions as F
+
+from ripple.functions import keys, text, trust
+from ripple.operators import (calls, declarations, diagnostics, diff, entry_rules, explain, grounding, repository_rules, serve,
+                              walk)
 from ripple.plans import analyze, index
-from ripple.schema import REVERSE_TYPES
-from ripple.session import cut
-from ripple.sources import code_facts as cf, warehouse as wh
+from ripple.schema import DEPTH_CAP, REVERSE_TYPES
+from ripple.session import cut, scratch_root
+from ripple.sources import code_facts as cf, event_feed as feed, files as src, store, warehouse as wh, wire
+from ripple.streaming import events as ev
 
 QUERIES = {}
 
@@ -379,3 +385,95 @@ def graph_diagnostics(spark, d):
 def graph_profile(spark, d):
     fl = wh.Fleet(spark, d)
     return diagnostics.graph_profile(fl.base_edges, fl.surfaces("base"))
+
+
+# --- events ---------------------------------------------------------------------------------------------------
+
+
+def clock(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def parsed_events(spark, d):
+    return ev.parse_payload(ev.dedupe_deliveries(feed.deliveries(spark, d)))
+
+
+@query
+def dedupe_deliveries(spark, d):
+    return ev.route_events(ev.dedupe_deliveries(feed.deliveries(spark, d))).select("id", "event", "route", clock("received_at").alias("received_at"))
+
+
+@query
+def stream_dedupe(spark, d):
+    """Streaming twin of dedupe_deliveries over the events table as a file source."""
+    out = f"{scratch_root(spark)}/ripple_stream_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(wh.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ev.run_available(ev.dedupe_stream(feed.to_deliveries(events)), f"{out}/rows", f"{out}/checkpoint",
+                     lambda b: ev.mark_processed(ev.route_events(b)))
+    return spark.read.parquet(f"{out}/rows").select("id", "event", "route", clock("received_at").alias("received_at"))
+
+
+@query
+def units(spark, d):
+    p = parsed_events(spark, d)
+    idx = ev.index_units(p).select("unit_id", "repo_id", F.lit("index").alias("trigger"), F.lit(None).cast("long").alias("pr_number"),
+                                   F.lit(None).cast("string").alias("base_sha"), F.col("sha").alias("head_sha"), "delivery_id")
+    return idx.unionByName(ev.analysis_units(p).drop("received_at"))
+
+
+@query
+def supersede(spark, d):
+    u = ev.supersede_units(ev.create_or_get_units(ev.analysis_units(parsed_events(spark, d))))
+    return u.select("unit_id", "repo_id", "trigger", "pr_number", "base_sha", "head_sha", "delivery_id", "superseded")
+
+
+@query
+def await_base_graph(spark, d):
+    u = ev.create_or_get_units(ev.analysis_units(parsed_events(spark, d))).drop("last_received")
+    now = F.lit("2024-01-30 23:20:00").cast("timestamp")
+    return ev.await_base_graph(u, feed.version_log(spark, d), now).select("unit_id", "repo_id", "base_sha", "head_sha", "outcome", "request_index", "error")
+
+
+@query
+def stream_units(spark, d):
+    """Deliveries -> dedupe -> units -> one per (repo, base, head), as one streaming query."""
+    out = f"{scratch_root(spark)}/ripple_stream_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(wh.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    fresh = ev.dedupe_stream(feed.to_deliveries(events))
+    ev.run_available(ev.push_units(ev.parse_payload(fresh)), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("unit_id", "repo_id", "base_sha", "head_sha", "delivery_id")
+
+
+@query
+def registry_upsert(spark, d):
+    p = parsed_events(spark, d)
+    r = ev.upsert_repos(ev.repo_sightings(p))
+    i = ev.upsert_installations(p)
+    return r.select("github_repo_id", "owner", "name", "default_branch", "github_installation_id", clock("created_at").alias("created_at"),
+                    F.lit("repo").alias("what")).unionByName(i.select(
+                        F.lit(None).cast("long").alias("github_repo_id"), F.col("account_login").alias("owner"), F.col("account_type").alias("name"),
+                        F.col("repository_selection").alias("default_branch"), "github_installation_id", clock("created_at").alias("created_at"),
+                        F.lit("installation").alias("what")))
+
+
+@query
+def link_installation(spark, d):
+    """Pushes and pull requests with our id of their installation; unknown ones stay NULL."""
+    p = parsed_events(spark, d)
+    known = ev.upsert_installations(p).filter("repository_selection = 'all'").select(
+        "github_installation_id", F.concat(F.lit("i"), F.col("github_installation_id").cast("string")).alias("id"))
+    return ev.link_installation(p.filter("event IN ('push', 'pull_request')"), known).select("id", "installation_id")
+
+
+def status_log(spark, d):
+    """Transitions of one analysis per user, in event order."""
+    return wh.table(spark, d, "events").select(
+        F.concat(F.lit("a"), F.col("user_id")).alias("analysis_id"),
+        F.element_at(F.array(*[F.lit(x) for x in ("queued", "cloning", "parsing", "traversing", "explaining")]),
+                     (F.col("event_id") % 5 + 1).cast("int")).alias("status"),
+        ev.explaining_pct(F.col("event_id") % 7, F.lit(7)).alias("pct"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+@query
+def analysis_status(spark, d):
+    return ev.analysis_status(status_log(spark, d)).select("analysis_id", "status", *big("pct"), "seq")

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Safe on any cluster; the number of shuffle partitions is left to the deployment and AQE.
 DEFAULTS = {
@@ -56,3 +57,25 @@ def cut(df: DataFrame, name: str = "step", bucket_by: list[str] | None = None) -
     (df.repartition(n, *bucket_by).write.bucketBy(n, *bucket_by).sortBy(*bucket_by)
      .option("path", path).format("parquet").saveAsTable(token))
     return spark.table(token)
+
+
+class Levels:
+    """Rows of an iterative walk, one folder per level, read back together as a single table."""
+
+    def __init__(self, spark: SparkSession, name: str, number: str):
+        self.spark, self.number, self.count = spark, number, 0
+        self.path = f"{scratch_root(spark)}/ripple_{name}_{uuid.uuid4().hex}"
+        self.schema = None
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write the next level and return it as a stored table."""
+        self.schema = rows.schema
+        path = f"{self.path}/{self.number}={self.count}"
+        rows.write.parquet(path)
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """Every level so far, with the level number as an integer column."""
+        full = StructType(list(self.schema.fields) + [StructField(self.number, IntegerType())])
+        return self.spark.read.schema(full).parquet(self.path)
