@@ -35,15 +35,17 @@ def roots_of(changes: DataFrame) -> DataFrame:
 
 
 class Analysis:
-    """Holds the flat parts of a context; every part is keyed by root_id. The base graph is the walked one."""
+    """Holds the flat parts of a context; every part is keyed by root_id. The base graph is the walked one.
+
+    ``changes`` and ``base_edges`` are read several times, so they should be stored tables.
+    """
 
     def __init__(self, analyses, changes, base_edges, head_edges, surfaces, source_diffs=None, versions=None,
                  parse_errors=None, depth_cap=DEPTH_CAP, caller_cap=CALLER_CAP):
         self.analyses, self.depth_cap = analyses, depth_cap
-        self.changes = cut(changes, "changes")
+        self.changes = changes
         self.roots = roots_of(self.changes)
         self.source_diffs, self.versions, self.parse_errors = source_diffs, versions, parse_errors
-        base_edges = cut(base_edges, "edges")
         self.callers, self.totals = walk.direct_callers(self.roots, base_edges, caller_cap)
         back = walk.prepare_hops(base_edges, "reverse")
         visited = walk.level_walk(self.roots, back, depth_cap=depth_cap)

@@ -1,5 +1,7 @@
 """DuckDB SQL twins of the registered queries, written against the same tables."""
 
+import re
+
 from ripple.sources.warehouse import BASE_END, HEAD_START, PART_SPAN
 
 ORD = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate"
@@ -465,3 +467,172 @@ define("link_installation", """SELECT id, CASE WHEN i.github_installation_id IS
   FROM ddd LEFT JOIN inst i ON i.github_installation_id = u % 40 AND i.sel = 'all' WHERE event IN ('push','pull_request')""", DEL, INST)
 define("analysis_status", """SELECT 'a'||user_id AS analysis_id, (['queued','cloning','parsing','traversing','explaining'])[CAST(arg_max(event_id, ts) % 5 AS INT) + 1] AS status,
   CAST(50 + floor((arg_max(event_id, ts) % 7) / 7 * 45 + 0.5) AS BIGINT) AS pct, arg_max(event_id, ts) AS seq FROM events GROUP BY user_id""")
+
+
+# --- grounding and explanations -----------------------------------------------------------------------------------
+LISTS = f"""
+crank AS ({SQL['direct_callers'][SQL['direct_callers'].rindex('SELECT * FROM (SELECT k.root_id'):]}),
+ent AS ({SQL['entrypoints'][SQL['entrypoints'].rindex('SELECT root_id, e.src AS key'):]}),
+callees AS ({SQL['now_depends_on'][SQL['now_depends_on'].rindex('SELECT c.root_id, h.dst AS key'):]})"""
+DISP = DISPLAY.format(k="key")
+SYMS = f"""
+keyed AS (SELECT root_id, function_key AS key FROM header UNION ALL SELECT root_id, key FROM crank UNION ALL SELECT root_id, key FROM ent
+  UNION ALL SELECT root_id, key FROM data UNION ALL SELECT root_id, key FROM callees),
+syms AS (SELECT DISTINCT root_id, symbol FROM (
+  SELECT root_id, unnest(CASE WHEN key LIKE 'fn:%' THEN [regexp_extract(key, 'fn:([^#]+)#', 1), regexp_extract(key, '([^.#:]+)#', 1), regexp_extract(key, '#([^(]+)', 1), 'java.lang.Long', 'Long', {DISP}]
+    WHEN key LIKE 'job:%' THEN [regexp_extract(key, 'job:([^#]+)#', 1), regexp_extract(key, '([^.#:]+)#', 1), 'run', key]
+    WHEN key LIKE 'route:%' THEN [substr(key, 7), split_part(substr(key, 7), ' ', 1), split_part(key, ' ', 2)]
+    WHEN key LIKE 'listener:%' THEN [substr(key, 10), 'kafka', split_part(key, ':', 3)]
+    WHEN key LIKE 'entity:%' THEN [substr(key, 8), regexp_extract(key, '([^.]+)$', 1)] WHEN key LIKE 'table:%' THEN [substr(key, 7)] ELSE [] END) AS symbol FROM keyed
+  UNION ALL SELECT root_id, unnest([owner, name, file_path, regexp_extract(file_path, '([^/]+)$', 1)]) FROM header
+  UNION ALL SELECT root_id, unnest([file_path, regexp_extract(file_path, '([^/]+)$', 1)]) FROM crank)),
+nums AS (SELECT DISTINCT root_id, CAST(n AS VARCHAR) AS number FROM (
+  SELECT root_id, unnest([pr_number, 1, caller_total, max_depth, nodes_visited, ambiguous_edges_on_path, parse_errors]) AS n FROM header
+  UNION ALL SELECT root_id, unnest([hops, line]) FROM crank UNION ALL SELECT root_id, min_hops FROM ent))"""
+define("symbol_allowlist", "SELECT root_id, symbol FROM syms", *ALL_PARTS, LISTS, SYMS)
+define("number_allowlist", "SELECT root_id, number FROM nums", *ALL_PARTS, LISTS, SYMS)
+
+RX_FILE, RX_CALL = r"\b[\w/-]+\.java\b", r"\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+\([^()]*\)"
+RX_ROUTE = r"\b(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+/[^\s,;.)]*"
+RX_DOTTED, RX_SNAKE = r"\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+\b", r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
+
+
+def tokens(source, keep):
+    stages = [("file", "t0", RX_FILE), ("call", "t1", RX_CALL), ("route", "t2", RX_ROUTE), ("dotted", "t3", RX_DOTTED), ("snake", "t3", RX_SNAKE), ("number", "t0", r"\b[0-9]+\b")]
+    found = " UNION ALL ".join(f"SELECT {keep}, '{n}' AS stage, unnest(regexp_extract_all({t}, '{rx}')) AS token, generate_subscripts(regexp_extract_all({t}, '{rx}'), 1) - 1 AS pos FROM blanked"
+                               for n, t, rx in stages)
+    return f"""
+blanked AS (SELECT *, regexp_replace(t2, '{RX_ROUTE}', ' ', 'g') AS t3 FROM (SELECT *, regexp_replace(t1, '{RX_CALL}', ' ', 'g') AS t2 FROM (
+  SELECT *, text AS t0, regexp_replace(text, '{RX_FILE}', ' ', 'g') AS t1 FROM {source}))),
+cand AS ({found})"""
+
+
+define("candidates", "SELECT text_id, stage, pos, token FROM cand",
+       "\ntexts0 AS (SELECT 'd'||doc_id AS text_id, text FROM documents UNION ALL SELECT 'p'||page_id, html FROM pages)", tokens("texts0", "text_id"))
+TEMPLATE = f"""
+t_callers AS (SELECT root_id, string_agg(display_name||' at '||file_path||':'||line||CASE WHEN inferred OR confidence <> 'exact' THEN ' (inferred edge)' ELSE '' END||': '||usage||
+    CASE WHEN signature_compatible THEN '' ELSE ' — signature-incompatible' END||'.', ' ' ORDER BY position) AS txt FROM crank GROUP BY 1),
+t_ent AS (SELECT root_id, string_agg({DISP}||CASE WHEN via_inferred_edge THEN ' (via an inferred edge)' ELSE '' END, ', ' ORDER BY key) AS txt FROM ent GROUP BY 1),
+t_data AS (SELECT root_id, string_agg(key||' ('||access||CASE WHEN via_inferred_edge THEN ', via an inferred edge' ELSE '' END||')', ', ' ORDER BY key) AS txt FROM data GROUP BY 1),
+t_new AS (SELECT root_id, string_agg(display_name, ', ' ORDER BY key, type) AS txt FROM callees WHERE is_new GROUP BY 1),
+template AS (SELECT h.root_id, h.change_kind, h.visibility_changed,
+    concat_ws(' ', display_name||' was '||CASE change_kind WHEN 'signature_changed' THEN 'changed with a signature change' ELSE change_kind END||' in '||file_path||'.',
+      CASE WHEN return_type_changed THEN 'Return type changed from `'||base_signature||'` to `'||head_signature||'`.' END, CASE WHEN visibility_changed THEN 'Visibility changed.' END) AS what_changed,
+    concat_ws(' ', CASE WHEN caller_total = 0 THEN 'No direct callers were found in the graph.' ELSE caller_total||' direct caller(s) found'||CASE WHEN truncated THEN ' (list truncated below).' ELSE '.' END END,
+      c.txt, 'Reachable entrypoints: '||e.txt||'.', 'Data touched: '||d.txt||'.') AS who_is_affected,
+    coalesce(nullif(concat_ws(' ', 'New dependencies introduced: '||n.txt||'.', CASE WHEN unresolved_rate > 0.05 THEN 'A notable share of calls in the base graph are unresolved.' END,
+      CASE WHEN ambiguous_edges_on_path > 0 THEN ambiguous_edges_on_path||' ambiguous edge(s) lie on the affected path — the true callee could not be narrowed to one candidate.' END,
+      CASE WHEN depth_cap_hit THEN 'The reverse traversal hit its depth cap — some further-removed effects may be missing.' END), ''), 'No further concerns from the graph.') AS what_to_check
+  FROM header h LEFT JOIN t_callers c USING (root_id) LEFT JOIN t_ent e USING (root_id) LEFT JOIN t_data d USING (root_id) LEFT JOIN t_new n USING (root_id))"""
+define("template_sections", "SELECT root_id, what_changed, who_is_affected, what_to_check FROM template", *ALL_PARTS, LISTS, TEMPLATE)
+
+
+def bad(attempt):
+    clean = "visibility_changed" + (" OR change_kind = 'removed'" if attempt == 2 else "")
+    return f"""
+planted AS (SELECT *, CASE WHEN {clean} THEN '' ELSE CASE change_kind WHEN 'added' THEN ' It now takes 987654 steps.' WHEN 'removed' THEN ' See com.acme.Fake.doStuff() for more.'
+    WHEN 'modified' THEN ' Then POST /nope, and rows of shadow_ledger.' ELSE '' END END AS extra FROM template),
+texts0 AS (SELECT root_id, 'what_changed' AS section, what_changed AS text FROM planted UNION ALL SELECT root_id, 'who_is_affected', who_is_affected||extra FROM planted
+  UNION ALL SELECT root_id, 'what_to_check', what_to_check FROM planted),""" + tokens("texts0", "root_id, section") + """,
+slist AS (SELECT root_id, list(symbol) AS l FROM syms GROUP BY 1), nlist AS (SELECT root_id, list(number) AS n FROM nums GROUP BY 1),
+bad AS (SELECT root_id, section, stage, pos, token, CASE WHEN stage = 'number' THEN 'number' ELSE 'symbol' END AS kind FROM cand JOIN slist USING (root_id) JOIN nlist USING (root_id)
+  WHERE NOT CASE stage WHEN 'number' THEN list_contains(n, token) WHEN 'route' THEN list_contains(l, split_part(token, ' ', 1)) AND list_contains(l, substr(token, instr(token, ' ') + 1))
+    WHEN 'file' THEN list_contains(l, token) WHEN 'snake' THEN list_contains(l, token)
+    ELSE list_contains(l, split_part(token, '(', 1)) OR len(list_filter(string_split(split_part(token, '(', 1), '.'), lambda x: NOT list_contains(l, x))) = 0 END)"""
+
+
+define("violations", "SELECT root_id, section, stage, pos, token, kind FROM bad", *ALL_PARTS, LISTS, SYMS, TEMPLATE, bad(1))
+
+
+def renamed(sql):
+    for n in ("planted", "texts0", "blanked", "cand", "slist", "nlist", "bad"):
+        sql = re.sub(rf"\b{n}\b", n + "_2", sql)
+    return sql
+
+
+TRIES = """
+tries AS (SELECT t.root_id, t.change_kind, v1 IS NULL AS c1, v2 IS NULL AS c2, coalesce(v2, 0) AS v2, what_changed, t.who_is_affected, what_to_check, p1.extra AS e1, p2.extra AS e2
+  FROM template t JOIN (SELECT root_id, extra FROM planted) p1 USING (root_id) JOIN (SELECT root_id, extra FROM planted_2) p2 USING (root_id)
+  LEFT JOIN (SELECT root_id, count(*) AS v1 FROM bad GROUP BY 1) USING (root_id) LEFT JOIN (SELECT root_id, count(*) AS v2 FROM bad_2 GROUP BY 1) USING (root_id)),
+resolved AS (SELECT root_id, change_kind, CASE WHEN c1 THEN 1 ELSE 2 END AS attempts, NOT c1 AND NOT c2 AS degraded, c1 OR c2 AS passed, CASE WHEN c1 THEN 0 ELSE v2 END AS violations,
+  CASE WHEN c1 OR c2 THEN length('{"what_changed":"","who_is_affected":"","what_to_check":""}') + length(what_changed) + length(who_is_affected) + length(what_to_check) + length(CASE WHEN c1 THEN e1 ELSE e2 END) ELSE 0 END AS raw_length,
+  length(what_changed) AS tokens_in FROM tries)"""
+ATT = (*ALL_PARTS, LISTS, SYMS, TEMPLATE, bad(1), renamed(bad(2)), TRIES)
+define("resolve_attempts", "SELECT root_id, attempts, degraded, passed, violations, raw_length FROM resolved", *ATT)
+define("explanation_metrics", """SELECT change_kind AS model, 'v1' AS prompt_version, count(*) AS explanations, sum(tokens_in) AS input_tokens, count(*) AS output_tokens, sum(violations) AS violations,
+  round(avg(CASE WHEN attempts > 1 THEN 1.0 ELSE 0.0 END), 6) AS rejected_share, round(avg(CASE WHEN attempts > 1 AND NOT degraded THEN 1.0 ELSE 0.0 END), 6) AS repaired_share,
+  round(avg(CASE WHEN degraded THEN 1.0 ELSE 0.0 END), 6) AS degraded_share FROM resolved GROUP BY 1""", *ATT)
+define("save_explanations", """SELECT id, context_hash, model FROM (SELECT *, row_number() OVER (PARTITION BY context_hash, model ORDER BY late, at0, id) AS rn FROM (
+  SELECT 'e'||doc_id AS id, sha256(text) AS context_hash, lang AS model, doc_id AS at0, 0 AS late FROM documents
+  UNION ALL SELECT 'c-'||conv_id||'-'||turn, sha256(text), 'en', turn, 1 FROM conversations)) WHERE rn = 1""")
+define("cache_probe", "SELECT conv_id, turn, EXISTS (SELECT 1 FROM documents d WHERE d.text = c.text AND d.lang = 'en') AS is_hit FROM conversations c")
+define("parse_generated", """SELECT doc_id, CASE WHEN lang = 'en' THEN sha256(text) END AS what_changed, CASE WHEN lang = 'en' THEN CASE WHEN n_chars > 1000 THEN n_chars ELSE 0 END END AS input_tokens,
+  CASE WHEN lang = 'en' THEN 0 END AS output_tokens, CASE WHEN lang = 'en' THEN NULL WHEN lang IN ('de', 'fr') THEN 'missing section' ELSE 'not valid JSON' END AS error FROM documents""")
+
+# --- read queries ----------------------------------------------------------------------------------------------------
+STORED = f"""
+listed AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, {pk('l_partkey')}) - 1 AS position FROM (
+  SELECT l_orderkey, l_partkey, min(l_linenumber) AS ln FROM lineitem GROUP BY 1, 2)),
+stored AS (SELECT 'a'||o_orderkey AS analysis_id, o_custkey AS repo_id, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(substr(o_orderpriority, 1, 1) AS BIGINT) END AS pr_number,
+  CASE o_orderstatus WHEN 'P' THEN 'superseded' WHEN 'F' THEN 'ready' ELSE 'queued' END AS status, o_orderdate, o_orderkey FROM orders)"""
+define("analysis_detail", f"""SELECT analysis_id, position, CASE WHEN l_partkey IS NOT NULL THEN {pk('l_partkey')} END AS function_key, CASE WHEN l_partkey IS NOT NULL THEN 'modified' END AS change_kind,
+  sha256(CAST(l_partkey AS VARCHAR)) AS context_hash, p_name AS what_changed, p_type = 'PROMO' AS degraded FROM stored LEFT JOIN listed ON l_orderkey = o_orderkey
+  LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5 WHERE status = 'ready'""", STORED)
+define("latest_for_pull", """SELECT repo_id, pr_number, analysis_id, status FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, pr_number ORDER BY o_orderdate DESC, analysis_id DESC) AS rn
+  FROM stored WHERE pr_number IS NOT NULL AND status <> 'superseded') WHERE rn = 1""", STORED)
+define("node_lookups", """SELECT 'function' AS what, f.gv AS graph_version_id, f.function_key AS key, body_hash AS value FROM fv_base f SEMI JOIN changes c ON c.gv = f.gv AND c.function_key = f.function_key
+  UNION ALL SELECT 'surface', s.gv, key, kind FROM surf_base s SEMI JOIN edges_base e ON e.gv = s.gv AND e.src = s.key AND e.type IN ('handles','triggers')""", LINES, EB, SB, CHANGES)
+
+# --- snapshots and data quality ------------------------------------------------------------------------------------------
+define("unique_key_report", """SELECT 'edges' AS table_name, gv||'|'||src||'|'||dst||'|'||type AS key, count(*) AS n FROM raw_base GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT 'deliveries', 'd'||CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END, count(*) FROM events GROUP BY 2 HAVING count(*) > 1""", LINES, EB)
+define("dangling_edges", """SELECT gv AS graph_version_id, side, key, count(*) AS n FROM (SELECT gv, 'src' AS side, src AS key FROM edges_base UNION ALL SELECT gv, 'dst', dst FROM edges_base) e
+  WHERE key NOT LIKE 'unresolved:%' AND NOT EXISTS (SELECT 1 FROM fv_base f WHERE f.gv = e.gv AND f.function_key = e.key) AND NOT EXISTS (SELECT 1 FROM surf_base s WHERE s.gv = e.gv AND s.key = e.key)
+  GROUP BY 1, 2, 3""", LINES, EB, SB, CHANGES)
+define("retention_plan", """SELECT 'v'||o_orderkey AS graph_version_id, 'c'||o_custkey AS repo_id, CASE WHEN coalesce(pins, 0) = 0 THEN 'delete' ELSE 'supersede' END AS action
+  FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS pins FROM (SELECT l_orderkey, l_linenumber, sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 0 GROUP BY 1)
+    ON l_orderkey = o_orderkey
+  WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'O' AND NOT EXISTS (SELECT 1 FROM (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1) c WHERE c.k = o.o_orderkey)""")
+define("version_status", """SELECT 'v'||l_orderkey AS graph_version_id, CASE WHEN l_linestatus = 'O' THEN 'building' ELSE 'ready' END AS status FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1""")
+define("identity_upsert", f"""SELECT repo_id, {pk('l_partkey')} AS key, 'P'||l_partkey AS class_name, (['find','get','save','delete','count','run'])[CAST(l_partkey % 6 AS INT) + 1] AS method_name,
+  'java.lang.Long' AS param_types, strftime(min(o_orderdate), '%Y-%m-%d') AS first_seen, strftime(max(o_orderdate), '%Y-%m-%d') AS last_seen FROM li WHERE in_base OR in_head GROUP BY repo_id, l_partkey""", LINES)
+define("snapshot_publish_read", "SELECT repo_id, gv AS graph_version_id, function_key, body_hash, CAST(start_line AS BIGINT) AS start_line FROM fv_head", LINES, CHANGES)
+define("ingest_parse_responses", """SELECT gv||'|'||file_path AS graph_version_id, repo_id||'-base' AS sha, function_key, body_hash, CAST(end_line AS BIGINT) AS end_line, 'external_type' AS edge_reason,
+  file_path||':'||start_line AS call_sites, 1 AS functions, 1 AS edges, 0 AS surfaces, CASE WHEN end_line > 50 THEN 1 ELSE 0 END AS parse_errors, 0.5::DOUBLE AS unresolved_rate,
+  CASE WHEN end_line > 50 THEN 'boom' END AS message FROM fv_base""", LINES, CHANGES)
+FILES = r"""
+pf0 AS (SELECT 'r'||(page_id % 5) AS repo_id, 'head' AS sha, CASE page_id % 4 WHEN 0 THEN 'src/main/java' WHEN 1 THEN 'src/test/java' WHEN 2 THEN 'target/gen/src/main/java' ELSE 'mod/src/main/java' END AS root,
+  page_id % 4 IN (0, 3) AS extraction, page_id % 6 <> 5 OR url LIKE '%.java' AS is_java,
+  CASE page_id % 4 WHEN 0 THEN 'src/main/java/' WHEN 1 THEN 'src/test/java/' WHEN 2 THEN 'target/gen/src/main/java/' ELSE 'mod/src/main/java/' END||regexp_replace(url, '^https?://', '')||CASE WHEN page_id % 6 = 5 THEN '' ELSE '.java' END AS path FROM pages)"""
+define("source_roots", "SELECT DISTINCT repo_id, sha, root, CASE WHEN root LIKE 'target%' THEN 'solver_only' ELSE 'extraction' END AS root_kind FROM pf0", FILES)
+define("java_files_gate", """SELECT repo_id, path, count(*) OVER (PARTITION BY repo_id) AS files, count(*) OVER (PARTITION BY repo_id) > 5 AS over_limit
+  FROM (SELECT DISTINCT repo_id, path FROM pf0 WHERE extraction AND is_java AND path LIKE '%.example.com%')""", FILES)
+
+# --- scalars ----------------------------------------------------------------------------------------------------------------
+KEYS = f"""
+sk AS (SELECT {pk('p_partkey')} AS key FROM part UNION ALL SELECT 'fn:com.acme.'||replace(p_name, ' ', '.')||'$In#<init>(int,java.lang.String[],'||p_type||')' FROM part
+  UNION ALL SELECT 'fn:a.B#c(int,,'||p_name||')' FROM part UNION ALL SELECT 'fn:'||s_name||'#x(' FROM supplier UNION ALL SELECT 'route:GET /o/'||o_orderkey FROM orders
+  UNION ALL SELECT url FROM pages UNION ALL SELECT 'listener:kafka:'||n_name FROM nation UNION ALL SELECT ':'||c_name FROM customer UNION ALL SELECT text FROM documents),
+parsed AS (SELECT *, m AND NOT list_contains(string_split(params, ','), '') OR m AND params = '' AS ok FROM (
+  SELECT key, regexp_full_match(key, '(?s)fn:([^#]+)#([^(]+)\\((.*)\\)') AS m, regexp_extract(key, '(?s)^fn:([^#]+)#([^(]+)\\((.*)\\)$', 1) AS fqcn,
+    regexp_extract(key, '(?s)^fn:([^#]+)#([^(]+)\\((.*)\\)$', 2) AS method, regexp_extract(key, '(?s)^fn:([^#]+)#([^(]+)\\((.*)\\)$', 3) AS params,
+    CASE WHEN instr(key, ':') > 1 AND split_part(key, ':', 1) IN ('fn','route','job','listener','entity','table','unresolved') THEN split_part(key, ':', 1) END AS kind FROM sk))"""
+define("keys_parse_display", """SELECT sha256(key) AS key_hash, kind, kind IS NOT NULL AS is_node, coalesce(kind = 'fn', false) AS is_function, CASE WHEN ok THEN fqcn END AS fqcn,
+  CASE WHEN ok THEN regexp_extract(fqcn, '([^.]*)$', 1) END AS class_name, CASE WHEN ok THEN method END AS method_name, CASE WHEN ok THEN replace(params, ',', '|') END AS params,
+  sha256(CASE WHEN ok THEN regexp_extract(fqcn, '([^.]*)$', 1)||'.'||method||'('||array_to_string(list_transform(CASE WHEN params = '' THEN [] ELSE string_split(params, ',') END,
+    lambda t: regexp_replace(t, '^[^\\[]*\\.', '')), ', ')||')' ELSE key END) AS display_hash, CASE WHEN ok THEN 'fn:'||fqcn||'#'||method||'('||params||')' END AS again FROM parsed""", KEYS)
+define("keys_build_and_hash", f"""SELECT p_partkey, 'route:GET /'||p_type AS route, 'listener:jms:'||p_name AS listener, 'entity:com.acme.'||replace(p_brand, '#', '') AS entity, 'table:'||p_type AS tab,
+  'unresolved:'||p_name||'#run' AS lost, 'job:'||substr({pk('p_partkey')}, 4) AS job, 'index:'||p_type||':'||p_name AS index_unit,
+  'analyze:'||p_type||':'||CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE 'push' END||'-'||p_name AS analyze_unit,
+  -(('0x'||substr(sha256(p_type||'/'||p_name), 1, 8))::BIGINT & 2147483647) AS repo_number, substr(p_name, instr(p_name, ' ') + 1) AS repo_name,
+  'sha256:'||sha256(CASE WHEN p_size > 3 THEN p_name ELSE '' END) AS print FROM part""")
+define("path_verb_scalars", """SELECT p_partkey, '/'||p_type||'/'||replace(p_name, ' ', '/') AS joined, CASE WHEN p_size > 25 THEN '/'||p_name ELSE '/'||p_type END AS path,
+  CASE WHEN p_size > 25 THEN 'PATCH' ELSE 'ANY' END AS verb, false AS has_get, CASE WHEN p_size > 25 THEN NULL ELSE '/'||p_type END AS member,
+  'h_t_m_l'||array_to_string(list_transform(string_split(p_name, ' '), lambda w: '_'||w), ' ') AS snake, 'Map[]' AS erased, 'a/'||p_name AS relative FROM part""")
+define("access_and_visibility", f"""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (2, 3) THEN 'write' ELSE 'read' END AS walk_access,
+  (['read','write','write','read','write','unknown'])[CAST(p_partkey % 6 AS INT) + 1] AS store_access, CASE WHEN p_size > 40 THEN '' WHEN p_size > 20 THEN 'protected' ELSE 'public' END AS vis,
+  (['calls this method','implements this interface method','overrides this method','reaches this method via a "queries" edge'])[CAST(p_partkey % 4 AS INT) + 1] AS usage,
+  {NAMES.format('greatest(CAST(p_partkey % 4 AS INT), CAST(p_size % 4 AS INT))')} AS weaker, p_size % 4 AS rank,
+  CASE WHEN p_size > 40 THEN 'static' WHEN p_size > 20 THEN 'protected final' ELSE 'public static' END||' '||p_type||' '||(['find','get','save','delete','count','run'])[CAST(p_partkey % 6 AS INT) + 1]||'(Long arg0)' AS signature
+  FROM part""")

@@ -30,13 +30,48 @@ def sites_text(c):
     return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["file_path"], x["line"].cast("string"))), ";")
 
 
-def changes(fl):
+_SHARED = {}
+
+
+def shared(f):
+    """Keep the staged inputs of a session, so that queries over the same folder do not stage them again."""
+    def once(spark, d):
+        key = (f.__name__, spark, d)
+        if key not in _SHARED:
+            _SHARED[key] = f(spark, d)
+        return _SHARED[key]
+    return once
+
+
+def forget():
+    """Drop what is shared; the next query stages its own inputs (bench.py does this before every query)."""
+    _SHARED.clear()
+
+
+@shared
+def fleet(spark, d):
+    return wh.Fleet(spark, d)
+
+
+@shared
+def stored_changes(spark, d):
+    fl = fleet(spark, d)
     files = cut(diff.touched_files(fl.name_status), "touched")
-    return analyze.detect(fl.analyses, fl.function_versions("base"), fl.function_versions("head"), files)
+    found = analyze.detect(fl.analyses, fl.function_versions("base"), fl.function_versions("head"), files)
+    return cut(found, "changes")
+
+
+def changes(fl):
+    return stored_changes(fl.spark, fl.d)
 
 
 def changed_roots(fl):
-    return cut(analyze.roots_of(changes(fl)), "roots")
+    return analyze.roots_of(changes(fl))
+
+
+@shared
+def fact_graph(spark, d):
+    return index.build_graph(cf.all_facts(spark, d))
 
 
 @query
@@ -47,14 +82,14 @@ def touched_files(spark, d):
 
 @query
 def changed_functions(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     return changes(fl).select("analysis_id", "function_key", "change_kind",
                                     F.coalesce("head.file_path", "base.file_path").alias("file_path"))
 
 
 @query
 def signature_diff(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     return changes(fl).select(
         "analysis_id", "function_key", "base_signature", "head_signature", "return_type_changed", "visibility_changed",
         "params_changed", F.size("throws_added").alias("throws_added"), "signature_compatible")
@@ -79,7 +114,7 @@ def surface_collapse(spark, d):
 @query
 def adjacency(spark, d):
     """Incoming and outgoing code edges of every changed function."""
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     keys = changed_roots(fl).select(F.col("gv").alias("graph_version_id"), "node")
     e = fl.base_edges
     shown = lambda df, side: df.select(F.lit(side).alias("side"), F.col("graph_version_id").alias("gv"), "src", "dst", "type")
@@ -88,7 +123,7 @@ def adjacency(spark, d):
 
 @query
 def direct_callers(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     ranked, _ = walk.direct_callers(changed_roots(fl), fl.base_edges, 5)
     return ranked.select("root_id", *big("position", "hops", "line"), "key", "display_name", "file_path", "usage",
                          "signature_compatible", "confidence", "inferred")
@@ -96,28 +131,28 @@ def direct_callers(spark, d):
 
 @query
 def direct_caller_totals(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     _, totals = walk.direct_callers(changed_roots(fl), fl.base_edges, 5)
     return totals.select("root_id", *big("caller_total", "ambiguous_callers"), "truncated")
 
 
 @query
 def level_walk_reverse(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     return walk.level_walk(changed_roots(fl), fl.base_edges).select(
         "root_id", "node", *big("depth", "rank"), "inferred")
 
 
 @query
 def level_walk_forward(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     return walk.level_walk(changed_roots(fl), fl.base_edges, "forward").select(
         "root_id", "node", *big("depth", "rank"), "inferred")
 
 
 @query
 def walk_meta(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     hops = walk.prepare_hops(fl.base_edges, "reverse")
     visited = walk.level_walk(changed_roots(fl), hops)
     return walk.walk_meta(visited, hops).select("root_id", *big("max_depth", "nodes_visited"), "depth_cap_hit")
@@ -125,7 +160,7 @@ def walk_meta(spark, d):
 
 @query
 def entrypoints(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     e = fl.base_edges
     visited = walk.level_walk(changed_roots(fl), e)
     return walk.entrypoints(visited, e, fl.surfaces("base")).select(
@@ -134,7 +169,7 @@ def entrypoints(spark, d):
 
 @query
 def data_surfaces(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     e = fl.base_edges
     visited = walk.level_walk(changed_roots(fl), e, "forward")
     return walk.data_surfaces(visited, e).drop("gv")
@@ -142,14 +177,14 @@ def data_surfaces(spark, d):
 
 @query
 def now_depends_on(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     return walk.now_depends_on(changed_roots(fl), fl.edges("head"),
                                fl.edges("base")).drop("gv")
 
 
 @query
 def ambiguous_on_path(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     roots, e = changed_roots(fl), fl.base_edges
     totals = walk.caller_totals(walk.all_callers(roots, e))
     data = walk.data_surfaces(walk.level_walk(roots, e, "forward"), e)
@@ -169,7 +204,7 @@ def reverse_reachable(spark, d):
 @query
 def method_diffs(spark, d):
     """The diff text of every changed function, limited to the hunks that touch it."""
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     c = changes(fl)
     ranges = c.select("analysis_id", "function_key", F.coalesce("head.file_path", "base.file_path").alias("file_path"),
                       *[F.col(f"{s}.{x}_line").alias(f"{s}_{x}") for s in ("base", "head") for x in ("start", "end")])
@@ -190,10 +225,11 @@ def is_ancestor(spark, d):
     return diff.is_ancestor(*wh.commit_history(spark, d))
 
 
+@shared
 def whole_analysis(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     texts = diff.diff_hunks(fl.diff_texts)
-    c = cut(changes(fl), "changes")
+    c = changes(fl)
     ranges = c.select("analysis_id", "function_key", F.coalesce("head.file_path", "base.file_path").alias("file_path"),
                       *[F.col(f"{s}.{x}_line").alias(f"{s}_{x}") for s in ("base", "head") for x in ("start", "end")])
     base = fl.base_edges
@@ -204,10 +240,15 @@ def whole_analysis(spark, d):
                             source_diffs=diff.method_diffs(texts, ranges), versions=rates, caller_cap=5)
 
 
+@shared
+def whole_header(spark, d):
+    return cut(whole_analysis(spark, d).header(), "header")
+
+
 @query
 def context_objects(spark, d):
     """The flat header of every context object."""
-    h = whole_analysis(spark, d).header()
+    h = whole_header(spark, d)
     return h.select(
         "root_id", "repo_id", "owner", "name", "pr_number", "function_key", "display_name", "change_kind", "file_path",
         "base_signature", "head_signature", "return_type_changed", "visibility_changed", "source_diff",
@@ -236,14 +277,22 @@ def attrs_text(c):
     return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
 
 
+@shared
 def fact_functions(spark, d):
     return cut(declarations.build_functions(cf.callables(spark, d), cf.imports(spark, d)), "functions")
 
 
+@shared
+def fact_ancestors(spark, d):
+    return walk.ancestor_closure(cf.supertypes(spark, d))
+
+
+@shared
 def fact_types(spark, d):
     return cut(cf.types(spark, d).withColumn("in_extraction_set", index.extracted(F.col("file_path"))), "types")
 
 
+@shared
 def fact_calls(spark, d):
     """Classified call sites of extracted files, with their enclosing function."""
     functions, sites = fact_functions(spark, d), cf.call_sites(spark, d)
@@ -308,13 +357,13 @@ def bind_by_elimination(spark, d):
 
 @query
 def ancestor_closure(spark, d):
-    return walk.ancestor_closure(cf.supertypes(spark, d)).select("gv", "fqcn", "ancestor_fqcn", *big("distance"))
+    return fact_ancestors(spark, d).select("gv", "fqcn", "ancestor_fqcn", *big("distance"))
 
 
 @query
 def inheritance_edges(spark, d):
     f = fact_functions(spark, d).filter(index.extracted(F.col("file_path")))
-    e = declarations.inheritance_edges(f, walk.ancestor_closure(cf.supertypes(spark, d)), fact_types(spark, d))
+    e = declarations.inheritance_edges(f, fact_ancestors(spark, d), fact_types(spark, d))
     return e.select("gv", "src", "dst", "type", F.col("call_site.line").cast("long").alias("line"))
 
 
@@ -325,12 +374,13 @@ def selector_keys(spark, d):
 
 @query
 def dispatch_edges(spark, d):
-    g = index.build_graph(cf.all_facts(spark, d))
+    g = fact_graph(spark, d)
     return g.dispatch.groupBy("gv", "src", "dst", "confidence", "via").agg(F.count("*").alias("sites"))
 
 
+@shared
 def declared_marks(spark, d):
-    found = entry_rules.declared(fact_functions(spark, d), walk.ancestor_closure(cf.supertypes(spark, d)))
+    found = entry_rules.declared(fact_functions(spark, d), fact_ancestors(spark, d))
     return cut(found, "declared").filter(index.extracted(F.col("file_path")))
 
 
@@ -352,7 +402,7 @@ def jobs_listeners(spark, d):
 def repository_edges(spark, d):
     f = fact_functions(spark, d).filter(index.extracted(F.col("file_path")))
     m = repository_rules.repository_markers(cf.type_params(spark, d))
-    return repository_rules.query_edges(m, walk.ancestor_closure(cf.supertypes(spark, d)), f).select(
+    return repository_rules.query_edges(m, fact_ancestors(spark, d), f).select(
         "gv", "src", "dst", "confidence")
 
 
@@ -364,18 +414,18 @@ def entity_tables(spark, d):
 
 @query
 def build_graph(spark, d):
-    return index.build_graph(cf.all_facts(spark, d)).edges.select(
+    return fact_graph(spark, d).edges.select(
         "gv", "src", "dst", "type", "inferred", "confidence", "reason", F.size("call_sites").cast("long").alias("sites"))
 
 
 @query
 def graph_surfaces(spark, d):
-    return index.build_graph(cf.all_facts(spark, d)).surfaces.select("gv", "key", "kind", attrs_text("attrs").alias("attrs"))
+    return fact_graph(spark, d).surfaces.select("gv", "key", "kind", attrs_text("attrs").alias("attrs"))
 
 
 @query
 def graph_diagnostics(spark, d):
-    g = index.build_graph(cf.all_facts(spark, d))
+    g = fact_graph(spark, d)
     r = diagnostics.graph_diagnostics(g.edges, g.classified, g.functions)
     rates = [c for c in r.columns if c.endswith("_rate")]
     return r.select(*[c for c in r.columns if c not in rates], *[F.round(c, 6).alias(c) for c in rates])
@@ -383,10 +433,374 @@ def graph_diagnostics(spark, d):
 
 @query
 def graph_profile(spark, d):
-    fl = wh.Fleet(spark, d)
+    fl = fleet(spark, d)
     return diagnostics.graph_profile(fl.base_edges, fl.surfaces("base"))
 
 
+# --- grounding, explanations, read queries ------------------------------------------------------------------
+
+
+@shared
+def allowlists(spark, d):
+    a, h = whole_analysis(spark, d), whole_header(spark, d)
+    return cut(grounding.symbol_allowlist(a, h), "symbols"), cut(grounding.number_allowlist(a, h), "numbers")
+
+
+@shared
+def template_rows(spark, d):
+    return cut(explain.template_sections(whole_analysis(spark, d), whole_header(spark, d)), "template")
+
+
+# Invented tokens appended to template text, chosen by change kind and visibility.
+PLANTED = {"added": " It now takes 987654 steps.", "removed": " See com.acme.Fake.doStuff() for more.",
+           "modified": " Then POST /nope, and rows of shadow_ledger.", "signature_changed": ""}
+
+
+def generated_sections(spark, d, attempt):
+    """Generated text per context: the template, with invented tokens unless the function became private or it is a retry of a removal."""
+    h = whole_header(spark, d).select("root_id", "change_kind", "visibility_changed")
+    planted = F.lit("")
+    for kind, extra in PLANTED.items():
+        planted = F.when(F.col("change_kind") == kind, F.lit(extra)).otherwise(planted)
+    clean = F.col("visibility_changed") | ((F.col("change_kind") == "removed") & F.lit(attempt == 2))
+    rows = template_rows(spark, d).join(h, "root_id").withColumn("extra", F.when(clean, "").otherwise(planted))
+    s = F.col("sections")
+    return rows.select("root_id", F.struct(s["what_changed"].alias("what_changed"), F.concat(s["who_is_affected"], "extra").alias("who_is_affected"),
+                                           s["what_to_check"].alias("what_to_check")).alias("sections"))
+
+
+@query
+def symbol_allowlist(spark, d):
+    return allowlists(spark, d)[0]
+
+
+@query
+def number_allowlist(spark, d):
+    return allowlists(spark, d)[1]
+
+
+@query
+def candidates(spark, d):
+    """Candidate tokens of every document and page, whole texts."""
+    docs = wh.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    pages = wh.table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("text_id"), F.col("html").alias("text"))
+    return grounding.candidates(docs.unionByName(pages)).select("text_id", "stage", *big("pos"), "token")
+
+
+def all_violations(spark, d, attempt=1):
+    symbols, numbers = allowlists(spark, d)
+    texts = explain.section_texts(generated_sections(spark, d, attempt))
+    return grounding.violations(grounding.candidates(texts), symbols, numbers)
+
+
+@query
+def violations(spark, d):
+    return all_violations(spark, d).select("root_id", "section", "stage", *big("pos"), "token", "kind")
+
+
+@query
+def template_sections(spark, d):
+    return template_rows(spark, d).select("root_id", "sections.*")
+
+
+@shared
+def attempts(spark, d):
+    bad = reduce(DataFrame.unionByName, [all_violations(spark, d, n).groupBy("root_id").agg(F.count("*").alias("n")).withColumn(
+        "attempt", F.lit(n)) for n in (1, 2)])
+    as_raw = lambda n: generated_sections(spark, d, n).withColumn("raw", F.to_json("sections"))
+    return cut(explain.resolve_attempts(as_raw(1), as_raw(2), bad, template_rows(spark, d)), "attempts")
+
+
+@query
+def resolve_attempts(spark, d):
+    return attempts(spark, d).select("root_id", *big("attempts", "violations"), "degraded", "passed", F.length("raw").cast("long").alias("raw_length"))
+
+
+@query
+def explanation_metrics(spark, d):
+    rows = attempts(spark, d).join(whole_header(spark, d).select("root_id", F.col("change_kind").alias("model")), "root_id").select(
+        "model", F.lit("v1").alias("prompt_version"), "attempts", "degraded", "violations",
+        F.length("sections.what_changed").alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    m = explain.explanation_metrics(rows)
+    return m.select("model", "prompt_version", *big("explanations", "input_tokens", "output_tokens", "violations"),
+                    *[F.round(c, 6).alias(c) for c in ("rejected_share", "repaired_share", "degraded_share")])
+
+
+def documents_as_explanations(spark, d):
+    """Stored explanations: one per document text; equal texts share a context hash."""
+    return wh.table(spark, d, "documents").select(
+        F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("context_hash"),
+        F.lit("v1").alias("prompt_version"), F.col("lang").alias("model"), F.col("text").alias("raw"), F.col("doc_id").alias("created_at"))
+
+
+@query
+def save_explanations(spark, d):
+    """First writer wins per key when conversation turns are added to what the documents already stored."""
+    stored = documents_as_explanations(spark, d)
+    turns = wh.table(spark, d, "conversations").select(
+        F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.sha2("text", 256).alias("context_hash"),
+        F.lit("v1").alias("prompt_version"), F.lit("en").alias("model"), F.col("text").alias("raw"), F.col("turn").alias("created_at"))
+    return explain.save_explanations(turns, stored).select("id", "context_hash", "model")
+
+
+@query
+def cache_probe(spark, d):
+    """Which conversation turns already have a stored explanation of exactly their text?"""
+    asked = wh.table(spark, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("context_hash"), F.lit("v1").alias("prompt_version"),
+                                                       F.lit("en").alias("model"))
+    return explain.cache_probe(asked, documents_as_explanations(spark, d)).select("conv_id", "turn", "is_hit")
+
+
+@query
+def parse_generated(spark, d):
+    """Model answers built from the documents: clean, truncated, missing a section, or with a number for text."""
+    docs = wh.table(spark, d, "documents")
+    full = F.to_json(F.struct(F.col("text").alias("whatChanged"), F.col("lang").alias("whoIsAffected"), F.col("source").alias("whatToCheck")))
+    part = F.to_json(F.struct(F.col("text").alias("whatChanged"), F.col("lang").alias("whoIsAffected")))
+    number = F.to_json(F.struct(F.col("text").alias("whatChanged"), F.col("n_chars").alias("whoIsAffected"), F.col("source").alias("whatToCheck")))
+    raw = (F.when(F.col("lang") == "en", full).when(F.col("lang") == "de", part).when(F.col("lang") == "fr", number)
+           .otherwise(F.concat(F.lit("{"), full)))
+    good, bad = explain.parse_generated(docs.select("doc_id", raw.alias("raw"), F.when(F.col("n_chars") > 1000, F.col("n_chars")).alias("input_tokens"),
+                                                    F.lit(None).cast("long").alias("output_tokens")))
+    shown = good.select("doc_id", F.sha2("sections.what_changed", 256).alias("what_changed"), "input_tokens", "output_tokens", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("long")
+    return shown.unionByName(bad.select("doc_id", F.lit(None).cast("string").alias("what_changed"), none.alias("input_tokens"), none.alias("output_tokens"), "error"))
+
+
+@query
+def prompt_rows(spark, d):
+    """Request text of every context, with the repair line where the first attempt was rejected."""
+    contexts = analyze.build_context(whole_analysis(spark, d))
+    return explain.prompt_rows(contexts, "v1", ["Explain the change."], all_violations(spark, d))
+
+
+def stored_analyses(spark, d):
+    """One stored analysis per order; its changed functions are the parts of the order, in line order."""
+    li = wh.table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln"))
+    fn = F.struct("ln", wh.part_key(F.col("l_partkey")).alias("function_key"), F.lit("modified").alias("change_kind"),
+                  F.sha2(F.col("l_partkey").cast("string"), 256).alias("context_hash"),
+                  F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("explanation_id"))
+    listed = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(fn)).alias("changed_functions"))
+    o = wh.table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", "superseded").when(F.col("o_orderstatus") == "F", "ready").otherwise("queued")
+    return o.join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("analysis_id"), F.col("o_custkey").alias("repo_id"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.substring("o_orderpriority", 1, 1).cast("long")).alias("pr_number"), status.alias("status"),
+        F.col("o_orderdate").alias("created_at"), "changed_functions")
+
+
+@query
+def analysis_detail(spark, d):
+    a = stored_analyses(spark, d)
+    ids = a.filter("status = 'ready'").select("analysis_id")
+    ex = wh.table(spark, d, "part").filter("p_size > 5").select(
+        F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("id"), F.struct(F.col("p_name").alias("what_changed")).alias("sections"),
+        (F.col("p_type") == "PROMO").alias("degraded"))
+    return serve.analysis_detail(a, ids, ex).select("analysis_id", *big("position"), "function_key", "change_kind", "context_hash",
+                                                    F.col("sections.what_changed").alias("what_changed"), "degraded")
+
+
+@query
+def latest_for_pull(spark, d):
+    return serve.latest_for_pull(stored_analyses(spark, d)).select("repo_id", "pr_number", "analysis_id", "status")
+
+
+@query
+def node_lookups(spark, d):
+    """Function facts of every changed function and surface rows of every entry edge, by key."""
+    fl = fleet(spark, d)
+    keys = changed_roots(fl).select(F.col("gv").alias("graph_version_id"), F.col("node").alias("function_key"))
+    fn = serve.function_by_key(fl.function_versions("base"), keys).select(F.lit("function").alias("what"), "graph_version_id", F.col("function_key").alias("key"),
+                                                                         F.col("body_hash").alias("value"))
+    wanted = fl.base_edges.filter(F.col("type").isin("handles", "triggers")).select("graph_version_id", F.col("src").alias("key"))
+    sf = serve.surface_by_key(fl.surfaces("base"), wanted).select(F.lit("surface").alias("what"), "graph_version_id", "key", F.col("kind").alias("value"))
+    return fn.unionByName(sf)
+
+
+# --- snapshots and data quality -------------------------------------------------------------------------------
+
+
+@query
+def unique_key_report(spark, d):
+    fl = fleet(spark, d)
+    return diagnostics.unique_key_report({
+        "edges": fl.raw_edges("base"), "function_versions": fl.function_versions("base"), "deliveries": feed.deliveries(spark, d)})
+
+
+@query
+def dangling_edges(spark, d):
+    fl = fleet(spark, d)
+    return diagnostics.dangling_edges(fl.base_edges, fl.function_versions("base"), fl.surfaces("base"))
+
+
+def order_versions(spark, d):
+    return wh.table(spark, d, "orders").select(
+        F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("graph_version_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("repo_id"),
+        F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("sha"), F.when(F.col("o_orderpriority") == "5-LOW", "pr_overlay").otherwise("branch").alias("kind"),
+        F.when(F.col("o_orderstatus") == "O", "building").when(F.col("o_orderstatus") == "F", "ready").otherwise("failed").alias("status"),
+        F.col("o_orderkey").alias("seq"))
+
+
+@query
+def retention_plan(spark, d):
+    """Line items pin (and, when returned, unpin) the version of their order; the newest ready version is current."""
+    v = order_versions(spark, d)
+    item = wh.table(spark, d, "lineitem").select(
+        F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("base_gv"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("analysis_id"),
+        "l_returnflag")
+    log = store.pin_rows(item.filter("l_returnflag = 'A'"), 1).unionByName(store.pin_rows(item.filter("l_returnflag = 'R'"), -1))
+    current = v.filter("status = 'ready' AND kind = 'branch'").groupBy("repo_id").agg(F.max_by("graph_version_id", "seq").alias("graph_version_id"))
+    return store.retention_plan(v, store.current_pins(log), current)
+
+
+@query
+def version_status(spark, d):
+    """Last status per version from an append-only log with one row per line item."""
+    log = wh.table(spark, d, "lineitem").select(
+        F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("graph_version_id"), F.when(F.col("l_linestatus") == "O", "building").otherwise("ready").alias("status"),
+        F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"))
+    return store.latest_status(log).select("graph_version_id", "status")
+
+
+@query
+def identity_upsert(spark, d):
+    li = fleet(spark, d).lines
+    p = F.col("l_partkey")
+    seen = li.select("repo_id", wh.part_key(p).alias("key"), F.concat(F.lit("com.acme.part.P"), p.cast("string")).alias("fqcn"),
+                     F.concat(F.lit("P"), p.cast("string")).alias("class_name"), wh.pick(wh.VERBS, p % 6).alias("method_name"),
+                     F.array(F.lit("java.lang.Long")).alias("param_types"), F.col("o_orderdate").alias("seen_at"), "in_base", "in_head")
+    first = store.upsert_identity(spark.createDataFrame([], "repo_id string, key string, fqcn string, class_name string, method_name string, "
+                                  "param_types array<string>, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz"), seen.filter("in_base"))
+    return store.upsert_identity(first, seen.filter("in_head")).select(
+        "repo_id", "key", "class_name", "method_name", F.array_join("param_types", ",").alias("param_types"),
+        F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"))
+
+
+@query
+def snapshot_publish_read(spark, d):
+    """Write base and head snapshots, publish base for all and head for its repositories, read the current rows back."""
+    fl, st = fleet(spark, d), store.Store(spark, f"{scratch_root(spark)}/ripple_store_{uuid.uuid4().hex}")
+    for seq, version in enumerate(("base", "head")):
+        rows = fl.function_versions(version)
+        st.write_snapshot("function_versions", rows)
+        ids = wh.analyses(spark, d).select(F.col(f"{version}_gv").alias("graph_version_id"), "repo_id", F.concat("repo_id", F.lit("-" + version)).alias("sha"),
+                                           F.lit("branch").alias("kind"))
+        st.publish(ids, seq)
+    return st.read_current("function_versions").select("repo_id", "graph_version_id", "function_key", "body_hash", *big("start_line"))
+
+
+@query
+def ingest_parse_responses(spark, d):
+    """Extractor documents written from the function table, one per repository file, and read back as snapshot rows."""
+    fl, out = fleet(spark, d), f"{scratch_root(spark)}/ripple_wire_{uuid.uuid4().hex}"
+    f = fl.function_versions("base")
+    one = F.array(F.struct(
+        F.col("function_key").alias("key"), F.col("file_path").alias("filePath"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"),
+        F.col("body_hash").alias("bodyHash"), F.col("return_type").alias("returnType"), F.col("param_names").alias("paramNames"), "modifiers"))
+    edge = F.array(F.struct(F.col("function_key").alias("from"), F.lit("unresolved:x#y").alias("to"), F.lit("unresolved").alias("type"),
+                            F.lit(False).alias("inferred"), F.lit("ambiguous").alias("confidence"), F.lit("external_type").alias("reason"),
+                            F.array(F.struct(F.col("file_path").alias("filePath"), F.col("start_line").alias("line"))).alias("callSites")))
+    diag = F.struct(F.lit(0.5).alias("unresolvedRate"), F.lit(0.0).alias("nonExternalUnresolvedRate"), F.lit(1).alias("externalCalls"), F.when(
+        F.col("end_line") > 50, F.array(F.struct(F.col("file_path").alias("filePath"), F.lit("boom").alias("message")))).otherwise(
+            F.array().cast("array<struct<filePath:string,message:string>>")).alias("parseErrors"))
+    f.select(F.concat_ws("|", "graph_version_id", "file_path").alias("requestId"), "sha", F.lit("full").alias("mode"), one.alias("functions"),
+             edge.alias("edges"), F.array().cast("array<string>").alias("sourceRoots"), diag.alias("diagnostics")).write.json(out)
+    r = wire.read_parse_responses(spark, out, multi_line=False)
+    fv = wire.function_versions_of(r).select("graph_version_id", "sha", "function_key", "body_hash", *big("end_line"))
+    e = wire.edges_of(r).select(F.col("graph_version_id"), F.col("reason").alias("edge_reason"), sites_text("call_sites").alias("call_sites"))
+    s = wire.snapshot_stats(r).select("graph_version_id", *big("functions", "edges", "surfaces", "parse_errors"), "unresolved_rate")
+    p = wire.parse_errors_of(r).select("graph_version_id", "message")
+    return fv.join(e, "graph_version_id").join(s, "graph_version_id").join(p, "graph_version_id")
+
+
+def page_files(spark, d):
+    """Web page addresses read as source paths."""
+    p = wh.table(spark, d, "pages")
+    return p.selectExpr("concat('r', page_id % 5) AS repo_id", "'head' AS sha", "length(html) AS size", "page_id", """concat(
+        CASE page_id % 4 WHEN 0 THEN 'src/main/java/' WHEN 1 THEN 'src/test/java/' WHEN 2 THEN 'target/gen/src/main/java/' ELSE 'mod/src/main/java/' END,
+        regexp_replace(url, '^https?://', ''), if(page_id % 6 = 5, '', '.java')) AS path""")
+
+
+@query
+def source_roots(spark, d):
+    return src.classify_roots(page_files(spark, d), include_tests=True)
+
+
+@query
+def java_files_gate(spark, d):
+    """Extraction lists narrowed to the listed .example.com files, with the size ceiling at 5 files."""
+    files = src.java_files(page_files(spark, d))
+    wanted = page_files(spark, d).filter("path LIKE '%.example.com%'").withColumn("path", F.concat(F.lit("./"), F.regexp_replace("path", "^src/", "src//x/../")))
+    n = src.subset_files(files, wanted)
+    return n.join(src.size_gate(n, 5), ["repo_id", "sha"]).select("repo_id", "path", *big("files"), "over_limit")
+
+
+# --- scalar columns -------------------------------------------------------------------------------------------
+
+
+def sample_keys(spark, d):
+    t = lambda n: wh.table(spark, d, n)
+    return reduce(DataFrame.unionByName, [
+        t("part").select(wh.part_key(F.col("p_partkey")).alias("key")),
+        t("part").selectExpr("concat('fn:com.acme.', replace(p_name, ' ', '.'), '$In#<init>(int,java.lang.String[],', p_type, ')') AS key"),
+        t("part").selectExpr("concat('fn:a.B#c(int,,', p_name, ')') AS key"), t("supplier").selectExpr("concat('fn:', s_name, '#x(') AS key"),
+        t("orders").selectExpr("concat('route:GET /o/', o_orderkey) AS key"), t("pages").selectExpr("url AS key"),
+        t("nation").selectExpr("concat('listener:kafka:', n_name) AS key"), t("customer").selectExpr("concat(':', c_name) AS key"),
+        t("documents").selectExpr("text AS key")])
+
+
+@query
+def keys_parse_display(spark, d):
+    k = sample_keys(spark, d).withColumn("p", keys.parse_function_key("key"))
+    return k.select(F.sha2("key", 256).alias("key_hash"), keys.node_kind("key").alias("kind"), keys.is_node_key("key").alias("is_node"),
+                    keys.is_function_key("key").alias("is_function"), "p.fqcn", "p.class_name", "p.method_name",
+                    F.array_join("p.param_types", "|").alias("params"), F.sha2(keys.display_name("key"), 256).alias("display_hash"),
+                    keys.format_function_key("p.fqcn", "p.method_name", "p.param_types").alias("again"))
+
+
+@query
+def keys_build_and_hash(spark, d):
+    p, brand = wh.table(spark, d, "part"), F.regexp_replace("p_brand", "#", "")
+    return p.select(
+        "p_partkey", keys.route_key(F.lit("GET"), F.concat(F.lit("/"), "p_type")).alias("route"), keys.listener_key(F.lit("jms"), F.col("p_name")).alias("listener"),
+        keys.entity_key(F.concat(F.lit("com.acme."), brand)).alias("entity"), keys.table_key("p_type").alias("tab"), keys.unresolved_key(F.concat("p_name", F.lit("#run"))).alias("lost"),
+        keys.job_key(wh.part_key(F.col("p_partkey"))).alias("job"), keys.index_unit_id("p_type", "p_name").alias("index_unit"),
+        keys.analyze_unit_id("p_type", F.when(F.col("p_size") > 25, F.col("p_size")), "p_name").alias("analyze_unit"),
+        keys.synthetic_repo_id("p_type", "p_name").alias("repo_number"),
+        keys.split_full_name(F.regexp_replace("p_name", " ", "/"))["name"].alias("repo_name"), text.content_fingerprint(F.when(F.col("p_size") > 3, F.col("p_name"))).alias("print"))
+
+
+@query
+def path_verb_scalars(spark, d):
+    p = wh.table(spark, d, "part")
+    ann = F.array(F.struct(F.lit("RequestMapping").alias("name"), F.when(F.col("p_size") > 25, F.create_map(
+        F.lit("path"), F.concat(F.lit('{"/'), "p_name", F.lit('", "/z"}')), F.lit("method"), F.lit("{RequestMethod.Patch, X}"))).otherwise(
+            F.create_map(F.lit("value"), F.concat(F.lit("/"), "p_type"))).alias("values")))
+    values = text.annotation(ann, "RequestMapping")["values"]
+    return p.select(
+        "p_partkey", text.join_paths(F.concat(F.lit("//"), "p_type", F.lit("//")), F.concat(F.regexp_replace("p_name", " ", "//"), F.lit("/"))).alias("joined"),
+        text.annotation_path(values).alias("path"), text.http_verb(values).alias("verb"), text.has_annotation(ann, "GetMapping").alias("has_get"),
+        text.member(text.annotation(ann, "RequestMapping"), "value").alias("member"),
+        text.camel_to_underscores(F.concat(F.lit("HTML"), F.initcap("p_name"))).alias("snake"),
+        text.erase_type_text(F.concat(F.lit("Map<String, List<"), "p_type", F.lit(">>..."))).alias("erased"),
+        text.relative_path(F.lit("/ws/"), F.concat(F.lit("/ws\\a\\"), "p_name")).alias("relative"))
+
+
+@query
+def access_and_visibility(spark, d):
+    p = wh.table(spark, d, "part")
+    key = wh.part_key(F.col("p_partkey"))
+    verb = wh.pick(["Find", "SAVE", "persistAll", "streamX", "updateY", "doIt"], F.col("p_partkey") % 6)
+    mods = F.when(F.col("p_size") > 40, F.array(F.lit("static"))).when(F.col("p_size") > 20, F.array(F.lit("final"), F.lit("protected"))).otherwise(
+        F.array(F.lit("public"), F.lit("static")))
+    etype = wh.pick(["calls", "implements", "overrides", "queries"], F.col("p_partkey") % 4)
+    conf = lambda c: wh.pick(["exact", "single_impl", "regex", "ambiguous"], c % 4)
+    return p.select("p_partkey", text.access_of(key).alias("walk_access"), text.access_of_method(verb).alias("store_access"), text.visibility(mods).alias("vis"),
+                    text.usage_of(etype).alias("usage"), trust.weaker(conf(F.col("p_partkey")), conf(F.col("p_size"))).alias("weaker"),
+                    trust.conf_rank(conf(F.col("p_size"))).cast("long").alias("rank"),
+                    text.render_signature(key, F.concat(F.lit("com.acme."), "p_type"), F.array().cast("array<string>"), mods).alias("signature"))
+
+
 # --- events ---------------------------------------------------------------------------------------------------
 
 
