@@ -10,7 +10,7 @@ from ripple.operators import (calls, declarations, diagnostics, diff, entry_rule
                               walk)
 from ripple.plans import analyze, index
 from ripple.schema import DEPTH_CAP, REVERSE_TYPES
-from ripple.session import cut, scratch_root
+from ripple.session import cut, scratch_root, spread
 from ripple.sources import code_facts as cf, event_feed as feed, files as src, store, warehouse as wh, wire
 from ripple.streaming import events as ev
 
@@ -484,7 +484,7 @@ def candidates(spark, d):
     """Candidate tokens of every document and page, whole texts."""
     docs = wh.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
     pages = wh.table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("text_id"), F.col("html").alias("text"))
-    return grounding.candidates(docs.unionByName(pages)).select("text_id", "stage", *big("pos"), "token")
+    return grounding.candidates(spread(docs).unionByName(spread(pages))).select("text_id", "stage", *big("pos"), "token")
 
 
 def all_violations(spark, d, attempt=1):

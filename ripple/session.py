@@ -59,6 +59,12 @@ def cut(df: DataFrame, name: str = "step", bucket_by: list[str] | None = None) -
     return spark.table(token)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one split per core; larger scans are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Levels:
     """Rows of an iterative walk, one folder per level, read back together as a single table."""
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ripple.session import spread
 from ripple.sources.warehouse import table
 
 ANN = "array<struct<name:string,values:map<string,string>>>"
@@ -100,7 +101,7 @@ def type_params(spark, d) -> DataFrame:
 
 def call_sites(spark, d) -> DataFrame:
     """Every line item is a call from its part; suppliers pick the callee, so a few callees are hubs."""
-    li = table(spark, d, "lineitem").selectExpr(
+    li = spread(table(spark, d, "lineitem")).selectExpr(
         "l_partkey AS p", "(l_suppkey div 32) * 32 + l_partkey % 32 AS t", "l_suppkey AS s", "l_linenumber AS ln",
         "cast(l_quantity AS int) AS q", "month(l_shipdate) AS m")
     bound, jdk = "m <> 1", "m = 2"

@@ -11,7 +11,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ripple.operators.collapse import collapse_edges, collapse_surfaces
-from ripple.session import cut
+from ripple.session import cut, spread
 
 BASE_END = "2001-01-01"
 HEAD_START = "1995-07-01"
@@ -53,7 +53,7 @@ def lines(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     weight = F.expr(f"((l_partkey * 7919 + l_orderkey * 104729) % 1000003) * {PART_SPAN} + l_partkey")
-    items = table(spark, d, "lineitem").withColumn("weight", weight)
+    items = spread(table(spark, d, "lineitem")).withColumn("weight", weight)
     lead = items.groupBy("l_orderkey").agg(F.max("weight").alias("lead_weight"))
     located = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("r"), F.col("c_nationkey")).alias("repo_id"),
