@@ -2,11 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ripple.operators.skew import group_hashed
+
 
 def collapse_edges(raw: DataFrame) -> DataFrame:
     """``raw`` carries one ``call_site`` struct (or NULL) and a totally ordered ``ordinal`` per emission."""
     attrs = F.struct("inferred", "confidence", "reason")
-    grouped = raw.groupBy("repo_id", "graph_version_id", "src", "dst", "type").agg(
+    grouped = group_hashed(raw, "repo_id", "graph_version_id", "src", "dst", "type").agg(
         F.min_by(attrs, "ordinal").alias("first"),
         F.array_sort(F.collect_set("call_site")).alias("call_sites"))
     return grouped.select("repo_id", "graph_version_id", "src", "dst", "type", "first.inferred",
@@ -14,7 +16,7 @@ def collapse_edges(raw: DataFrame) -> DataFrame:
 
 
 def collapse_surfaces(raw: DataFrame) -> DataFrame:
-    grouped = raw.groupBy("repo_id", "graph_version_id", "key").agg(
+    grouped = group_hashed(raw, "repo_id", "graph_version_id", "key").agg(
         F.min_by(F.struct("kind", "attrs"), "ordinal").alias("first"))
     return grouped.select("repo_id", "graph_version_id", "key", "first.kind",
                           F.map_from_entries(F.array_sort(F.map_entries("first.attrs"))).alias("attrs"))

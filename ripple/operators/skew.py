@@ -5,6 +5,15 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from ripple.session import cut
 
 
+def group_hashed(df: DataFrame, *keys: str):
+    """``groupBy`` with the hash of the keys in front.
+
+    Aggregates over structs or arrays are sort-based; sorting by one long first is far cheaper than comparing
+    long text keys that share a prefix. The hash only orders rows, equality still uses the keys themselves.
+    """
+    return df.groupBy(F.xxhash64(*keys).alias("_h"), *keys)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
     """Exact 1-based position of each row in its group, without gathering a group in one task.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from ripple.functions.keys import display_name
 from ripple.functions.text import access_of, usage_of
 from ripple.functions.trust import conf_name, conf_rank
+from ripple.operators.skew import group_hashed
 from ripple.schema import CALLER_CAP, DEPTH_CAP, ENTRY_TYPES, FORWARD_TYPES, REVERSE_TYPES
 from ripple.session import Levels, cut
 
@@ -186,7 +187,7 @@ def all_callers(roots: DataFrame, edges: DataFrame) -> DataFrame:
             .withColumn("rank", F.greatest("rank", "r1")).withColumn("inferred", F.col("inferred") | F.col("i1"))
             .withColumn("hops", F.lit(2)).select(*cols))
     order = F.struct("hops", "rank", "inferred", "type", "via", "site_file", "site_line")
-    best = hop1.unionByName(hop2).groupBy("root_id", "gv", "caller").agg(F.min(order).alias("b"))
+    best = group_hashed(hop1.unionByName(hop2), "root_id", "gv", "caller").agg(F.min(order).alias("b"))
     return best.select("root_id", "gv", "caller", "b.hops", "b.rank", "b.inferred", "b.type", "b.site_file",
                        "b.site_line")
 

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ripple.operators import calls, declarations, entry_rules, repository_rules as repos
+from ripple.operators.skew import group_hashed
 from ripple.operators.walk import ancestor_closure
 from ripple.session import cut
 from ripple.sources.files import is_solver_only, root_of
@@ -29,7 +30,7 @@ def stamp(raw: DataFrame, stage: int) -> DataFrame:
 
 
 def collapse(raw: DataFrame) -> DataFrame:
-    g = raw.groupBy("gv", "src", "dst", "type").agg(
+    g = group_hashed(raw, "gv", "src", "dst", "type").agg(
         F.min_by(F.struct("inferred", "confidence", "reason"), "ordinal").alias("f"),
         F.array_sort(F.collect_set("call_site")).alias("call_sites"), F.min("ordinal").alias("ordinal"))
     return g.select("gv", "src", "dst", "type", "f.*", "call_sites", "ordinal")

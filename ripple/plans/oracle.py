@@ -289,7 +289,7 @@ up(gv, fqcn, anc, distance) AS (SELECT 'g'||(k % 4), k, (k // 8) * 4 + k % 4, 1
   UNION SELECT gv, fqcn, (anc // 8) * 4 + anc % 4, distance + 1 FROM up WHERE anc >= 4),
 ups AS (SELECT gv, 'com.acme.T'||fqcn AS fqcn, 'com.acme.T'||anc AS ancestor_fqcn, min(distance) AS distance FROM up GROUP BY ALL)"""
 SITES = f"""
-sites0 AS (SELECT l_partkey AS p, (l_suppkey // 32) * 32 + l_partkey % 32 AS t, l_suppkey AS s, l_linenumber AS ln, CAST(floor(l_quantity) AS INT) AS q, month(l_shipdate) AS m FROM lineitem),
+sites0 AS (SELECT l_partkey AS p, ((l_partkey // 64) * 4 + (l_partkey // 8) % 4) * 8 + l_suppkey % 8 AS t, l_suppkey AS s, l_linenumber AS ln, CAST(floor(l_quantity) AS INT) AS q, month(l_shipdate) AS m FROM lineitem),
 sites AS (SELECT 'g'||((p // 8) % 4) AS gv, {tfile('p // 8')} AS file_path, (p // 8) % 5 <> 4 AS inside, (p % 8) * 20 + 1 + ln AS line, q AS col,
     CASE ln WHEN 7 THEN 'constructor' WHEN 6 THEN 'method_ref' ELSE 'method' END AS target_kind, m <> 1 AS is_bound, m IN (1, 2) AS no_position,
     {tfile('t // 8')} AS rfile, (t // 8) % 5 <> 4 AS rinside, (t % 8) * 20 + 1 AS rline, CASE WHEN q = 50 THEN 4 ELSE 5 END AS rcol,

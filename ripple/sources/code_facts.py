@@ -100,9 +100,9 @@ def type_params(spark, d) -> DataFrame:
 
 
 def call_sites(spark, d) -> DataFrame:
-    """Every line item is a call from its part; suppliers pick the callee, so a few callees are hubs."""
+    """Every line item is a call from its part to a method of the supertype of its type; the supplier picks which."""
     li = spread(table(spark, d, "lineitem")).selectExpr(
-        "l_partkey AS p", "(l_suppkey div 32) * 32 + l_partkey % 32 AS t", "l_suppkey AS s", "l_linenumber AS ln",
+        "l_partkey AS p", "((l_partkey div 64) * 4 + (l_partkey div 8) % 4) * 8 + l_suppkey % 8 AS t", "l_suppkey AS s", "l_linenumber AS ln",
         "cast(l_quantity AS int) AS q", "month(l_shipdate) AS m")
     bound, jdk = "m <> 1", "m = 2"
     at = lambda x: f"if({bound} AND NOT {jdk}, {x}, null)"
