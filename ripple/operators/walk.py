@@ -44,24 +44,28 @@ class Hops:
     hubs: DataFrame | None
 
 
-def prepare_hops(edges: DataFrame, direction: str, types=None, hub_degree: int = HUB_DEGREE) -> Hops:
+def prepare_hops(edges: DataFrame, direction: str, types=None, hub_degree: int = HUB_DEGREE,
+                 bucketed: bool | None = None) -> Hops:
     near, far = ("dst", "src") if direction == "reverse" else ("src", "dst")
     types = types if types is not None else (REVERSE_TYPES if direction == "reverse" else FORWARD_TYPES)
     narrow = edges.filter(F.col("type").isin(list(types)) & (F.col("src") != F.col("dst"))).select(
         F.col("graph_version_id").alias("gv"), F.col(near).alias("from_node"), F.col(far).alias("to_node"),
         conf_rank("confidence").alias("rank"), "inferred")
-    return salt_hops(narrow, hub_degree)
+    return salt_hops(narrow, hub_degree, bucketed)
 
 
-def salt_hops(narrow: DataFrame, hub_degree: int = HUB_DEGREE) -> Hops:
+def salt_hops(narrow: DataFrame, hub_degree: int = HUB_DEGREE, bucketed: bool | None = None) -> Hops:
     """Spread the edges of hub nodes over as many buckets as their degree needs, then bucket the table.
 
     The bucketed copy is read by every level without another shuffle of the edges. ``narrow`` is read twice,
-    so it should come from a stored table.
+    so it should come from a stored table. A table with no more splits than cores is copied plainly, since
+    its joins broadcast anyway.
     """
+    if bucketed is None:
+        bucketed = narrow.rdd.getNumPartitions() > narrow.sparkSession.sparkContext.defaultParallelism
     hubs = (narrow.groupBy("gv", "from_node").agg(F.count("*").alias("degree")).filter(F.col("degree") > hub_degree)
             .select("gv", "from_node", F.ceil(F.col("degree") / hub_degree).cast("int").alias("salts")))
-    keys = ["gv", "from_node", "salt"]
+    keys = ["gv", "from_node", "salt"] if bucketed else None
     if hubs.isEmpty():
         return Hops(cut(narrow.withColumn("salt", F.lit(0)), "hops", keys), None)
     hubs = cut(hubs, "hubs")

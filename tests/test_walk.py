@@ -102,7 +102,7 @@ def test_random_graphs_match_brute_force(spark, hub_degree):
     starts = [(f"{gv}|{n}", gv, n, True) for gv in ("g1", "g2") for n in (fn("n0"), fn("n5"), fn("n9"))]
     shuffled = rows[:]
     rng.shuffle(shuffled)
-    hops = walk.prepare_hops(edges(spark, shuffled).repartition(7), "reverse", hub_degree=hub_degree)
+    hops = walk.prepare_hops(edges(spark, shuffled).repartition(7), "reverse", hub_degree=hub_degree, bucketed=hub_degree == 2)
     assert (hops.hubs is not None) == (hub_degree == 2)
     got = {(r.root_id, r.node): (r.depth, r.rank, r.inferred) for r in walk.level_walk(roots(spark, starts), hops).collect()}
     want = {}
