@@ -1,11 +1,13 @@
 """Registered queries of the operators, and the SQL of those that SQL can express."""
 
+from ripple.llm.hamming import op5_minhash_hamming
 from ripple.llm.sharding import OP4_SQL, op4_extendible_sharding
 from ripple.llm.token_counts import op8_token_counts
 from ripple.llm.token_store import op7_token_store
 
 QUERIES = {
     "op4_extendible_sharding": op4_extendible_sharding,
+    "op5_minhash_hamming": op5_minhash_hamming,
     "op7_token_store": op7_token_store,
     "op8_token_counts": op8_token_counts,
 }
