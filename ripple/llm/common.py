@@ -38,10 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """The texts without nulls in a buffer of their own; string kernels misread a slice whose offsets do not begin at 0."""
+    texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch, and the offsets of each text in them; a null text has none."""
-    texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
-    texts = pc.fill_null(texts, "")
+    texts = compact(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
     offsets = offsets - offsets[0]
