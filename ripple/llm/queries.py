@@ -1,5 +1,6 @@
 """Registered queries of the operators, and the SQL of those that SQL can express."""
 
+from ripple.llm.cotrain import op10_cotraining
 from ripple.llm.hamming import op5_minhash_hamming
 from ripple.llm.sharding import OP4_SQL, op4_extendible_sharding
 from ripple.llm.token_counts import op8_token_counts
@@ -10,6 +11,7 @@ QUERIES = {
     "op5_minhash_hamming": op5_minhash_hamming,
     "op7_token_store": op7_token_store,
     "op8_token_counts": op8_token_counts,
+    "op10_cotraining": op10_cotraining,
 }
 SQL = {
     "op4_extendible_sharding": OP4_SQL,
