@@ -13,7 +13,7 @@ from ripple.llm.pieces import pieces, pretoken_frequencies
 #: Pre-tokens that count as frequent: their counts are sent to every task, the others are joined by a shuffle.
 HEAD = 50_000
 #: Text in a piece of a batch, and distinct pre-tokens that a task holds before it hands them on.
-PIECE, HELD = 24 << 20, 500_000
+PIECE, HELD = 8 << 20, 150_000
 
 
 def lexicon(docs: DataFrame, text: str, path: str) -> DataFrame:
