@@ -1,6 +1,7 @@
 """Registered queries of the operators, and the SQL of those that SQL can express."""
 
 from ripple.llm.cotrain import op10_cotraining
+from ripple.llm.decontam import OP6_SQL, op6_containment
 from ripple.llm.hamming import op5_minhash_hamming
 from ripple.llm.sharding import OP4_SQL, op4_extendible_sharding
 from ripple.llm.token_counts import op8_token_counts
@@ -9,10 +10,12 @@ from ripple.llm.token_store import op7_token_store
 QUERIES = {
     "op4_extendible_sharding": op4_extendible_sharding,
     "op5_minhash_hamming": op5_minhash_hamming,
+    "op6_containment": op6_containment,
     "op7_token_store": op7_token_store,
     "op8_token_counts": op8_token_counts,
     "op10_cotraining": op10_cotraining,
 }
 SQL = {
     "op4_extendible_sharding": OP4_SQL,
+    "op6_containment": OP6_SQL,
 }
