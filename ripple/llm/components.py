@@ -101,3 +101,16 @@ def pairs_within(starts: np.ndarray, n: int, step: int = 1 << 20):
             left, right, size = [], [], 0
     if size:
         yield np.concatenate(left), np.concatenate(right)
+
+
+def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of the n members that each is connected with by the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label

@@ -4,11 +4,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ripple.llm.common import cut, mix, multipliers, shingle_hashes, slices, table
-from ripple.llm.components import components, in_blocks, pairs_within, send, whole_groups
+from ripple.llm.components import components, in_blocks, pairs_within, send, spanning_roots, whole_groups
 
 #: A signature has CHUNKS x WIDTH values of 16 bits. Two signatures that differ in at most 2 * CHUNKS - 1 values have a chunk
 #: with one difference at most; each chunk is looked up with each of its values left out, so they meet in a bucket.
@@ -16,7 +17,7 @@ CHUNKS, WIDTH = 10, 5
 N = CHUNKS * WIDTH
 SEED = 11
 #: Members of a bucket that one task compares with each other.
-BLOCK = 1024
+BLOCK = 512
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -94,11 +95,14 @@ def _stars(members: DataFrame, allowed: int) -> DataFrame:
 
 
 def _across(members: DataFrame, allowed: int) -> DataFrame:
-    """Pairs within ``allowed`` of different components, each in the first bucket that its signatures share only."""
-    def link(batches):
+    """Members of each block that have a partner of another component within ``allowed``, in the first bucket shared with it."""
+    names = ["bucket", "left", "right", "own", "cls", "component"]
+
+    def choose(batches):
         for batch, starts in whole_groups(batches, ["bucket", "left", "right"]):
             sig, cls, comp, k, own = _sigs(batch), *(np.asarray(batch.column(c)) for c in ("cls", "component", "k", "own"))
             cross = np.asarray(batch.column("left")) != np.asarray(batch.column("right"))
+            some = np.zeros(len(batch), dtype=bool)
             for a, b in pairs_within(starts, len(batch), 1 << 18):
                 keep = (comp[a] != comp[b]) & ~(cross[a] & (own[a] == own[b]))
                 a, b = a[keep], b[keep]
@@ -107,11 +111,53 @@ def _across(members: DataFrame, allowed: int) -> DataFrame:
                 chunk = np.argmax(wrong <= 1, axis=1)
                 first = chunk * WIDTH + np.argmax(differ[np.arange(len(a)), chunk], axis=1)  # value 0 where none differs
                 good = (wrong.sum(1) <= allowed) & (first == k[a]) & (wrong[np.arange(len(a)), chunk] <= 1)
-                a, b = cls[a[good]], cls[b[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                some[a[good]] = some[b[good]] = True
+            if some.any():
+                yield batch.select(names).filter(pa.array(some))
 
-    rows = in_blocks(members, "bucket", "cls", "n", BLOCK).select("bucket", "left", "right", "own", "k", "cls", "component", "sig")
+    rows = in_blocks(members, "bucket", "cls", "n", BLOCK).select(*names, "k", "sig")
     rows = rows.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    return rows.mapInArrow(choose, "bucket long, left int, right int, own int, cls long, component long")
+
+
+def _common(items: pa.Array) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, added up over slices of the items that several sets hold."""
+    n = len(items)
+    row = np.repeat(np.arange(n), np.diff(np.asarray(items.offsets)))
+    _, item, times = np.unique(np.asarray(items.flatten()), return_inverse=True, return_counts=True)
+    shared = times[item] > 1
+    order = np.argsort(item[shared], kind="stable")
+    row, item = row[shared][order], item[shared][order]
+    _, column = np.unique(item, return_inverse=True)
+    both = np.zeros((n, n), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        some = np.zeros((n, 4096), dtype=np.float32)
+        some[row[a:b], column[a:b] - start] = 1
+        both += some @ some.T
+    return both.astype(np.int64)
+
+
+def _confirmed_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components that full sets confirm, as a spanning forest of each block."""
+    def link(batches):
+        for batch, starts in whole_groups(batches, ["bucket", "left", "right"]):
+            found = []
+            for a, b in zip(starts, np.append(starts[1:], len(batch))):
+                part = batch.slice(int(a), int(b - a))
+                cls, comp, own = (np.asarray(part.column(c)) for c in ("cls", "component", "own"))
+                sizes = np.asarray(pa.compute.list_value_length(part.column("items")), dtype=np.int64)
+                both = _common(part.column("items"))
+                good = np.triu((100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (comp[:, None] != comp[None]), 1)
+                if len(part) > 1 and part.column("left")[0] != part.column("right")[0]:
+                    good &= own[:, None] != own[None]
+                i, j = np.nonzero(good)
+                root = spanning_roots(len(part), i, j)
+                some = np.flatnonzero(root != np.arange(len(part)))
+                found.append((cls[some], cls[root[some]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    rows = members.join(sets, "cls").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
     return rows.mapInArrow(link, "a long, b long")
 
 
@@ -129,8 +175,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Rows with equal shingle sets form a class, so copies are never paired. Classes meet in a bucket if they differ in at
     most one value of a chunk of their signature; buckets with one class are dropped by a count. A first pass links each
     member with the most central one of its bucket, and the links that full sets confirm give first components. A second
-    pass compares all members of the buckets that hold several components, in blocks of ``BLOCK``, each pair in one bucket,
-    and confirms those too. So every pair within the allowed distance is either in one component already or confirmed.
+    pass compares all members of the buckets that hold several components, in blocks of ``BLOCK``; the members that have a
+    near partner elsewhere bring their full sets to a task per block, which reports a spanning forest of the confirmed links
+    and no row for each pair. So every pair within the allowed distance is either in one component already or confirmed.
     The distance allows five standard deviations beyond that of a pair at the threshold.
 
     A null or empty text has no shingles and links with nothing; neither does a row with a null key. A text of fewer than
@@ -154,7 +201,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     placed = members.join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     rest = _across(placed.join(mixed, "bucket", "left_semi").join(sigs, "cls"), allowed)
-    more = _confirmed(rest, sets, percent)
+    more = _confirmed_blocks(rest, sets, percent)
     joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = joined.join(classes.select(F.col("cls").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(named, "component").select(F.col("node").alias("cls"), "component_id")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ripple.llm.common import cut, mix, multipliers, table
-from ripple.llm.components import components, in_blocks, whole_groups
+from ripple.llm.components import components, in_blocks, spanning_roots, whole_groups
 
 #: Tables, lattices side by side in a table's key, and neighbouring points probed in each of them.
 TABLES, LATTICES, PROBES = 8, 2, 2
@@ -125,18 +125,6 @@ def _block_links(v: np.ndarray, keys: np.ndarray, bucket: np.uint64, resident: n
     return i[good], j[good]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """``key, n_links, component_id, kept`` of every vector, by links of at least ``cosine``.
 
@@ -175,7 +163,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 if len(i):
                     n = np.bincount(i, copies[j], len(part)) + np.bincount(j, copies[i], len(part))
                     some = np.flatnonzero(n)
-                    out.append((cls[some], n[some].astype(np.int64), cls[_roots(len(part), i, j)[some]]))
+                    out.append((cls[some], n[some].astype(np.int64), cls[spanning_roots(len(part), i, j)[some]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["cls", "n", "root"])
 
