@@ -154,30 +154,30 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     y, held = np.asarray(got.column("_y"), dtype=np.float64), np.asarray(got.column("_held"))
     if len(set(y[~held].tolist())) < 2:
         return None
-    rest = rows.join(known.select(key, "_y"), key, "left_anti")
     extra_x, extra_m = (x[:0], y[:0]), (m[:0], y[:0])
     for turn in range(ROUNDS + 1):
         words = View(np.concatenate([x[~held], extra_x[0]]), np.concatenate([y[~held], extra_x[1]]), x[held], y[held])
         meta = View(np.concatenate([m[~held], extra_m[0]]), np.concatenate([y[~held], extra_m[1]]), m[held], y[held])
         if turn < ROUNDS:
-            extra_x, extra_m = _pseudo_labels(rest, words, meta, key, turn)
+            extra_x, extra_m = _pseudo_labels(rows, known, words, meta, key, turn)
     c = held if len(set(y[held].tolist())) == 2 else np.ones(len(y), dtype=bool)
     return Model(words, meta, _logistic(np.stack([words.logit(x[c]), meta.logit(m[c])], axis=1), y[c], 1.0))
 
 
-def _pseudo_labels(rest: DataFrame, words: View, meta: View, key: str, turn: int) -> tuple:
+def _pseudo_labels(rows: DataFrame, known: DataFrame, words: View, meta: View, key: str, turn: int) -> tuple:
     """What each view is sure of, as (features of the other view, label): for the text view, for the metadata view."""
     def judge(batches):
         for batch in batches:
             if len(batch):
                 x, m = _matrices(batch)
-                sides = []
-                for p in (probability(words.logit(x)), probability(meta.logit(m))):
-                    sides.append(pa.array(np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *sides], [*batch.schema.names, "by_words", "by_meta"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema)
-    sure = rest.mapInArrow(judge, f"{kinds}, by_words int, by_meta int").where("by_words >= 0 or by_meta >= 0")
+                sides = [np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1)) for p in (probability(words.logit(x)), probability(meta.logit(m)))]
+                sure = pa.array((sides[0] >= 0) | (sides[1] >= 0))
+                out = [batch.column(key), *(pa.array(v.astype(np.int32)) for v in sides)]
+                yield pa.RecordBatch.from_arrays(out, [key, "by_words", "by_meta"]).filter(sure)
+
+    kind = rows.schema[key].dataType.simpleString()
+    sure = rows.mapInArrow(judge, f"{key} {kind}, by_words int, by_meta int").join(known.select(key), key, "left_anti")
+    sure = cut(sure.where(F.col(key).isNotNull()), "sure")
     n = {(r.by_words, r.by_meta): r["count"] for r in sure.groupBy("by_words", "by_meta").count().collect()}  # nine rows at most
     chance = F.pmod(F.xxhash64(F.lit(turn), key), F.lit(1 << 30)) / (1 << 30)
     share = F.lit(0.0)
@@ -185,7 +185,9 @@ def _pseudo_labels(rest: DataFrame, words: View, meta: View, key: str, turn: int
         for c in (0, 1):
             some = sum(v for k, v in n.items() if k[place] == c)
             share = F.greatest(share, F.when(F.col(column) == c, min(1.0, POOL / max(1, some))).otherwise(0.0))
-    got = sure.where(chance < share).select("words", "meta", "by_words", "by_meta").toArrow()
+    chosen = sure.where(chance < share).groupBy(key).agg(F.min("by_words").alias("by_words"), F.min("by_meta").alias("by_meta"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit(turn), key), key).limit(8 * POOL)  # four pools; the limit bounds what is sent
+    got = rows.join(F.broadcast(chosen), key).select("words", "meta", "by_words", "by_meta").toArrow()
     if not got.num_rows:
         return tuple((np.zeros((0, len(v.mean)), np.float32), np.zeros(0)) for v in (words, meta))
     x, m = _matrices(got.combine_chunks().to_batches()[0])
