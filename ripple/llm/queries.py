@@ -4,6 +4,7 @@ from ripple.llm.cotrain import op10_cotraining
 from ripple.llm.decontam import OP6_SQL, op6_containment
 from ripple.llm.hamming import op5_minhash_hamming
 from ripple.llm.lattice import op3_lattice
+from ripple.llm.licenses import op2_license_scan
 from ripple.llm.mixing import OP1_SQL, op1_mixing
 from ripple.llm.sharding import OP4_SQL, op4_extendible_sharding
 from ripple.llm.token_counts import op8_token_counts
@@ -11,6 +12,7 @@ from ripple.llm.token_store import op7_token_store
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_license_scan": op2_license_scan,
     "op3_lattice": op3_lattice,
     "op4_extendible_sharding": op4_extendible_sharding,
     "op5_minhash_hamming": op5_minhash_hamming,
