@@ -211,5 +211,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for those that are not the first of their near-duplicate group.
+
+    Rows that repeat a key stay or go together, as they have one group if their texts are near; where one of them is
+    dropped and another kept by different texts, both stay. Rows with a null key stay.
+    """
+    found = near_duplicates(docs, key, text, size, percent)
+    gone = cut(found.groupBy(key).agg(F.max("kept").alias("kept")).where("not kept").select(key), "dropped")
+    return docs.join(send(gone, 32), key, "left_anti").select(*docs.columns)
+
+
 def op5_minhash_hamming(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)

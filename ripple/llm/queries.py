@@ -5,6 +5,7 @@ from ripple.llm.decontam import OP6_SQL, op6_containment
 from ripple.llm.hamming import op5_minhash_hamming
 from ripple.llm.lattice import op3_lattice
 from ripple.llm.licenses import op2_license_scan
+from ripple.llm.lines import op9_line_dedup
 from ripple.llm.mixing import OP1_SQL, op1_mixing
 from ripple.llm.sharding import OP4_SQL, op4_extendible_sharding
 from ripple.llm.token_counts import op8_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_containment": op6_containment,
     "op7_token_store": op7_token_store,
     "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
     "op10_cotraining": op10_cotraining,
 }
 SQL = {
