@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from ripple.llm.common import cut, mix, multipliers, table
@@ -87,6 +88,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _all_cells(column: pa.Array, cosine: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """The unit vectors of a batch and their keys; those of a bucket are equally long."""
+    dims = np.asarray(pa.compute.list_value_length(column))
+    units, keys = [None] * len(column), np.zeros((len(column), TABLES, (PROBES + 1) ** LATTICES), dtype=np.uint64)
+    for d in np.unique(dims):
+        for rows in np.array_split(np.flatnonzero(dims == d), max(1, np.count_nonzero(dims == d) // 2048)):
+            unit = _unit(_vectors(column.take(pa.array(rows))))
+            keys[rows] = cells(unit, cosine)
+            for r, u in zip(rows, unit):
+                units[r] = u
+    return units, keys
+
+
 def _keyed(classes: DataFrame, cosine: float) -> DataFrame:
     """``bucket, cls, resident``: each class in its own cells and, as a visitor, in the neighbouring ones."""
     def rows(batches):
@@ -150,16 +164,17 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     def compare(batches):
         for batch, starts in whole_groups(batches, ["bucket", "left", "right"]):
             out = []
+            units, keys = _all_cells(batch.column("v"), cosine)
             for a, b in zip(starts, np.append(starts[1:], len(batch))):
                 if b - a < 2:
                     continue
                 part = batch.slice(int(a), int(b - a))
                 cls, copies, own = (np.asarray(part.column(c)) for c in ("cls", "copies", "own"))
-                unit = _unit(_vectors(part.column("v")))
+                unit = np.stack(units[a:b])
                 across = part.column("left")[0].as_py() != part.column("right")[0].as_py()
                 allowed = (own[:, None] != own[None]) if across else np.ones((len(part), len(part)), dtype=bool)
                 bucket = np.asarray(part.column("bucket")).view(np.uint64)[0]
-                i, j = _block_links(unit, cells(unit, cosine), bucket, np.asarray(part.column("resident")), allowed, cls, cosine)
+                i, j = _block_links(unit, keys[a:b], bucket, np.asarray(part.column("resident")), allowed, cls, cosine)
                 if len(i):
                     n = np.bincount(i, copies[j], len(part)) + np.bincount(j, copies[i], len(part))
                     some = np.flatnonzero(n)
