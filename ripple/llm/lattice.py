@@ -12,9 +12,9 @@ from ripple.llm.common import cut, mix, multipliers, table
 from ripple.llm.components import components, in_blocks, spanning_roots, whole_groups
 
 #: Tables, lattices side by side in a table's key, and neighbouring points probed in each of them.
-TABLES, LATTICES, PROBES = 8, 2, 2
+TABLES, LATTICES, PROBES = 12, 2, 2
 #: Distance of a pair at the threshold within one lattice, in units of the lattice.
-NEAR = 0.5
+NEAR = 0.65
 SEED = 37
 #: Members of a cell that one task compares with each other.
 BLOCK = 1024
