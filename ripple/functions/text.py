@@ -91,15 +91,17 @@ def content_fingerprint(text) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.coalesce(_c(text), F.lit("")), 256))
 
 
-def erase_type_text(t, levels: int = 8) -> Column:
-    """Source-text erasure: generics dropped innermost first, varargs to ``[]``, wildcard to Object.
+def erase_type_text(t) -> Column:
+    """Source-text erasure: generics dropped at any depth, varargs to ``[]``, wildcard to Object.
 
-    ``levels`` is the deepest generic nesting removed pass by pass; deeper text is cut at its first '<'.
+    A text whose '<' is never closed is cut there.
     """
     x = F.regexp_replace(F.trim(_c(t)), r"\s+", " ")
-    for _ in range(levels):
-        x = F.regexp_replace(x, r"<[^<>]*>", "")
-    x = F.regexp_replace(x, r"<.*>", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    step = lambda a, ch: F.struct(
+        F.greatest(a["depth"] + F.when(ch == "<", 1).when(ch == ">", -1).otherwise(0), F.lit(0)).alias("depth"),
+        F.concat(a["kept"], F.when((a["depth"] > 0) | ch.isin("<", ">"), "").otherwise(ch)).alias("kept"))
+    x = F.aggregate(F.split(x, ""), start, step, lambda a: a["kept"])
     x = F.regexp_replace(F.regexp_replace(x, r"\s*\.\.\.\s*\z", "[]"), r"\s+", "")
     return F.when(F.trim(_c(t)).startswith("?"), "java.lang.Object").otherwise(x)
 

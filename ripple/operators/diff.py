@@ -1,9 +1,8 @@
 """Change detection between two snapshots and unified-diff slicing."""
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from ripple.functions.text import render_signature, visibility
-from ripple.schema import DIFF_LINE_CAP
 
 FACTS = ["file_path", "start_line", "end_line", "body_hash", "return_type", "param_names", "modifiers"]
 # Fixed value: the hunk header of a unified diff.
@@ -14,7 +13,7 @@ def touched_files(name_status: DataFrame, include_old_paths: bool = False) -> Da
     """(analysis_id, text) -> distinct (analysis_id, file_path); a rename lists its new path."""
     line = name_status.select("analysis_id", F.explode(F.split("text", "\n")).alias("line"))
     fields = F.split(F.trim("line"), "\t")
-    paths = F.slice(fields, 2, 99) if include_old_paths else F.slice(fields, -1, 1)
+    paths = F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0))) if include_old_paths else F.slice(fields, -1, 1)
     return (line.filter(F.trim("line") != "").select("analysis_id", F.explode(paths).alias("file_path"))
             .select("analysis_id", F.trim("file_path").alias("file_path"))
             .filter("file_path <> ''").distinct())
@@ -76,11 +75,11 @@ def diff_hunks(texts: DataFrame) -> DataFrame:
         F.filter(F.split("body", "\n"), lambda x: x != "").alias("lines"))
 
 
-def method_diffs(hunks: DataFrame, ranges: DataFrame, cap: int = DIFF_LINE_CAP) -> DataFrame:
-    """Hunks overlapping the base or head line range of each function, header first, capped at ``cap`` lines.
+def method_diffs(hunks: DataFrame, ranges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Hunks overlapping the base or head line range of each function, header first.
 
-    ``ranges``: analysis_id, function_key, file_path, base_start, base_end, head_start, head_end. The
-    line cap is applied before lines are collected, so no group grows past it.
+    ``ranges``: analysis_id, function_key, file_path, base_start, base_end, head_start, head_end. With ``cap`` a diff
+    ends after so many lines and ``source_diff_truncated`` tells where that cut anything.
     """
     keys = ["analysis_id", "function_key"]
     overlap = lambda lo, hi, s, e: F.coalesce((F.col(lo) <= F.col(e)) & (F.col(s) <= F.col(hi)), F.lit(False))
@@ -88,13 +87,14 @@ def method_diffs(hunks: DataFrame, ranges: DataFrame, cap: int = DIFF_LINE_CAP)
     hit = ((F.col("hunk_no") == 0) | overlap("old_start", "old_end", "base_start", "base_end")
            | overlap("new_start", "new_end", "head_start", "head_end"))
     kept = ranges.filter(known).join(hunks, ["analysis_id", "file_path"]).filter(hit)
-    line = kept.select(*keys, "hunk_no", F.posexplode("lines").alias("line_no", "line"))
-    w = W.partitionBy(*keys).orderBy("hunk_no", "line_no")
-    first = line.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]), "\n")
-    found = first.groupBy(*keys).agg(text.alias("source_diff"))
-    return (ranges.select(*keys).join(found, keys, "left")
-            .withColumn("source_diff", F.coalesce("source_diff", F.lit(""))))
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "lines"))), lambda x: x["lines"]))
+    found = kept.groupBy(*keys).agg(lines.alias("lines"))
+    text = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit(""))
+    out = ranges.select(*keys).join(found, keys, "left")
+    if cap is None:
+        return out.select(*keys, text(F.col("lines")).alias("source_diff"))
+    return out.select(*keys, text(F.slice("lines", 1, cap)).alias("source_diff"),
+                      F.coalesce(F.size("lines") > cap, F.lit(False)).alias("source_diff_truncated"))
 
 
 def is_ancestor(commit_parents: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ripple.functions.keys import display_name
 from ripple.functions.text import access_of, usage_of
 from ripple.functions.trust import conf_name, conf_rank
 from ripple.operators.skew import group_hashed
-from ripple.schema import CALLER_CAP, DEPTH_CAP, ENTRY_TYPES, FORWARD_TYPES, REVERSE_TYPES
+from ripple.schema import DEPTH_CAP, ENTRY_TYPES, FORWARD_TYPES, REVERSE_TYPES
 from ripple.session import Levels, cut
 
 # A node with more edges than this on the walked side is a hub: its edges are spread over salt buckets.
@@ -45,7 +45,7 @@ class Hops:
 
 
 def prepare_hops(edges: DataFrame, direction: str, types=None, hub_degree: int = HUB_DEGREE,
-                 bucketed: bool | None = None) -> Hops:
+                 bucketed: bool = False) -> Hops:
     near, far = ("dst", "src") if direction == "reverse" else ("src", "dst")
     types = types if types is not None else (REVERSE_TYPES if direction == "reverse" else FORWARD_TYPES)
     narrow = edges.filter(F.col("type").isin(list(types)) & (F.col("src") != F.col("dst"))).select(
@@ -54,15 +54,12 @@ def prepare_hops(edges: DataFrame, direction: str, types=None, hub_degree: int =
     return salt_hops(narrow, hub_degree, bucketed)
 
 
-def salt_hops(narrow: DataFrame, hub_degree: int = HUB_DEGREE, bucketed: bool | None = None) -> Hops:
-    """Spread the edges of hub nodes over as many buckets as their degree needs, then bucket the table.
+def salt_hops(narrow: DataFrame, hub_degree: int = HUB_DEGREE, bucketed: bool = False) -> Hops:
+    """Spread the edges of hub nodes over as many buckets as their degree needs, then copy the table.
 
-    The bucketed copy is read by every level without another shuffle of the edges. ``narrow`` is read twice,
-    so it should come from a stored table. A table with no more splits than cores is copied plainly, since
-    its joins broadcast anyway.
+    With ``bucketed``, which a fleet's edges should have, the copy is laid out once and every level reads it without another
+    shuffle of the edges. ``narrow`` is read twice, so it should come from a stored table.
     """
-    if bucketed is None:
-        bucketed = narrow.rdd.getNumPartitions() > narrow.sparkSession.sparkContext.defaultParallelism
     hubs = (narrow.groupBy("gv", "from_node").agg(F.count("*").alias("degree")).filter(F.col("degree") > hub_degree)
             .select("gv", "from_node", F.ceil(F.col("degree") / hub_degree).cast("int").alias("salts")))
     keys = ["gv", "from_node", "salt"] if bucketed else None
@@ -196,26 +193,27 @@ def all_callers(roots: DataFrame, edges: DataFrame) -> DataFrame:
                        "b.site_line")
 
 
-def caller_totals(callers: DataFrame, cap: int = CALLER_CAP) -> DataFrame:
+def caller_totals(callers: DataFrame, cap: int | None = None) -> DataFrame:
     """root_id, gv, total, truncated, ambiguous over all callers, capped list or not."""
     return callers.groupBy("root_id", "gv").agg(
         F.count("*").alias("caller_total"), F.count_if(F.col("rank") == 3).alias("ambiguous_callers")).select(
-        "root_id", "gv", "caller_total", (F.col("caller_total") > cap).alias("truncated"), "ambiguous_callers")
+        "root_id", "gv", "caller_total", (F.lit(False) if cap is None else F.col("caller_total") > cap).alias("truncated"), "ambiguous_callers")
 
 
-def rank_callers(callers: DataFrame, roots: DataFrame, cap: int = CALLER_CAP) -> DataFrame:
-    """The first ``cap`` callers per root: incompatible first, then hops, then trust, then key."""
+def rank_callers(callers: DataFrame, roots: DataFrame, cap: int | None = None) -> DataFrame:
+    """All callers (with ``cap``, the first ones) per root, by position: incompatible first, then hops, then trust, then key."""
     compatible = roots.select("root_id", "gv", "signature_compatible").distinct()
     w = W.partitionBy("root_id", "gv").orderBy("signature_compatible", "hops", "rank", "caller")
-    ranked = (callers.join(compatible, ["root_id", "gv"]).withColumn("position", F.row_number().over(w))
-              .filter(F.col("position") <= cap))
+    ranked = callers.join(compatible, ["root_id", "gv"]).withColumn("position", F.row_number().over(w))
+    if cap is not None:
+        ranked = ranked.filter(F.col("position") <= cap)
     return ranked.select(
         "root_id", "gv", "position", F.col("caller").alias("key"), display_name("caller").alias("display_name"), "hops",
         F.col("site_file").alias("file_path"), F.col("site_line").alias("line"), usage_of("type").alias("usage"),
         "signature_compatible", conf_name("rank").alias("confidence"), "inferred")
 
 
-def direct_callers(roots: DataFrame, edges: DataFrame, cap: int = CALLER_CAP):
+def direct_callers(roots: DataFrame, edges: DataFrame, cap: int | None = None):
     """(ranked callers, totals); ``roots`` carries signature_compatible."""
     callers = cut(all_callers(roots, edges), "all-callers")
     return rank_callers(callers, roots, cap), caller_totals(callers, cap)
@@ -229,7 +227,8 @@ def now_depends_on(roots: DataFrame, head_edges: DataFrame, base_edges: DataFram
     start = roots.select("root_id", "gv", "head_gv", "node").distinct()
     head = head_edges.select(F.col("graph_version_id").alias("head_gv"), F.col("src").alias("node"),
                              F.col("dst").alias("key"), "type", "confidence", "inferred")
-    known = base_edges.select(F.col("graph_version_id").alias("gv"), F.col("src").alias("node"),
+    from_roots = start.select(F.col("gv").alias("graph_version_id"), F.col("node").alias("src")).distinct()
+    known = base_edges.join(from_roots, ["graph_version_id", "src"], "left_semi").select(F.col("graph_version_id").alias("gv"), F.col("src").alias("node"),
                               F.col("dst").alias("key")).distinct().withColumn("known", F.lit(True))
     return (start.join(head, ["head_gv", "node"]).join(known, ["gv", "node", "key"], "left")
             .select("root_id", "gv", "key", display_name("key").alias("display_name"), "type",

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ripple.functions.keys import display_name
 from ripple.functions.canonical import canonical_json
 from ripple.operators import diff, walk
-from ripple.schema import CALLER_CAP, CONTEXT_SCHEMA_VERSION, DEPTH_CAP
+from ripple.schema import CONTEXT_SCHEMA_VERSION, DEPTH_CAP
 from ripple.session import cut
 from ripple.sources.store import overlay_snapshot
 
@@ -20,8 +20,9 @@ def detect(analyses: DataFrame, base_fv: DataFrame, head_fv: DataFrame, touched:
     ``analyses``: analysis_id, repo_id, base_gv, head_gv, ... . A snapshot serves any number of analyses. The
     head side is the overlay: the head facts of the touched files, single use, never published.
     """
+    # The touched files meet their analyses first, so only touched rows of a version are ever multiplied.
     side = lambda fv, gv: fv.join(
-        analyses.select("analysis_id", F.col(gv).alias("graph_version_id")), "graph_version_id")
+        analyses.select("analysis_id", F.col(gv).alias("graph_version_id")).join(touched, "analysis_id"), ["graph_version_id", "file_path"])
     head = overlay_snapshot(side(head_fv, "head_gv"), touched)
     changes = diff.changed_functions(side(base_fv, "base_gv"), head, touched)
     return (diff.signature_diff(changes)
@@ -41,7 +42,7 @@ class Analysis:
     """
 
     def __init__(self, analyses, changes, base_edges, head_edges, surfaces, source_diffs=None, versions=None,
-                 parse_errors=None, depth_cap=DEPTH_CAP, caller_cap=CALLER_CAP):
+                 parse_errors=None, depth_cap=DEPTH_CAP, caller_cap=None):
         self.analyses, self.depth_cap = analyses, depth_cap
         self.changes = changes
         self.roots = roots_of(self.changes)

@@ -177,11 +177,11 @@ hop2 AS (SELECT h.root_id, h.gv, h.root_node, b.src, 2, greatest(b.rank, h.rank)
   FROM hop1 h JOIN back b ON b.gv = h.gv AND b.dst = h.caller WHERE b.src <> h.root_node AND b.src <> h.caller),
 callers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, caller ORDER BY hops, rank, inferred, type, via) AS rn
   FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2)) WHERE rn = 1),
-totals AS (SELECT root_id, count(*) AS caller_total, count(*) > 5 AS truncated, count(*) FILTER (rank = 3) AS ambiguous_callers FROM callers GROUP BY 1)"""
+totals AS (SELECT root_id, count(*) AS caller_total, false AS truncated, count(*) FILTER (rank = 3) AS ambiguous_callers FROM callers GROUP BY 1)"""
 define("direct_callers", f"""SELECT * FROM (SELECT k.root_id, row_number() OVER (PARTITION BY k.root_id ORDER BY signature_compatible, hops, rank, caller) AS position,
     caller AS key, {DISPLAY.format(k='caller')} AS display_name, CAST(hops AS BIGINT) AS hops, k.site_file AS file_path, CAST(k.site_line AS BIGINT) AS line,
     CASE type WHEN 'calls' THEN 'calls this method' WHEN 'implements' THEN 'implements this interface method' ELSE 'overrides this method' END AS usage,
-    signature_compatible, {NAMES.format('rank')} AS confidence, inferred FROM callers k JOIN changes USING (root_id)) WHERE position <= 5""",
+    signature_compatible, {NAMES.format('rank')} AS confidence, inferred FROM callers k JOIN changes USING (root_id))""",
        LINES, EB, CHANGES, CALLERS)
 define("direct_caller_totals", "SELECT root_id, caller_total, truncated, ambiguous_callers FROM totals", LINES, EB, CHANGES, CALLERS)
 
@@ -244,16 +244,15 @@ define("diff_hunks", """SELECT analysis_id, file_path, CAST(hunk_no AS BIGINT) A
   new_start + new_len - 1 AS new_end, lines FROM hunks""", LINES, HUNKS)
 
 
-def method_diff(cap):
-    return f"""
+METHOD_DIFF = """
 kept AS (SELECT c.root_id, c.analysis_id, c.function_key, n.line, row_number() OVER (PARTITION BY c.root_id ORDER BY n.line_no) AS rn
   FROM changes c JOIN hunks h USING (analysis_id, file_path) JOIN numbered n ON n.analysis_id = h.analysis_id AND n.file_path = h.file_path AND n.hunk_no = h.hunk_no
   WHERE n.line <> '' AND (h.hunk_no = 0 OR (old_start <= base_end AND base_start <= old_start + old_len - 1) OR (new_start <= head_end AND head_start <= new_start + new_len - 1))),
 mdiff AS (SELECT c.analysis_id, c.function_key, c.root_id, coalesce(t.txt, '') AS source_diff FROM changes c LEFT JOIN
-  (SELECT root_id, string_agg(line, chr(10) ORDER BY rn) AS txt FROM kept WHERE rn <= {cap} GROUP BY 1) t USING (root_id))"""
+  (SELECT root_id, string_agg(line, chr(10) ORDER BY rn) AS txt FROM kept GROUP BY 1) t USING (root_id))"""
 
 
-define("method_diffs", "SELECT analysis_id, function_key, source_diff FROM mdiff", LINES, CHANGES, HUNKS, method_diff(6))
+define("method_diffs", "SELECT analysis_id, function_key, source_diff FROM mdiff", LINES, CHANGES, HUNKS, METHOD_DIFF)
 HEADER = f"""
 rates AS (SELECT gv, count(*) FILTER (type = 'unresolved') / count(*) AS unresolved_rate FROM edges_base GROUP BY 1),
 header AS (SELECT c.root_id, c.repo_id, 'acme' AS owner, n_name AS name, CAST(n_nationkey AS BIGINT) AS pr_number, c.function_key,
@@ -262,7 +261,7 @@ header AS (SELECT c.root_id, c.repo_id, 'acme' AS owner, n_name AS name, CAST(n_
     nodes_visited, round(coalesce(unresolved_rate, 0), 6) AS unresolved_rate, ambiguous_edges_on_path, 0 AS parse_errors
   FROM changes c JOIN nation ON c.repo_id = 'r'||n_nationkey LEFT JOIN rates USING (gv) LEFT JOIN totals USING (root_id) LEFT JOIN mdiff m USING (root_id)
   LEFT JOIN meta USING (root_id) LEFT JOIN ambig USING (root_id) LEFT JOIN capped k USING (root_id))"""
-ALL_PARTS = (LINES, EB, EH, SB, CHANGES, CALLERS, REV, FWD, META, DATA, AMBIG, HUNKS, method_diff(200), HEADER)
+ALL_PARTS = (LINES, EB, EH, SB, CHANGES, CALLERS, REV, FWD, META, DATA, AMBIG, HUNKS, METHOD_DIFF, HEADER)
 define("context_objects", "SELECT * FROM header", *ALL_PARTS)
 
 
@@ -446,7 +445,7 @@ define("stream_units", """SELECT unit_id, repo_id, base_sha, head_sha, delivery_
 define("supersede", """SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id,
   EXISTS (SELECT 1 FROM firsts o WHERE o.repo_id = f.repo_id AND o."trigger" = f."trigger" AND o.pr_number IS NOT DISTINCT FROM f.pr_number
     AND (o.last_ts, o.base_sha, o.head_sha) > (f.last_ts, f.base_sha, f.head_sha)) AS superseded FROM firsts f""", DEL)
-define("await_base_graph", f"""SELECT unit_id, f.repo_id, f.base_sha, head_sha, outcome, outcome <> 'use' AND coalesce(last_status = 'failed', true) AS request_index,
+define("await_base_graph", f"""SELECT unit_id, f.repo_id, f.base_sha, head_sha, outcome, outcome = 'wait' AND coalesce(last_status = 'failed', true) AS request_index,
   CASE WHEN outcome = 'failed' THEN 'base commit '||f.base_sha||' was never indexed' END AS error FROM (
     SELECT f.*, l.last_status, CASE WHEN l.usable <= f.ts + to_minutes(10) AND l.usable <= TIMESTAMP '2024-01-30 23:20:00' THEN 'use'
       WHEN TIMESTAMP '2024-01-30 23:20:00' >= f.ts + to_minutes(10) THEN 'failed' ELSE 'wait' END AS outcome

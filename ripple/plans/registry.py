@@ -124,7 +124,7 @@ def adjacency(spark, d):
 @query
 def direct_callers(spark, d):
     fl = fleet(spark, d)
-    ranked, _ = walk.direct_callers(changed_roots(fl), fl.base_edges, 5)
+    ranked, _ = walk.direct_callers(changed_roots(fl), fl.base_edges)
     return ranked.select("root_id", *big("position", "hops", "line"), "key", "display_name", "file_path", "usage",
                          "signature_compatible", "confidence", "inferred")
 
@@ -132,7 +132,7 @@ def direct_callers(spark, d):
 @query
 def direct_caller_totals(spark, d):
     fl = fleet(spark, d)
-    _, totals = walk.direct_callers(changed_roots(fl), fl.base_edges, 5)
+    _, totals = walk.direct_callers(changed_roots(fl), fl.base_edges)
     return totals.select("root_id", *big("caller_total", "ambiguous_callers"), "truncated")
 
 
@@ -208,7 +208,7 @@ def method_diffs(spark, d):
     c = changes(fl)
     ranges = c.select("analysis_id", "function_key", F.coalesce("head.file_path", "base.file_path").alias("file_path"),
                       *[F.col(f"{s}.{x}_line").alias(f"{s}_{x}") for s in ("base", "head") for x in ("start", "end")])
-    return diff.method_diffs(diff.diff_hunks(fl.diff_texts), cut(ranges, "ranges"), 6)
+    return diff.method_diffs(diff.diff_hunks(fl.diff_texts), cut(ranges, "ranges"))
 
 
 @query
@@ -237,7 +237,7 @@ def whole_analysis(spark, d):
         (F.count_if(F.col("type") == "unresolved") / F.count("*"))
         .alias("unresolved_rate"))
     return analyze.Analysis(fl.analyses, c, base, fl.edges("head"), fl.surfaces("base"),
-                            source_diffs=diff.method_diffs(texts, ranges), versions=rates, caller_cap=5)
+                            source_diffs=diff.method_diffs(texts, ranges), versions=rates)
 
 
 @shared

@@ -17,8 +17,6 @@ FORWARD_TYPES = ["calls"]
 ENTRY_TYPES = ["handles", "triggers"]
 
 DEPTH_CAP = 5
-CALLER_CAP = 15
-DIFF_LINE_CAP = 200
 MAX_FILES = 500
 CONTEXT_SCHEMA_VERSION = 1
 

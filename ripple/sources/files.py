@@ -56,9 +56,10 @@ def size_gate(requested: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
 def normalise_path(path):
     p = F.translate(path, "\\", "/")
     p = F.regexp_replace(F.regexp_replace(p, "/+", "/"), r"(^|/)(?:\./)+", "$1")
-    for _ in range(8):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return p
+    last = lambda parts: F.element_at(parts, -1)
+    up = lambda parts, x: (x == "..") & (F.size(parts) > 0) & F.when(F.size(parts) > 0, ~last(parts).isin("..", "")).otherwise(F.lit(False))
+    step = lambda parts, x: F.when(up(parts, x), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(F.concat(parts, F.array(x)))
+    return F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step, lambda parts: F.array_join(parts, "/"))
 
 
 def subset_files(files: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def test_change_kinds(spark):
     assert "renamed" not in str(diff.changed_functions(base, head, both).select("function_key").collect())
 
 
-HEADER = "diff --git a/Foo.java b/Foo.java\nindex abc123..def456 100644\n--- a/Foo.java\n+++ b/Foo.java"
+HEADER = "diff --git a/Crate.java b/Crate.java\nindex 17aa..9c02 100644\n--- a/Crate.java\n+++ b/Crate.java"
 
 
 def test_method_diffs(spark):
@@ -39,10 +39,12 @@ def test_method_diffs(spark):
     none = (None, None)
     ranges = spark.createDataFrame([("a", "fn:" + k, k, *(b or none), *(h or none)) for k, (_, b, h) in cases.items()],
                                    "analysis_id string, function_key string, file_path string, base_start int, base_end int, head_start int, head_end int")
-    got = {r.function_key[3:]: r.source_diff for r in diff.method_diffs(diff.diff_hunks(texts), ranges, 50).collect()}
+    got = {r.function_key[3:]: r.source_diff for r in diff.method_diffs(diff.diff_hunks(texts), ranges).collect()}
+    capped = {r.function_key[3:]: r for r in diff.method_diffs(diff.diff_hunks(texts), ranges, 50).collect()}
     assert got["none"] == "" and got["far"] == HEADER and got["empty"] == HEADER
     assert got["base"] == HEADER + "\n@@ -40,10 +40,12 @@\n-old line\n+new line"
-    assert "+added method" in got["head"] and got["short"].endswith("-x\n+y") and len(got["cap"].split("\n")) == 50
+    assert "+added method" in got["head"] and got["short"].endswith("-x\n+y") and len(got["cap"].split("\n")) == 305
+    assert len(capped["cap"].source_diff.split("\n")) == 50 and [k for k, r in capped.items() if r.source_diff_truncated] == ["cap"]
 
 
 def test_hunk_at_text_start(spark):

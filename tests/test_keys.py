@@ -53,3 +53,16 @@ def test_canonical_json_ignores_field_order(spark):
     b = spark.sql("select named_struct('a', named_struct('y', array(2, 1), 'z', null), 'b', 1) s")
     texts = [d.select(canonical.canonical_json("s", d.schema["s"].dataType)).first()[0] for d in (a, b)]
     assert texts[0] == texts[1] == '{"a":{"y":[2,1],"z":null},"b":1}'
+
+
+def test_deep_paths_and_generics(spark):
+    """No depth is special: twenty levels of '..' and of type parameters."""
+    from ripple.functions.text import erase_type_text
+    from ripple.sources.files import normalise_path
+
+    deep = "/".join(f"d{i}" for i in range(20)) + "/" + "../" * 20 + "src/main/java/A.java"
+    nested = "In<" * 20 + "X" + ">" * 20
+    rows = [(deep, f"Outer<{nested}>.Inner<{nested}>"), ("../../a/./b//../C.java", "Map<String, List<int[]>>..."), ("a\\b\\C.java", "? extends T"), ("/x/../y.java", "int")]
+    df = spark.createDataFrame(rows, "path string, t string")
+    got = [tuple(r) for r in df.select(normalise_path(F.col("path")), erase_type_text(F.col("t"))).collect()]
+    assert got == [("src/main/java/A.java", "Outer.Inner"), ("../../a/C.java", "Map[]"), ("a/b/C.java", "java.lang.Object"), ("/y.java", "int")]
