@@ -47,11 +47,23 @@ def lexicon(docs: DataFrame, text: str, path: str) -> DataFrame:
     return cut(found.mapInArrow(counted, "pretoken string, n long, n_pieces long"), "lexicon")
 
 
+def _frequent(words: DataFrame) -> DataFrame:
+    """The pre-tokens seen at least 2^k times, for the smallest k that leaves at most HEAD of them."""
+    levels = words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()  # one row per power of two
+    room, least = HEAD, 64
+    for k, count in sorted(((r.k, r["count"]) for r in levels), reverse=True):
+        room -= count
+        if room < 0:
+            break
+        least = k
+    return words.where(F.col("n") >= F.lit(float(2**least)))
+
+
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``key, n_bytes, n_tokens`` of each row, as the tokenizers library counts them for the file at ``path``.
 
     The lexicon holds every distinct pre-token with its number of pieces. A second pass over the texts makes
-    pre-token frequencies by document. The ``HEAD`` most frequent pre-tokens (at most that many, whatever the corpus)
+    pre-token frequencies by document. The most frequent pre-tokens (at most ``HEAD``, whatever the corpus)
     are sent to the tasks and added up there, so that no frequent pre-token is shuffled; all others are joined to the
     lexicon. Ids are never made for a text. A null or empty text has 0 bytes and 0 tokens; repeated rows and null or
     repeated keys keep a row each; other columns are ignored.
@@ -59,7 +71,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     path = path or public_tokenizers.path("word_bpe_49k.json")
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     words = lexicon(docs, "_text", path)
-    head = dict(words.orderBy(F.desc("n"), "pretoken").limit(HEAD).select("pretoken", "n_pieces").collect())
+    head = dict(_frequent(words).select("pretoken", "n_pieces").collect())
     shared = docs.sparkSession.sparkContext.broadcast(head)
     kind = docs.schema["_key"].dataType.simpleString()
 
