@@ -11,7 +11,7 @@ from ripple.llm.common import compact, cut, slices, table, word_codes, words_of
 
 #: Hashed words of the text view, and hashed sources and languages of the metadata view.
 WORDS, SOURCES, LANGS = 192, 32, 8
-#: Labelled rows that the driver fits on at most (a sample by hash), and pseudo-labels per view, class and round.
+#: Labelled rows that the driver fits on (a sample by hash, of twice as many at most), and pseudo-labels per view, class and round.
 SAMPLE, POOL = 20_000, 5_000
 ROUNDS = 2
 #: A view hands on a label if its calibrated probability is this far from the middle.
@@ -139,15 +139,16 @@ def _inputs(docs: DataFrame, *keep: str) -> DataFrame:
 def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model | None:
     """Co-train both views on stored ``features`` and labels 0 / 1; None where the labels do not hold both classes.
 
-    The first views are fitted on a sample of at most ``SAMPLE`` labelled rows, chosen by a hash of the key; a quarter of it
+    The first views are fitted on a sample of about ``SAMPLE`` labelled rows, chosen by a hash of the key; a quarter of it
     only calibrates. In each of ``ROUNDS`` rounds all unlabelled rows are scored where they lie, and up to about ``POOL`` rows
     that a view is ``SURE`` of, for each class, join the other view's training rows. A key with several labels counts as the
     lowest; null labels are none.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_y"))
     order = F.xxhash64(F.lit("label"), key)
-    sample = known.orderBy(order, key).limit(SAMPLE)
-    got = rows.join(F.broadcast(sample), key).select("words", "meta", "_y", (F.pmod(order, F.lit(HELD_OUT)) == 0).alias("_held")).limit(2 * SAMPLE).toArrow()
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    sample = known.where(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE)  # about SAMPLE; the limit bounds what is sent
+    got = rows.join(F.broadcast(sample), key).select("words", "meta", "_y", (F.pmod(F.shiftright(order, 32), F.lit(HELD_OUT)) == 0).alias("_held")).limit(2 * SAMPLE).toArrow()
     if not got.num_rows:
         return None
     x, m = _matrices(got.combine_chunks().to_batches()[0])
@@ -186,7 +187,7 @@ def _pseudo_labels(rows: DataFrame, known: DataFrame, words: View, meta: View, k
             some = sum(v for k, v in n.items() if k[place] == c)
             share = F.greatest(share, F.when(F.col(column) == c, min(1.0, POOL / max(1, some))).otherwise(0.0))
     chosen = sure.where(chance < share).groupBy(key).agg(F.min("by_words").alias("by_words"), F.min("by_meta").alias("by_meta"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(turn), key), key).limit(8 * POOL)  # four pools; the limit bounds what is sent
+    chosen = chosen.limit(8 * POOL)  # four pools are expected; the limit bounds what is sent
     got = rows.join(F.broadcast(chosen), key).select("words", "meta", "by_words", "by_meta").toArrow()
     if not got.num_rows:
         return tuple((np.zeros((0, len(v.mean)), np.float32), np.zeros(0)) for v in (words, meta))
