@@ -473,6 +473,13 @@ LISTS = f"""
 crank AS ({SQL['direct_callers'][SQL['direct_callers'].rindex('SELECT * FROM (SELECT k.root_id'):]}),
 ent AS ({SQL['entrypoints'][SQL['entrypoints'].rindex('SELECT root_id, e.src AS key'):]}),
 callees AS ({SQL['now_depends_on'][SQL['now_depends_on'].rindex('SELECT c.root_id, h.dst AS key'):]})"""
+define("context_nested", """SELECT root_id, 'callers' AS part, position AS pos, key, position||':'||usage||':'||confidence AS detail FROM crank
+  UNION ALL SELECT root_id, 'entrypoints', row_number() OVER (PARTITION BY root_id ORDER BY key, kind), key, kind||':'||min_hops FROM ent
+  UNION ALL SELECT root_id, 'data', row_number() OVER (PARTITION BY root_id ORDER BY key, kind), key, access||':'||confidence FROM data
+  UNION ALL SELECT root_id, 'callees', row_number() OVER (PARTITION BY root_id ORDER BY key, type, is_new, confidence, inferred), key, type||':'||confidence FROM callees""",
+       *ALL_PARTS, LISTS)
+SQL["canonical_objects"] = """SELECT p_partkey, json, sha256(json) AS hash FROM (SELECT p_partkey,
+  '{"alpha":{"k":"'||p_type||'","n":'||p_size||'},"list":[{"x":'||p_size||',"y":'||p_partkey||'}],"none":null,"zeta":"'||p_name||'"}' AS json FROM part)"""
 DISP = DISPLAY.format(k="key")
 SYMS = f"""
 keyed AS (SELECT root_id, function_key AS key FROM header UNION ALL SELECT root_id, key FROM crank UNION ALL SELECT root_id, key FROM ent

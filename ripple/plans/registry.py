@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ripple.functions import keys, text, trust
+from ripple.functions import canonical, keys, text, trust
 from ripple.operators import (calls, declarations, diagnostics, diff, entry_rules, explain, grounding, repository_rules, serve,
                               walk)
 from ripple.plans import analyze, index
@@ -258,10 +258,29 @@ def context_objects(spark, d):
 
 @query
 def context_nested(spark, d):
-    """Nested context objects as canonical JSON with their hash."""
+    """Every list element of the nested context objects, taken out of the object again in its order."""
     rows = analyze.build_context(whole_analysis(spark, d))
-    return rows.select("root_id", "change_kind", F.to_json("context", {"ignoreNullFields": "false"}).alias("context"),
-                       "context_hash")
+
+    def elements(part, path, *detail):
+        e = rows.select("root_id", F.posexplode(path).alias("i", "e"))
+        return e.select("root_id", F.lit(part).alias("part"), (F.col("i") + 1).cast("long").alias("pos"), F.col("e.key").alias("key"),
+                        F.concat_ws(":", *[F.col(f"e.{c}").cast("string") for c in detail]).alias("detail"))
+
+    return (elements("callers", "context.affected_by.direct_callers", "position", "usage", "confidence")
+            .unionByName(elements("entrypoints", "context.affected_by.reachable_surfaces.entrypoints", "kind", "min_hops"))
+            .unionByName(elements("data", "context.affected_by.reachable_surfaces.data", "access", "confidence"))
+            .unionByName(elements("callees", "context.now_depends_on.callees", "type", "confidence")))
+
+
+@query
+def canonical_objects(spark, d):
+    """Canonical JSON and its hash over a small nested object per part: keys sorted at every level, nulls written out."""
+    p = wh.table(spark, d, "part")
+    shape = p.select("p_partkey", F.struct(
+        F.col("p_name").alias("zeta"), F.struct(F.col("p_size").alias("n"), F.col("p_type").alias("k")).alias("alpha"),
+        F.array(F.struct(F.col("p_partkey").alias("y"), F.col("p_size").alias("x"))).alias("list"), F.lit(None).cast("string").alias("none")).alias("o"))
+    kind = shape.schema["o"].dataType
+    return shape.select("p_partkey", canonical.canonical_json("o", kind).alias("json"), canonical.context_hash("o", kind).alias("hash"))
 
 
 @query
