@@ -69,8 +69,8 @@ def leaf_budgets(rows: DataFrame, plan: Plan) -> DataFrame:
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     leaves = leaves.withColumn("cap", F.col("tokens") * plan.epochs)
     weights = (plan.domain_weights, plan.lang_weights, plan.source_weights)
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {plan.share[0]} div {plan.share[1]}").alias("budget"))
-    nodes = leaves.groupBy("_domain").agg(F.sum("cap").alias("cap")).withColumn("_all", F.lit(0)).crossJoin(total)  # one row
+    nodes = leaves.groupBy("_domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("_t")).withColumn("_all", F.lit(0))
+    nodes = nodes.withColumn("budget", F.expr(f"(sum(_t) over (partition by _all)) * {plan.share[0]} div {plan.share[1]}")).drop("_t")
     parent = ["_all"]
     for depth, name in enumerate(LEVELS):
         nodes = nodes.withColumn("weight", _named(weights[depth], F.col(name), plan.default_weight).cast("long"))
