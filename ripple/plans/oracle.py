@@ -413,6 +413,7 @@ define_rec("graph_diagnostics", """SELECT * FROM (SELECT gv, count(*) AS total_e
   JOIN (SELECT gv, count(*) FILTER (outcome = 'external') AS external_calls, count(*) FILTER (index_miss) AS index_misses, count(*) FILTER (reason = 'ambiguous_overload') AS ambiguous_overloads,
     count(DISTINCT dst) FILTER (reason = 'ambiguous_overload') AS ambiguous_targets FROM classed GROUP BY 1) USING (gv)
   JOIN (SELECT gv, sum(unresolved_params) AS unresolved_params, round(sum(unresolved_params) / sum(arity), 6) AS unresolved_param_rate FROM fns WHERE inside GROUP BY 1) USING (gv)""", *ALLG)
+define_rec("ambiguous_targets", "SELECT DISTINCT gv, dst FROM classed WHERE reason = 'ambiguous_overload'", *ALLG)
 define("graph_profile", """SELECT 'edge_type' AS section, type AS name, count(*) AS n FROM edges_base GROUP BY 2 UNION ALL SELECT 'surface_kind', kind, count(*) FROM surf_base GROUP BY 2
   UNION ALL SELECT 'unresolved_reason', reason, count(*) FROM edges_base WHERE type = 'unresolved' GROUP BY 2
   UNION ALL (SELECT 'sample_route', key, 1 FROM (SELECT DISTINCT key FROM surf_base WHERE kind = 'http_route' ORDER BY key LIMIT 6))""", LINES, EB, SB)
@@ -441,7 +442,7 @@ define("dedupe_deliveries", DEDUPED, DEL)
 define("stream_dedupe", DEDUPED, DEL)
 define("units", """SELECT 'index:'||repo||':'||head AS unit_id, repo AS repo_id, 'index' AS "trigger", NULL::BIGINT AS pr_number, NULL AS base_sha, head AS head_sha, id AS delivery_id FROM pushes
   UNION ALL SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id FROM units""", DEL)
-define("stream_units", """SELECT unit_id, repo_id, base_sha, head_sha, delivery_id FROM units WHERE "trigger" = 'push'""", DEL)
+define("stream_units", "SELECT DISTINCT repo_id, base_sha, head_sha FROM units", DEL)
 define("supersede", """SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id,
   EXISTS (SELECT 1 FROM firsts o WHERE o.repo_id = f.repo_id AND o."trigger" = f."trigger" AND o.pr_number IS NOT DISTINCT FROM f.pr_number
     AND (o.last_ts, o.base_sha, o.head_sha) > (f.last_ts, f.base_sha, f.head_sha)) AS superseded FROM firsts f""", DEL)

@@ -869,12 +869,20 @@ def await_base_graph(spark, d):
 
 @query
 def stream_units(spark, d):
-    """Deliveries -> dedupe -> units -> one per (repo, base, head), as one streaming query."""
+    """Deliveries -> dedupe -> push and pull request units -> one per (repo, base, head), as one streaming query."""
     out = f"{scratch_root(spark)}/ripple_stream_{uuid.uuid4().hex}"
     events = spark.readStream.schema(wh.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     fresh = ev.dedupe_stream(feed.to_deliveries(events))
-    ev.run_available(ev.push_units(ev.parse_payload(fresh)), f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").select("unit_id", "repo_id", "base_sha", "head_sha", "delivery_id")
+    parsed = ev.parse_payload(fresh)
+    units = ev.create_or_get_stream(ev.push_units(parsed).unionByName(ev.pull_request_units(parsed)))
+    ev.run_available(units, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("repo_id", "base_sha", "head_sha")
+
+
+@query
+def ambiguous_targets(spark, d):
+    """Distinct targets that more than one overload could be."""
+    return diagnostics.ambiguous_overload_targets(fact_calls(spark, d))
 
 
 @query

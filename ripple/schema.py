@@ -35,18 +35,12 @@ CALL_SITES = T.ArrayType(CALL_SITE)
 ANNOTATION = struct(name=S, values=ATTRS)
 ANNOTATIONS = T.ArrayType(ANNOTATION)
 
-FUNCTIONS = struct(repo_id=S, key=S, fqcn=S, class_name=S, method_name=S, param_types=STRINGS,
-                   first_seen_at=TS, last_seen_at=TS)
 FUNCTION_VERSIONS = struct(repo_id=S, graph_version_id=S, function_key=S, sha=S, file_path=S, start_line=I,
                            end_line=I, body_hash=S, return_type=S, param_names=STRINGS, modifiers=STRINGS,
                            annotations=ANNOTATIONS, is_abstract=B, is_interface_method=B)
 SURFACES = struct(repo_id=S, graph_version_id=S, key=S, kind=S, attrs=ATTRS)
 EDGES = struct(repo_id=S, graph_version_id=S, src=S, dst=S, type=S, inferred=B, confidence=S,
                call_sites=CALL_SITES, reason=S)
-STATS = struct(functions=L, edges=L, surfaces=L, unresolved_rate=D, non_external_unresolved_rate=D,
-               external_calls=L, parse_errors=L)
-GRAPH_VERSIONS = struct(id=S, repo_id=S, sha=S, kind=S, status=S, parser_version=S, rule_version=S, stats=STATS,
-                        pinned_by=STRINGS, started_at=TS, completed_at=TS, error=S)
 SECTIONS = struct(what_changed=S, who_is_affected=S, what_to_check=S)
 
 # The extractor response document, named as it arrives.
