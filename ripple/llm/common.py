@@ -69,7 +69,7 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return known[codes]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Cut a batch into pieces of about ``most`` bytes of text, so that long texts never meet in one piece."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     piece = np.cumsum(sizes) // most
@@ -77,6 +77,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     for a, b in zip(starts[:-1], starts[1:]):
         if b > a:
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def shingle_hashes(texts: pa.Array, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ripple.llm.common import compact, cut, slices, table, word_codes, words_of
 
@@ -224,16 +223,16 @@ def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> D
     model = fit(cut(features(docs, key), "features"), labels, key)
     if model is None:
         return docs
-    every = _inputs(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    names = [("text", pa.string()), ("lang", pa.string()), ("source", pa.string())]
 
     def choose(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
-                x, m = (v.astype(np.float16).astype(np.float32) for v in views(part.column("_text"), part.column("_lang"), part.column("_source")))
-                keep = pa.array(model.scores(x, m)[2] >= 0.5)
-                yield pa.RecordBatch.from_arrays([part.column("_row").filter(keep)], ["_row"])
+            for part in slices(batch, "text"):
+                own = [part.column(c) if c in part.schema.names else pa.nulls(len(part), kind) for c, kind in names]
+                x, m = (v.astype(np.float16).astype(np.float32) for v in views(*own))
+                yield part.filter(pa.array(model.scores(x, m)[2] >= 0.5))
 
-    return every.mapInArrow(choose, StructType([StructField("_row", docs.schema)])).select("_row.*")
+    return docs.mapInArrow(choose, docs.schema)
 
 
 def op10_cotraining(spark, sf_dir):

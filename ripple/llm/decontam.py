@@ -3,7 +3,6 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ripple.llm.common import multipliers, shingle_hashes, slices, table
 
@@ -157,13 +156,12 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> Da
 
         def keep(batches, shared=shared):
             for batch in batches:
-                for part in slices(batch, "_text", PIECE):
+                for part in slices(batch, text, PIECE):
                     good = np.ones(len(part), dtype=bool)
-                    good[[m[0] for m in shared.value.matches(part.column("_text"))]] = False
-                    yield pa.RecordBatch.from_arrays([part.column("_row").filter(pa.array(good))], ["_row"])
+                    good[[m[0] for m in shared.value.matches(part.column(text))]] = False
+                    yield part.filter(pa.array(good))
 
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-        docs = rows.mapInArrow(keep, StructType([StructField("_row", docs.schema)])).select("_row.*")
+        docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 

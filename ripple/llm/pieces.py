@@ -18,7 +18,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose case folding and normal form change nothing but ASCII and Latin letters one by one.
 PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ſ]+")
 #: Words remembered by a Python worker at most; others are counted again in their next batch.
-MEMORY = 200_000
+MEMORY = 150_000
 #: Pre-tokens that are encoded by one call.
 CALL = 50
 

@@ -22,7 +22,7 @@ MAGIC = b"EFTOKEN1"
 #: Head of an Elias-Fano list: values, universe, first value, low bits, samples. A sample is the place of each 256th one bit.
 HEAD = "<QQqQQ"
 SAMPLE = 256
-PIECE = 12 << 20
+PIECE = 6 << 20
 
 
 class EliasFano:
