@@ -125,17 +125,22 @@ class TemplateIndex:
         hits = []
         for p, a, b in zip(prints[hi > lo], lo[hi > lo], hi[hi > lo]):
             text = int(np.searchsorted(offsets, p, side="right")) - 1
-            hits += [(text, int(self.owner[x]), int(p - offsets[text] - self.place[x])) for x in range(a, b)]
-        out, last = [], None
-        for text, t, diagonal in sorted(set(hits)):
-            if last and last[:2] == (text, t) and diagonal - last[2] <= BAND:
-                continue  # the alignment of the group's first diagonal covers it
-            last = (text, t, diagonal)
+            hits += [(text, int(self.owner[x]), int(p - offsets[text] - self.place[x]), int(p - offsets[text])) for x in range(a, b)]
+        out, spans, failed = [], {}, set()
+        for text, t, diagonal, place in sorted(set(hits)):
+            taken = spans.setdefault((text, t), [])
             base, m = int(offsets[text]), len(self.words[t])
-            start, stop = max(0, diagonal - BAND), min(int(offsets[text + 1]) - base, diagonal + m + 2 * BAND)
-            own = words.slice(base + start, stop - start).to_pylist()
-            matched, first, end = banded_alignment(self.words[t], own, diagonal - start)
-            if matched >= COVERAGE * m:
+            while all(place < a or place > b for a, b in taken):  # a hit inside a reported place is covered by it
+                start = max([0, diagonal - BAND, *[b + 1 for a, b in taken if b < place]])
+                stop = min([int(offsets[text + 1]) - base, diagonal + m + 2 * BAND, *[a for a, b in taken if a > place]])
+                if (text, t, diagonal, start, stop) in failed:
+                    break
+                own = words.slice(base + start, stop - start).to_pylist()
+                matched, first, end = banded_alignment(self.words[t], own, diagonal - start)
+                if matched < COVERAGE * m:
+                    failed.add((text, t, diagonal, start, stop))
+                    break
+                taken.append((start + first, start + end))
                 out.append((text, t, matched, int(where[base + start + first]), int(where[base + start + end])))
         kept: dict[tuple, list] = {}
         for text, t, matched, first, end in sorted(out, key=lambda x: (-x[2], x[4] - x[3], x[3])):  # groups may find one place twice

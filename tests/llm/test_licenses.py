@@ -68,3 +68,11 @@ def test_alignment_against_the_full_table():
         matched, first, last = licenses.banded_alignment(a, ["p"] * pre + b + ["q"] * 5, pre)
         assert matched == full_alignment(a, b)
         assert ["p", *b][first - pre + 1] in a and b[last - pre] in a
+
+
+def test_copies_that_follow_each_other(spark):
+    line = licenses.TEMPLATES["mit-line"]
+    rows = [(1, " ".join([line] * 2)), (2, " ".join([line] * 5)), (3, line + " and " + line)]
+    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_templates(spark).where("template = 'mit-line'")).collect()
+    places = {k: sorted((x.first_word, x.last_word) for x in got if x.doc_id == k) for k, _ in rows}
+    assert places == {1: [(0, 4), (5, 9)], 2: [(5 * k, 5 * k + 4) for k in range(5)], 3: [(0, 4), (6, 10)]}
