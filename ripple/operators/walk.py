@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from ripple.functions.keys import display_name
 from ripple.functions.text import access_of, usage_of
 from ripple.functions.trust import conf_name, conf_rank
-from ripple.operators.skew import group_hashed
+from ripple.operators.skew import group_hashed, rank_within
 from ripple.schema import DEPTH_CAP, ENTRY_TYPES, FORWARD_TYPES, REVERSE_TYPES
 from ripple.session import Levels, cut
 
@@ -203,10 +203,12 @@ def caller_totals(callers: DataFrame, cap: int | None = None) -> DataFrame:
 def rank_callers(callers: DataFrame, roots: DataFrame, cap: int | None = None) -> DataFrame:
     """All callers (with ``cap``, the first ones) per root, by position: incompatible first, then hops, then trust, then key."""
     compatible = roots.select("root_id", "gv", "signature_compatible").distinct()
-    w = W.partitionBy("root_id", "gv").orderBy("signature_compatible", "hops", "rank", "caller")
-    ranked = callers.join(compatible, ["root_id", "gv"]).withColumn("position", F.row_number().over(w))
-    if cap is not None:
-        ranked = ranked.filter(F.col("position") <= cap)
+    keys, order = ["root_id", "gv"], ["signature_compatible", "hops", "rank", "caller"]
+    ranked = callers.join(compatible, keys)
+    if cap is None:
+        ranked = rank_within(ranked, keys, order)
+    else:
+        ranked = ranked.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("position") <= cap)
     return ranked.select(
         "root_id", "gv", "position", F.col("caller").alias("key"), display_name("caller").alias("display_name"), "hops",
         F.col("site_file").alias("file_path"), F.col("site_line").alias("line"), usage_of("type").alias("usage"),

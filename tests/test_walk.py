@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import edge, edges, fn, roots, rowset, surfaces
 
-from ripple.operators import walk
+from ripple.operators import skew, walk
 
 CHANGED, IMPL_A, IMPL_B, CALL1, CALL2 = (fn("changed"), fn("a", "ImplA"), fn("b", "ImplB"), fn("c1", "Caller1"), fn("c2", "Caller2"))
 CHAIN = [fn(f"f{i}", "F") for i in range(7)]
@@ -116,3 +116,13 @@ def test_ancestor_closure_and_cycles(spark):
     up = spark.createDataFrame([("g", "A", "B"), ("g", "B", "C"), ("g", "A", "C"), ("g", "C", "A"), ("h", "A", "Z")], "gv string, fqcn string, supertype_fqcn string")
     assert rowset(walk.ancestor_closure(up), "gv", "fqcn", "ancestor_fqcn", "distance") == [
         ("g", "A", "B", 1), ("g", "A", "C", 1), ("g", "B", "A", 2), ("g", "B", "C", 1), ("g", "C", "A", 1), ("g", "C", "B", 2), ("h", "A", "Z", 1)]
+
+
+def test_callers_of_a_hub_are_numbered_in_pieces(spark, monkeypatch):
+    stored, cut = [], skew.cut
+    monkeypatch.setattr(skew, "cut", lambda df, *a: stored.append(cut(df, *a)) or stored[-1])
+    rows = [edge(fn(f"u{i:04}", "User"), CHANGED, gv="hub") for i in range(2000)]
+    ranked, _ = walk.direct_callers(roots(spark, [("hub", "hub", CHANGED, True)]), edges(spark, rows))
+    got = ranked.orderBy("position").collect()
+    assert [(r.position, r.key) for r in got] == [(i + 1, fn(f"u{i:04}", "User")) for i in range(2000)]
+    assert stored[0].select("_piece").distinct().count() > 1
