@@ -177,8 +177,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     member with the most central one of its bucket, and the links that full sets confirm give first components. A second
     pass compares all members of the buckets that hold several components, in blocks of ``BLOCK``; the members that have a
     near partner elsewhere bring their full sets to a task per block, which reports a spanning forest of the confirmed links
-    and no row for each pair. So every pair within the allowed distance is either in one component already or confirmed.
-    The distance allows five standard deviations beyond that of a pair at the threshold.
+    and no row for each pair. Pairs that differ in at most 2 * CHUNKS - 1 values always meet; those beyond, up to the allowed
+    distance, meet only if some chunk has at most one differing value, and so may be missed. Pairs that meet are either in one
+    component already or compared. The allowed distance is five standard deviations beyond that of a pair at the threshold.
 
     A null or empty text has no shingles and links with nothing; neither does a row with a null key. A text of fewer than
     ``size`` words is one shingle. Rows that repeat a key are handled each by its own text. Other columns are ignored.
