@@ -162,12 +162,11 @@ def clusters(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(distance)], ["_key", "cluster", "distance"])
 
     assigned = cut(vectors.mapInArrow(assign, result), "clusters")
-    digests = spark.createDataFrame([(c, hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for c, v in enumerate(centroids.tolist())], "cluster int, centroid_sha256 string")
     sums = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"))
-    total = sums.agg(F.sum("s").alias("t"))
-    whole = lambda c: F.least(F.col(c), F.lit(LONG).cast("decimal(38,0)")).cast("long")
-    sums = sums.join(F.broadcast(total)).select("cluster", whole("s").alias("cluster_inertia"), whole("t").alias("inertia"))  # one row
-    known = sums.join(digests, "cluster")  # at most k rows
+    sums = {r.cluster: int(r.s) for r in sums.collect()}  # at most k rows
+    total = min(LONG, sum(sums.values()))
+    digest = [hashlib.sha256(",".join(map(str, v)).encode()).hexdigest() for v in centroids.tolist()]
+    known = spark.createDataFrame([(c, min(LONG, s), total, digest[c]) for c, s in sums.items()], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return assigned.join(F.broadcast(known), "cluster").select(F.col("_key").alias(key), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
