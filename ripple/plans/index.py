@@ -8,7 +8,9 @@ from ripple.operators import calls, declarations, entry_rules, repository_rules
 from ripple.operators.skew import group_hashed
 from ripple.operators.walk import ancestor_closure
 from ripple.session import cut
+from ripple.sources import wire
 from ripple.sources.files import is_solver_only, root_of
+from ripple.sources.store import Store, retention_plan
 
 
 def extracted(path):
@@ -75,3 +77,41 @@ class Graph:
 
 def build_graph(facts) -> Graph:
     return Graph(facts)
+
+
+# --- from documents to the published graph ---------------------------------------------------------------------
+
+
+def version_stats(responses: DataFrame) -> DataFrame:
+    """Counts and rates of each version, over all documents it came in; rates are weighted by their document's edges."""
+    s = wire.snapshot_stats(responses)
+    rate = lambda c: (F.sum(F.col(c) * F.col("edges")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("edges"))), F.lit(0))).alias(c)
+    counts = [F.sum(c).alias(c) for c in ("functions", "edges", "surfaces", "external_calls", "parse_errors")]
+    return s.groupBy("graph_version_id").agg(*counts, rate("unresolved_rate"), rate("non_external_unresolved_rate"))
+
+
+def run_index(target: Store, responses: DataFrame, versions: DataFrame, pins: DataFrame | None = None, waiting: DataFrame | None = None) -> DataFrame:
+    """Index many versions in one job: documents -> rows -> write -> publish -> retention. Returns the stats of the published versions.
+
+    ``responses`` comes from ``read_parse_responses`` with a ``graph_version_id`` for each document (null where it cannot be read);
+    ``versions``: graph_version_id, repo_id, sha, kind, position. A version without a single usable document fails and its repository keeps its
+    graph. The others are published in one commit, which replaces earlier attempts at the same commit of a repository, and then
+    retention is applied to the repositories that got a new version; pinned versions and bases that units wait for are spared.
+    """
+    spark = versions.sparkSession
+    good = wire.accepted(responses).join(versions.select("graph_version_id", F.col("repo_id").alias("_repo")), "graph_version_id").drop("repo_id").withColumnRenamed("_repo", "repo_id")
+    stats = cut(version_stats(good), "stats")
+    found = cut(versions.join(stats.select("graph_version_id"), "graph_version_id", "left_semi"), "found")
+    lost = cut(versions.join(stats.select("graph_version_id"), "graph_version_id", "left_anti"), "lost")
+    target.log_status(versions, "building")
+    written = [target.write_snapshot("function_versions", wire.function_versions_of(good)), target.write_snapshot("surfaces", wire.surfaces_of(good)),
+               *target.write_edges(wire.edges_of(good))]
+    if not lost.isEmpty():
+        target.fail_snapshot(lost, "no readable document")
+    if not found.isEmpty():
+        target.publish(found, written)
+        none = spark.createDataFrame([], "graph_version_id string, pins long")
+        old = target.versions().filter("status NOT IN ('deleted', 'replaced')").join(versions.select("graph_version_id"), "graph_version_id", "left_anti")
+        plan = retention_plan(old, pins if pins is not None else none, target.current(), waiting)
+        target.apply_retention(plan.join(found.select("repo_id").distinct(), "repo_id", "left_semi"))
+    return stats

@@ -234,22 +234,22 @@ texts AS (SELECT 'a:'||repo_id AS analysis_id, {pf('l_partkey')} AS file_path, a
 text_lines AS (SELECT analysis_id, file_path, unnest(string_split(txt, chr(10))) AS line, generate_subscripts(string_split(txt, chr(10)), 1) AS line_no
   FROM (SELECT analysis_id, file_path, 'diff --git a/'||file_path||' b/'||file_path||chr(10)||'--- a/'||file_path||chr(10)||'+++ b/'||file_path||chr(10)||
     '@@ -'||a||',3 +'||(a+3)||',3 @@'||chr(10)||'-base '||n||chr(10)||chr(10)||'+head '||n||chr(10)||'@@ -'||b||' +'||b||' @@ tail'||chr(10)||'+'||b||chr(10) AS txt FROM texts)),
-numbered AS (SELECT *, sum(CASE WHEN line LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY analysis_id, file_path ORDER BY line_no) AS hunk_no FROM text_lines),
-hunks AS (SELECT analysis_id, file_path, hunk_no, TRY_CAST(regexp_extract(h, '^@@ -(\\d+)', 1) AS BIGINT) AS old_start,
+numbered AS MATERIALIZED (SELECT *, sum(CASE WHEN line LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY analysis_id, file_path ORDER BY line_no) AS hunk_no FROM text_lines),
+hunks AS MATERIALIZED (SELECT analysis_id, file_path, hunk_no, TRY_CAST(regexp_extract(h, '^@@ -(\\d+)', 1) AS BIGINT) AS old_start,
     TRY_CAST(regexp_extract(h, '\\+(\\d+)', 1) AS BIGINT) AS new_start, coalesce(TRY_CAST(regexp_extract(h, '^@@ -\\d+,(\\d+)', 1) AS BIGINT), 1) AS old_len,
-    coalesce(TRY_CAST(regexp_extract(h, '\\+\\d+,(\\d+)', 1) AS BIGINT), 1) AS new_len, lines
-  FROM (SELECT analysis_id, file_path, hunk_no, max(line) FILTER (line LIKE '@@%') AS h, string_agg(line, '|' ORDER BY line_no) FILTER (line <> '') AS lines
+    coalesce(TRY_CAST(regexp_extract(h, '\\+\\d+,(\\d+)', 1) AS BIGINT), 1) AS new_len, lines, block
+  FROM (SELECT analysis_id, file_path, hunk_no, max(line) FILTER (line LIKE '@@%') AS h, string_agg(line, '|' ORDER BY line_no) FILTER (line <> '') AS lines,
+    string_agg(line, chr(10) ORDER BY line_no) FILTER (line <> '') AS block
     FROM numbered GROUP BY 1, 2, 3))"""
 define("diff_hunks", """SELECT analysis_id, file_path, CAST(hunk_no AS BIGINT) AS hunk_no, old_start, old_start + old_len - 1 AS old_end, new_start,
   new_start + new_len - 1 AS new_end, lines FROM hunks""", LINES, HUNKS)
 
 
 METHOD_DIFF = """
-kept AS (SELECT c.root_id, c.analysis_id, c.function_key, n.line, row_number() OVER (PARTITION BY c.root_id ORDER BY n.line_no) AS rn
-  FROM changes c JOIN hunks h USING (analysis_id, file_path) JOIN numbered n ON n.analysis_id = h.analysis_id AND n.file_path = h.file_path AND n.hunk_no = h.hunk_no
-  WHERE n.line <> '' AND (h.hunk_no = 0 OR (old_start <= base_end AND base_start <= old_start + old_len - 1) OR (new_start <= head_end AND head_start <= new_start + new_len - 1))),
+kept AS MATERIALIZED (SELECT c.root_id, h.hunk_no, h.block FROM changes c JOIN hunks h USING (analysis_id, file_path)
+  WHERE (h.hunk_no = 0 OR (old_start <= base_end AND base_start <= old_start + old_len - 1) OR (new_start <= head_end AND head_start <= new_start + new_len - 1))),
 mdiff AS (SELECT c.analysis_id, c.function_key, c.root_id, coalesce(t.txt, '') AS source_diff FROM changes c LEFT JOIN
-  (SELECT root_id, string_agg(line, chr(10) ORDER BY rn) AS txt FROM kept GROUP BY 1) t USING (root_id))"""
+  (SELECT root_id, string_agg(block, chr(10) ORDER BY hunk_no) AS txt FROM kept GROUP BY 1) t USING (root_id))"""
 
 
 define("method_diffs", "SELECT analysis_id, function_key, source_diff FROM mdiff", LINES, CHANGES, HUNKS, METHOD_DIFF)
@@ -607,7 +607,46 @@ define("identity_upsert", f"""SELECT repo_id, {pk('l_partkey')} AS key, 'P'||l_p
 define("snapshot_publish_read", "SELECT repo_id, gv AS graph_version_id, function_key, body_hash, CAST(start_line AS BIGINT) AS start_line FROM fv_head", LINES, CHANGES)
 define("ingest_parse_responses", """SELECT gv||'|'||file_path AS graph_version_id, repo_id||'-base' AS sha, function_key, body_hash, CAST(end_line AS BIGINT) AS end_line, 'external_type' AS edge_reason,
   file_path||':'||start_line AS call_sites, 1 AS functions, 1 AS edges, 0 AS surfaces, CASE WHEN end_line > 50 THEN 1 ELSE 0 END AS parse_errors, 0.5::DOUBLE AS unresolved_rate,
-  CASE WHEN end_line > 50 THEN 'boom' END AS message FROM fv_base""", LINES, CHANGES)
+  CASE WHEN end_line > 50 THEN 'boom' END AS message FROM fv_base
+  UNION ALL SELECT gv||'|'||key, NULL, key, kind, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, attrs FROM surf_base""", LINES, CHANGES, SB)
+define("snapshot_as_of", """SELECT 0 AS step, gv AS graph_version_id, function_key, body_hash FROM fv_base UNION ALL SELECT 1, gv, function_key, body_hash FROM fv_head
+  UNION ALL SELECT 2, gv, function_key, body_hash FROM fv_head UNION ALL SELECT 3, gv, function_key, body_hash FROM fv_head WHERE CAST(repo_id[2:] AS INT) % 3 <> 0
+  UNION ALL SELECT 3, repo_id||':again', function_key, body_hash FROM fv_base WHERE CAST(repo_id[2:] AS INT) % 3 = 0""", LINES, CHANGES)
+#: Documents of the four runs with their version and whether they can be read, and the status of every version at the end.
+RUNS = """
+docs AS (SELECT *, l_partkey % 50 = 7 AS broken, CAST(repo_id[2:] AS INT) AS repo FROM (
+  SELECT gv, 'base' AS v, repo_id, l_partkey, file_path, function_key, body_hash, start_line, end_line FROM fv_base
+  UNION ALL SELECT gv, 'head', repo_id, l_partkey, file_path, function_key, body_hash, start_line, end_line FROM fv_head
+  UNION ALL SELECT repo_id||':again', 'again', repo_id, l_partkey, file_path, function_key, body_hash, start_line, end_line FROM fv_base WHERE CAST(repo_id[2:] AS INT) % 3 = 0
+  UNION ALL SELECT repo_id||':old', 'old', repo_id, l_partkey, file_path, function_key, body_hash, start_line, end_line FROM fv_base WHERE CAST(repo_id[2:] AS INT) % 5 = 0)),
+found AS (SELECT DISTINCT gv, v, repo_id, repo FROM docs WHERE NOT broken UNION SELECT DISTINCT gv, 'base', repo_id, CAST(repo_id[2:] AS INT) FROM surf_base
+  UNION SELECT DISTINCT gv, 'head', repo_id, CAST(repo_id[2:] AS INT) FROM surf_head),
+asked AS (SELECT 'r'||n_nationkey AS repo_id, n_nationkey AS repo, v, p, CASE v WHEN 'again' THEN 'head' ELSE v END AS sha FROM nation,
+  (VALUES ('base', 1), ('head', 3), ('lost', 4), ('again', 3), ('old', 2)) x(v, p)
+  WHERE (v <> 'lost' OR n_nationkey % 5 <> 0) AND (v <> 'again' OR n_nationkey % 3 = 0) AND (v <> 'old' OR n_nationkey % 5 = 0)),
+known AS (SELECT a.*, a.repo_id||':'||a.v AS gv, f.gv IS NOT NULL AS ok FROM asked a LEFT JOIN found f ON f.gv = a.repo_id||':'||a.v),
+side AS (SELECT repo_id, bool_or(v = 'head' AND ok) AS has_head, bool_or(v = 'again' AND ok) AS has_again, bool_or(v = 'old' AND ok) AS has_old FROM known GROUP BY 1),
+ended AS (SELECT k.gv, k.repo_id, k.repo_id||'-'||k.sha AS sha, k.v, k.p, CASE
+    WHEN v = 'lost' THEN CASE WHEN has_again OR has_old THEN 'deleted' ELSE 'failed' END
+    WHEN NOT ok THEN 'failed' WHEN v = 'head' AND has_again THEN 'replaced' WHEN v IN ('head', 'again', 'old') THEN 'ready'
+    WHEN v = 'base' AND NOT has_head AND NOT has_again AND NOT has_old THEN 'ready' WHEN v = 'base' AND k.repo % 2 = 0 THEN 'superseded' ELSE 'deleted' END AS status
+  FROM known k JOIN side USING (repo_id))"""
+CUR = """
+cur AS (SELECT gv FROM ended WHERE status = 'ready' AND v <> 'old')"""
+RUN_PARTS = (LINES, CHANGES, SB, surfaces("head"), RUNS, CUR)
+define("index_run", """SELECT 'function' AS what, gv AS graph_version_id, function_key AS key, body_hash AS value FROM docs JOIN cur USING (gv) WHERE NOT broken
+  UNION ALL SELECT 'edge', gv, function_key, 'unresolved external_type '||file_path||':'||start_line FROM docs JOIN cur USING (gv) WHERE NOT broken
+  UNION ALL SELECT 'surface', gv, key, kind FROM surf_head JOIN cur USING (gv)""", *RUN_PARTS)
+define("index_versions", """SELECT gv AS graph_version_id, repo_id, sha, status, CASE WHEN status = 'failed' THEN 'no readable document' END AS error, CAST(p AS BIGINT) AS position FROM ended""", *RUN_PARTS)
+define("index_stats", """SELECT gv AS graph_version_id, sum(f) AS functions, sum(f) AS edges, sum(s) AS surfaces, sum(f) AS external_calls, sum(e) AS parse_errors,
+  CASE WHEN sum(f) > 0 THEN 0.5::DOUBLE END AS unresolved_rate FROM (
+  SELECT gv, 1 AS f, 0 AS s, CASE WHEN end_line > 50 THEN 1 ELSE 0 END AS e FROM docs WHERE NOT broken
+  UNION ALL SELECT gv, 0, 1, 0 FROM surf_base UNION ALL SELECT gv, 0, 1, 0 FROM surf_head) GROUP BY 1""", *RUN_PARTS)
+define("edge_layouts", """SELECT side, gv AS graph_version_id, function_key AS src, 'unresolved:x#y' AS dst, 1 AS sites FROM docs JOIN cur USING (gv), (VALUES ('src'), ('dst')) x(side) WHERE NOT broken""", *RUN_PARTS)
+define("quarantined_documents", """SELECT gv||'|'||file_path AS request_id, CASE WHEN end_line > 50 THEN ',"message":"' ELSE ':1,"parseErr' END AS tail, 'not valid JSON' AS error FROM docs WHERE broken""", *RUN_PARTS)
+define("retention_applied", """SELECT x.name, gv AS graph_version_id, count(*) AS n FROM (
+  SELECT 'function_versions' AS name, gv FROM docs WHERE NOT broken UNION ALL SELECT unnest(['edges', 'edges_by_dst']), gv FROM docs WHERE NOT broken
+  UNION ALL SELECT 'surfaces', gv FROM surf_base UNION ALL SELECT 'surfaces', gv FROM surf_head) x JOIN ended USING (gv) WHERE status IN ('ready', 'superseded') GROUP BY 1, 2""", *RUN_PARTS)
 FILES = r"""
 pf0 AS (SELECT 'r'||(page_id % 5) AS repo_id, 'head' AS sha, CASE page_id % 4 WHEN 0 THEN 'src/main/java' WHEN 1 THEN 'src/test/java' WHEN 2 THEN 'target/gen/src/main/java' ELSE 'mod/src/main/java' END AS root,
   page_id % 4 IN (0, 3) AS extraction, page_id % 6 <> 5 OR url LIKE '%.java' AS is_java,

@@ -695,41 +695,168 @@ def identity_upsert(spark, d):
         F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"))
 
 
+def version_ids(spark, d, version, sha=None, gv=None, position=None):
+    """One version of every repository."""
+    name = lambda suffix: F.concat("repo_id", F.lit(suffix))
+    return wh.analyses(spark, d).select(name(f":{gv or version}").alias("graph_version_id"), "repo_id", name(f"-{sha or version}").alias("sha"),
+                                        F.lit("branch").alias("kind"), F.lit(position).cast("long").alias("position"))
+
+
+def new_store(spark):
+    return store.Store(spark, f"{scratch_root(spark)}/ripple_store_{uuid.uuid4().hex}")
+
+
 @query
 def snapshot_publish_read(spark, d):
     """Write base and head snapshots, publish base for all and head for its repositories, read the current rows back."""
-    fl, st = fleet(spark, d), store.Store(spark, f"{scratch_root(spark)}/ripple_store_{uuid.uuid4().hex}")
-    for seq, version in enumerate(("base", "head")):
-        rows = fl.function_versions(version)
-        st.write_snapshot("function_versions", rows)
-        ids = wh.analyses(spark, d).select(F.col(f"{version}_gv").alias("graph_version_id"), "repo_id", F.concat("repo_id", F.lit("-" + version)).alias("sha"),
-                                           F.lit("branch").alias("kind"))
-        st.publish(ids, seq)
+    fl, st = fleet(spark, d), new_store(spark)
+    for version in ("base", "head"):
+        st.publish(version_ids(spark, d, version), [st.write_snapshot("function_versions", fl.function_versions(version))])
     return st.read_current("function_versions").select("repo_id", "graph_version_id", "function_key", "body_hash", *big("start_line"))
 
 
+def third(n=3):
+    """Repositories whose number is divisible by ``n``."""
+    return F.substring("repo_id", 2, 9).cast("int") % n == 0
+
+
 @query
-def ingest_parse_responses(spark, d):
-    """Extractor documents written from the function table, one per repository file, and read back as snapshot rows."""
-    fl, out = fleet(spark, d), f"{scratch_root(spark)}/ripple_wire_{uuid.uuid4().hex}"
-    f = fl.function_versions("base")
+def snapshot_as_of(spark, d):
+    """Base, then head, then a late backfill of an older commit and a new attempt at the head of every third repository: the state after each commit."""
+    fl, st = fleet(spark, d), new_store(spark)
+    base, head = cut(fl.function_versions("base"), "base"), cut(fl.function_versions("head"), "head")
+    named = lambda rows, gv: rows.withColumn("graph_version_id", F.concat("repo_id", F.lit(f":{gv}")))
+    steps = [
+        (version_ids(spark, d, "base", position=1), base), (version_ids(spark, d, "head", position=3), head),
+        (version_ids(spark, d, "base", "old", "old", 2), named(base, "old")),
+        (version_ids(spark, d, "head", "head", "again", 3).filter(third()), named(base.filter(third()), "again"))]
+    commits = [st.publish(ids, [st.write_snapshot("function_versions", rows)]) for ids, rows in steps]
+    seen = [st.read_current("function_versions", n).select(F.lit(i).alias("step"), "graph_version_id", "function_key", "body_hash") for i, n in enumerate(commits)]
+    return reduce(DataFrame.unionByName, seen)
+
+
+def response_documents(functions, surfaces, broken):
+    """Extractor documents as JSON text, one per function and one per surface; those that ``broken`` marks are cut short."""
     one = F.array(F.struct(
         F.col("function_key").alias("key"), F.col("file_path").alias("filePath"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"),
         F.col("body_hash").alias("bodyHash"), F.col("return_type").alias("returnType"), F.col("param_names").alias("paramNames"), "modifiers"))
     edge = F.array(F.struct(F.col("function_key").alias("from"), F.lit("unresolved:x#y").alias("to"), F.lit("unresolved").alias("type"),
                             F.lit(False).alias("inferred"), F.lit("ambiguous").alias("confidence"), F.lit("external_type").alias("reason"),
                             F.array(F.struct(F.col("file_path").alias("filePath"), F.col("start_line").alias("line"))).alias("callSites")))
-    diag = F.struct(F.lit(0.5).alias("unresolvedRate"), F.lit(0.0).alias("nonExternalUnresolvedRate"), F.lit(1).alias("externalCalls"), F.when(
-        F.col("end_line") > 50, F.array(F.struct(F.col("file_path").alias("filePath"), F.lit("boom").alias("message")))).otherwise(
-            F.array().cast("array<struct<filePath:string,message:string>>")).alias("parseErrors"))
-    f.select(F.concat_ws("|", "graph_version_id", "file_path").alias("requestId"), "sha", F.lit("full").alias("mode"), one.alias("functions"),
-             edge.alias("edges"), F.array().cast("array<string>").alias("sourceRoots"), diag.alias("diagnostics")).write.json(out)
-    r = wire.read_parse_responses(spark, out, multi_line=False)
+    errors = F.when(F.col("end_line") > 50, F.array(F.struct(F.col("file_path").alias("filePath"), F.lit("boom").alias("message")))).otherwise(
+        F.array().cast("array<struct<filePath:string,message:string>>"))
+    diag = F.struct(F.lit(0.5).alias("unresolvedRate"), F.lit(0.0).alias("nonExternalUnresolvedRate"), F.lit(1).alias("externalCalls"), errors.alias("parseErrors"))
+    docs = functions.select(F.to_json(F.struct(
+        F.concat_ws("|", "graph_version_id", "file_path").alias("requestId"), "sha", F.lit("full").alias("mode"), one.alias("functions"), edge.alias("edges"),
+        F.array().cast("array<string>").alias("sourceRoots"), diag.alias("diagnostics"))).alias("text"), broken.alias("broken"))
+    docs = docs.select(F.when(F.col("broken"), F.expr("substring(text, 1, length(text) - 9)")).otherwise(F.col("text")).alias("value"))
+    if surfaces is None:
+        return docs
+    item = F.array(F.struct("key", "kind", "attrs"))
+    return docs.unionByName(surfaces.select(F.to_json(F.struct(
+        F.concat_ws("|", "graph_version_id", "key").alias("requestId"), F.lit("full").alias("mode"), item.alias("surfaces"))).alias("value")))
+
+
+def read_documents(spark, docs):
+    """Write documents as text and read them back, each with the version that its request was for."""
+    path = f"{scratch_root(spark)}/ripple_wire_{uuid.uuid4().hex}"
+    docs.write.text(path)
+    return wire.read_parse_responses(spark, path, multi_line=False).withColumn("graph_version_id", F.split("requestId", "[|]")[0])
+
+
+@query
+def ingest_parse_responses(spark, d):
+    """Extractor documents written from the function and surface tables, one each, and read back as snapshot rows."""
+    fl = fleet(spark, d)
+    r = wire.accepted(read_documents(spark, response_documents(fl.function_versions("base"), fl.surfaces("base"), F.lit(False)))).drop("graph_version_id")
     fv = wire.function_versions_of(r).select("graph_version_id", "sha", "function_key", "body_hash", *big("end_line"))
     e = wire.edges_of(r).select(F.col("graph_version_id"), F.col("reason").alias("edge_reason"), sites_text("call_sites").alias("call_sites"))
     s = wire.snapshot_stats(r).select("graph_version_id", *big("functions", "edges", "surfaces", "parse_errors"), "unresolved_rate")
     p = wire.parse_errors_of(r).select("graph_version_id", "message")
-    return fv.join(e, "graph_version_id").join(s, "graph_version_id").join(p, "graph_version_id")
+    rows = fv.join(e, "graph_version_id").join(s, "graph_version_id").join(p, "graph_version_id")
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
+    return rows.unionByName(wire.surfaces_of(r).select("graph_version_id", F.col("key").alias("function_key"), F.col("kind").alias("body_hash"), attrs.alias("message")), True)
+
+
+def broken_document():
+    return F.regexp_extract("file_path", "P([0-9]+)[.]java", 1).cast("long") % 50 == 7
+
+
+@shared
+def indexed(spark, d):
+    """Four index runs over one store: base, head (with one version that cannot be read), a new attempt at some heads, a late backfill.
+
+    Every second base is pinned by its analysis. Returns the store, the stats of all runs and the quarantined documents.
+    """
+    fl, st = fleet(spark, d), new_store(spark)
+    base, head = cut(fl.function_versions("base"), "base"), cut(fl.function_versions("head"), "head")
+    renamed = lambda rows, gv: rows.withColumn("graph_version_id", F.concat("repo_id", F.lit(f":{gv}")))
+    ids = lambda *a, **k: version_ids(spark, d, *a, **k)
+    again, old = base.filter(third()), base.filter(third(5))
+    pins = store.current_pins(store.pin_rows(wh.analyses(spark, d).filter(third(2)), 1))
+    runs = [
+        (response_documents(base, fl.surfaces("base"), broken_document()), ids("base", position=1)),
+        (response_documents(head, fl.surfaces("head"), broken_document()), ids("head", position=3).unionByName(ids("lost", position=4).filter(~third(5)))),
+        (response_documents(renamed(again, "again"), None, broken_document()), ids("head", "head", "again", 3).filter(third())),
+        (response_documents(renamed(old, "old"), None, broken_document()), ids("base", "old", "old", 2).filter(third(5)))]
+    stats, rejected = [], []
+    for docs, versions in runs:
+        r = read_documents(spark, docs)
+        stats.append(index.run_index(st, r, versions, pins))
+        rejected.append(wire.quarantined(r))
+    return st, reduce(DataFrame.unionByName, stats), reduce(DataFrame.unionByName, rejected)
+
+
+def _told(rows, what, gv, key, value):
+    return rows.select(F.lit(what).alias("what"), F.col(gv).alias("graph_version_id"), key.alias("key"), value.cast("string").alias("value"))
+
+
+@query
+def index_run(spark, d):
+    """Documents to the published graph: what readers of the current versions see after all runs."""
+    st, _, _ = indexed(spark, d)
+    return reduce(DataFrame.unionByName, [
+        _told(st.read_current("function_versions"), "function", "graph_version_id", F.col("function_key"), F.col("body_hash")),
+        _told(st.read_current("edges"), "edge", "graph_version_id", F.col("src"), F.concat_ws(" ", "type", "reason", sites_text("call_sites"))),
+        _told(st.read_current("surfaces"), "surface", "graph_version_id", F.col("key"), F.col("kind"))])
+
+
+@query
+def index_versions(spark, d):
+    """Status of every version after all runs: ready, superseded, deleted, replaced or failed, with the error of those that failed."""
+    st, _, _ = indexed(spark, d)
+    return st.versions().select("graph_version_id", "repo_id", "sha", "status", "error", "position")
+
+
+@query
+def index_stats(spark, d):
+    """Counts of every version that was published, over all its documents."""
+    _, stats, _ = indexed(spark, d)
+    return stats.select("graph_version_id", *big("functions", "edges", "surfaces", "external_calls", "parse_errors"), F.round("unresolved_rate", 6).alias("unresolved_rate"))
+
+
+@query
+def edge_layouts(spark, d):
+    """The current edges from both stored copies: laid out by source and by target."""
+    st, _, _ = indexed(spark, d)
+    sides = [st.read_current(t).select(F.lit(s).alias("side"), "graph_version_id", "src", "dst", F.size("call_sites").alias("sites")) for s, t in (("src", "edges"), ("dst", "edges_by_dst"))]
+    return sides[0].unionByName(sides[1])
+
+
+@query
+def quarantined_documents(spark, d):
+    """The documents that could not be read, by what is left of their request id."""
+    _, _, rejected = indexed(spark, d)
+    return rejected.select(F.regexp_extract("raw", '"requestId":"([^"]*)"', 1).alias("request_id"), F.right("raw", F.lit(12)).alias("tail"), "error")
+
+
+@query
+def retention_applied(spark, d):
+    """Versions left after retention and the rows that their folders still hold; folders of the others are gone, none was written anew."""
+    st, _, _ = indexed(spark, d)
+    st.vacuum()
+    parts = [st.read(t).groupBy("graph_version_id").agg(F.count("*").alias("n")).withColumn("name", F.lit(t)) for t in st.SNAPSHOT_TABLES]
+    return reduce(DataFrame.unionByName, parts).select("name", "graph_version_id", "n")
 
 
 def page_files(spark, d):

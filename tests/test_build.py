@@ -20,46 +20,46 @@ def method(fqcn, name, line, params=(), ann=(), iface=False, ctor=False, root=RO
 def graph(spark):
     long = [("Long", "java.lang.Long")]
     rows = [
-        method("a.Strategy", "run", 1, iface=True), method("a.PrimaryImpl", "run", 1), method("a.SecondImpl", "run", 1),
-        method("a.Handler", "go", 1, iface=True), method("a.H1", "go", 1), method("a.H2", "go", 1), method("a.Lone", "one", 1, iface=True), method("a.LoneImpl", "one", 1),
+        method("a.Carrier", "run", 1, iface=True), method("a.RoadCarrier", "run", 1), method("a.SeaCarrier", "run", 1),
+        method("a.Dock", "go", 1, iface=True), method("a.H1", "go", 1), method("a.H2", "go", 1), method("a.Lone", "one", 1, iface=True), method("a.LoneImpl", "one", 1),
         method("a.Caller", "call", 1, end=30), method("a.Caller", "lambda", 5, end=9, col=9), method("a.Caller", "<init>", 40, ctor=True),
-        method("a.Api", "thing", 1, long, [("GetMapping", {"value": "/things/{id}"})], iface=True, root="target/generated-sources/src/main/java/"),
-        method("a.ThingController", "thing", 1, long), method("a.ThingController", "list", 10, ann=[("GetMapping", {"path": "list/"})]),
-        method("a.ThingController", "both", 20, ann=[("RequestMapping", {"value": "Api.PATH_BOTH", "method": "{RequestMethod.PUT, X}"})]),
-        method("a.ThingController", "odd", 30, ann=[("PostMapping", {"value": "BASE + \"/x\""})]),
+        method("a.Api", "parcel", 1, long, [("GetMapping", {"value": "/parcels/{no}"})], iface=True, root="target/generated-sources/src/main/java/"),
+        method("a.ParcelDesk", "parcel", 1, long), method("a.ParcelDesk", "all", 10, ann=[("GetMapping", {"path": "all/"})]),
+        method("a.ParcelDesk", "both", 20, ann=[("RequestMapping", {"value": "Api.SHARED", "method": "{RequestMethod.PUT, X}"})]),
+        method("a.ParcelDesk", "odd", 30, ann=[("PostMapping", {"value": "BASE + \"/x\""})]),
         method("a.Api", "both", 20, ann=[("GetMapping", {"value": "/never"})], iface=True, root="target/generated-sources/src/main/java/"),
         method("a.Jobs", "tick", 1, ann=[("Scheduled", {"cron": "0 * * * * *"})], end=1), method("a.Jobs", "tock", 1, ann=[("Scheduled", {})], end=1, col=60),
         method("a.OnlyIface", "never", 1, ann=[("Scheduled", {})], iface=True),
-        method("a.Jobs", "on", 20, ann=[("KafkaListener", {"topics": '{"orders.created","orders.updated"}'}), ("EventListener", {})]),
+        method("a.Jobs", "on", 20, ann=[("KafkaListener", {"topics": '{"parcels.in","parcels.out"}'}), ("EventListener", {})]),
         method("a.DomainRepo", "findAll", 1, iface=True), method("a.DomainRepo", "custom", 10, ann=[("Query", {"value": "q"})], iface=True),
         method("a.Over", "f", 1, long), method("a.Over", "f", 10, [("Integer", "java.lang.Integer")]), method("a.Over", "g", 20, [("List<String>", None)]),
     ]
     callables = spark.createDataFrame(rows, CALLABLE)
     t = lambda n, iface=False, ann=(), root=ROOT: ("g", f"a.{n}", n, iface, f"{root}{n}.java", [(a, v) for a, v in ann])
     types = spark.createDataFrame([
-        t("Strategy", True), t("PrimaryImpl", ann=[("Primary", {})]), t("SecondImpl"), t("Handler", True), t("H1"), t("H2"), t("Lone", True), t("LoneImpl"), t("Caller"), t("Jobs"), t("Over"),
-        t("Api", True, root="target/generated-sources/src/main/java/"), t("ThingController", ann=[("RequestMapping", {"value": "/api/"})]), t("OnlyIface", True), t("DomainRepo", True),
-        t("MarkerRepo", True), t("FakeRepo", True), t("Widget", ann=[("Table", {"name": "widgets"})])],
+        t("Carrier", True), t("RoadCarrier", ann=[("Primary", {})]), t("SeaCarrier"), t("Dock", True), t("H1"), t("H2"), t("Lone", True), t("LoneImpl"), t("Caller"), t("Jobs"), t("Over"),
+        t("Api", True, root="target/generated-sources/src/main/java/"), t("ParcelDesk", ann=[("RequestMapping", {"value": "/depot/"})]), t("OnlyIface", True), t("DomainRepo", True),
+        t("MarkerRepo", True), t("FakeRepo", True), t("Crate", ann=[("Table", {"name": "crates"})])],
         "gv string, fqcn string, simple_name string, is_interface boolean, file_path string, annotations array<struct<name:string,values:map<string,string>>>")
     up = spark.createDataFrame([("g", f"a.{x}", f"a.{y}") for x, y in [
-        ("PrimaryImpl", "Strategy"), ("SecondImpl", "Strategy"), ("H1", "Handler"), ("H2", "Handler"), ("LoneImpl", "Lone"), ("ThingController", "Api"), ("MarkerRepo", "DomainRepo"),
+        ("RoadCarrier", "Carrier"), ("SeaCarrier", "Carrier"), ("H1", "Dock"), ("H2", "Dock"), ("LoneImpl", "Lone"), ("ParcelDesk", "Api"), ("MarkerRepo", "DomainRepo"),
         ("MarkerRepo", "Unknown")]], "gv string, fqcn string, supertype_fqcn string")
     imports = spark.createDataFrame([("g", ROOT + "Over.java", "java.util.List", False, False, 1), ("g", ROOT + "Over.java", "x.*", True, False, 0)],
                                     "gv string, file_path string, imported_name string, is_asterisk boolean, is_static boolean, ordinal int")
-    consts = spark.createDataFrame([("g", "a.ThingController", "PATH_BOTH", "/both")], "gv string, fqcn string, field_name string, literal string")
+    consts = spark.createDataFrame([("g", "a.ParcelDesk", "SHARED", "/both")], "gv string, fqcn string, field_name string, literal string")
     site = lambda line, col, kind, bound, target, scope, name, arity, fail="UnsolvedSymbolException": (
         "g", ROOT + "Caller.java", line, col, kind, bound, f"{ROOT}{target[0]}.java" if target else None, target[1] if target else None, 5 if target else None, None, scope, name, arity, fail)
     sites = spark.createDataFrame([
-        site(2, 9, "method", True, ("Strategy", 1), "a.Strategy", "run", 0), site(3, 9, "method", True, ("Strategy", 1), "a.Strategy", "run", 0),
-        site(4, 9, "method", True, ("Handler", 1), "a.Handler", "go", 0), site(6, 12, "method", True, ("Lone", 1), "a.Lone", "one", 0),
+        site(2, 9, "method", True, ("Carrier", 1), "a.Carrier", "run", 0), site(3, 9, "method", True, ("Carrier", 1), "a.Carrier", "run", 0),
+        site(4, 9, "method", True, ("Dock", 1), "a.Dock", "go", 0), site(6, 12, "method", True, ("Lone", 1), "a.Lone", "one", 0),
         site(10, 1, "method", True, None, "java.util.List", "add", 1), site(11, 1, "method", False, None, "a.Over", "f", 1, "MethodAmbiguityException"),
         site(12, 1, "method", False, None, "a.Over", "g", 1), site(13, 1, "method", False, None, "org.Third", "x", 0), site(14, 1, "constructor", False, None, "Third", "Third", 0),
         site(15, 1, "method", False, None, None, "bare", 0)],
         "gv string, file_path string, line int, col int, target_kind string, is_bound boolean, resolved_file string, resolved_line int, resolved_col int, recomputed_key string, "
         "scope_type string, name string, arity int, failure_class string")
     tp = lambda fq, ext, imp, arg: ("g", f"a.{fq}", f"{ROOT}{fq}.java", ext, imp, arg, 0)
-    params = spark.createDataFrame([tp("MarkerRepo", "JpaRepository", "org.springframework.data.jpa.repository.JpaRepository", "a.Widget"),
-                                    tp("MarkerRepo", "CrudRepository", "org.springframework.data.repository.CrudRepository", "a.Widget"),
+    params = spark.createDataFrame([tp("MarkerRepo", "JpaRepository", "org.springframework.data.jpa.repository.JpaRepository", "a.Crate"),
+                                    tp("MarkerRepo", "CrudRepository", "org.springframework.data.repository.CrudRepository", "a.Crate"),
                                     tp("FakeRepo", "Repository", "com.other.Repository", "a.OrderLine"), tp("DomainRepo", "Repository", None, "a.OrderLine")],
                                    "gv string, fqcn string, file_path string, extended_simple_name string, imported_from string, first_type_arg string, ordinal int")
     return index.build_graph({"callables": callables, "types": types, "supertypes": up, "imports": imports, "constants": consts, "call_sites": sites, "type_params": params})
@@ -69,8 +69,8 @@ def test_edges(graph):
     rows = {(r.src, r.dst, r.type): r for r in graph.edges.collect()}
     pick = lambda s, d, t="calls": rows.get((s, d, t)) and (rows[s, d, t].inferred, rows[s, d, t].confidence, len(rows[s, d, t].call_sites))
     call, lam = "fn:a.Caller#call()", "fn:a.Caller#lambda()"
-    assert pick(call, "fn:a.Strategy#run()") == (False, "exact", 2)
-    assert pick(call, "fn:a.PrimaryImpl#run()") == (True, "single_impl", 2) and pick(call, "fn:a.SecondImpl#run()") is None
+    assert pick(call, "fn:a.Carrier#run()") == (False, "exact", 2)
+    assert pick(call, "fn:a.RoadCarrier#run()") == (True, "single_impl", 2) and pick(call, "fn:a.SeaCarrier#run()") is None
     assert pick(call, "fn:a.H1#go()") == pick(call, "fn:a.H2#go()") == (True, "ambiguous", 1)
     assert pick(lam, "fn:a.Lone#one()") == (False, "exact", 1) and pick(lam, "fn:a.LoneImpl#one()") == (True, "single_impl", 1)
     assert pick(call, "fn:a.Over#g(java.util.List)") == (False, "single_impl", 1)
@@ -78,10 +78,10 @@ def test_edges(graph):
     assert lost == {"unresolved:a.Over#f": ("ambiguous", "ambiguous_overload"), "unresolved:org.Third#x": ("ambiguous", "external_type"),
                     "unresolved:Third#<init>": ("ambiguous", "external_type"), "unresolved:#bare": ("ambiguous", "external_type")}
     assert {(s, d) for s, d, t in rows if t == "implements"} == {(f"fn:a.{a}#{m}()", f"fn:a.{b}#{m}()") for a, b, m in [
-        ("PrimaryImpl", "Strategy", "run"), ("SecondImpl", "Strategy", "run"), ("H1", "Handler", "go"), ("H2", "Handler", "go"), ("LoneImpl", "Lone", "one")]}
+        ("RoadCarrier", "Carrier", "run"), ("SeaCarrier", "Carrier", "run"), ("H1", "Dock", "go"), ("H2", "Dock", "go"), ("LoneImpl", "Lone", "one")]}
     assert {(s, d, r.confidence) for (s, d, t), r in rows.items() if t == "queries"} == {
-        ("fn:a.DomainRepo#findAll()", "entity:a.Widget", "exact"), ("fn:a.DomainRepo#custom()", "entity:a.Widget", "regex")}
-    assert pick("entity:a.Widget", "table:widgets", "maps_to") == (True, "exact", 1)
+        ("fn:a.DomainRepo#findAll()", "entity:a.Crate", "exact"), ("fn:a.DomainRepo#custom()", "entity:a.Crate", "regex")}
+    assert pick("entity:a.Crate", "table:crates", "maps_to") == (True, "exact", 1)
 
 
 def test_candidates(graph):
@@ -93,18 +93,18 @@ def test_candidates(graph):
 def test_entry_points(graph):
     # A written path without a leading slash is no proven literal, so its route is ambiguous.
     assert {(r.key, r.function_key, r.confidence, r.inherited) for r in graph.routes.collect()} == {
-        ('route:POST /api/BASE + "/x"', "fn:a.ThingController#odd()", "ambiguous", False), ("route:GET /api/list", "fn:a.ThingController#list()", "ambiguous", False),
-        ("route:GET /api/things/{id}", "fn:a.ThingController#thing(java.lang.Long)", "exact", True), ("route:PUT /api/both", "fn:a.ThingController#both()", "exact", False)}
+        ('route:POST /depot/BASE + "/x"', "fn:a.ParcelDesk#odd()", "ambiguous", False), ("route:GET /depot/all", "fn:a.ParcelDesk#all()", "ambiguous", False),
+        ("route:GET /depot/parcels/{no}", "fn:a.ParcelDesk#parcel(java.lang.Long)", "exact", True), ("route:PUT /depot/both", "fn:a.ParcelDesk#both()", "exact", False)}
     assert rowset(graph.jobs, "key") == [("job:a.Jobs#tick()",), ("job:a.Jobs#tock()",)]
-    assert rowset(graph.listeners, "key") == [("listener:event:a.Jobs#on()",), ("listener:kafka:orders.created",)]
-    assert sorted(r.key for r in graph.surfaces.collect() if r.kind in ("entity", "table")) == ["entity:a.Widget", "table:widgets"]
+    assert rowset(graph.listeners, "key") == [("listener:event:a.Jobs#on()",), ("listener:kafka:parcels.in",)]
+    assert sorted(r.key for r in graph.surfaces.collect() if r.kind in ("entity", "table")) == ["entity:a.Crate", "table:crates"]
 
 
 def test_functions_and_selectors(graph):
     f = {r.function_key: r for r in graph.all_functions.collect()}
     assert f["fn:a.Over#g(java.util.List)"].unresolved_params == 1 and f["fn:a.Caller#<init>()"].return_type == "void"
-    assert f["fn:a.Strategy#run()"].is_abstract and not f["fn:a.H1#go()"].is_abstract
-    assert rowset(graph.selectors, "function_key", "is_primary") == [("fn:a.PrimaryImpl#run()", True)]
+    assert f["fn:a.Carrier#run()"].is_abstract and not f["fn:a.H1#go()"].is_abstract
+    assert rowset(graph.selectors, "function_key", "is_primary") == [("fn:a.RoadCarrier#run()", True)]
 
 
 def test_anonymous_numbers_span_pieces(spark):

@@ -10,21 +10,21 @@ def ev(spark, values, *cols, schema="x string"):
 
 def test_kinds_and_parse(spark):
     x = F.col("x")
-    got = ev(spark, ["fn:a.b.C#m(int,java.lang.String[])", "listener:kafka:orders.created", "http://x", ":fn", "fn:C#m(,)", "fn:C#m", "fn:#m()", "fn:C#m()", None],
+    got = ev(spark, ["fn:a.b.C#m(int,java.lang.String[])", "listener:kafka:parcels.in", "http://x", ":fn", "fn:C#m(,)", "fn:C#m", "fn:#m()", "fn:C#m()", None],
              keys.node_kind(x), keys.is_function_key(x), keys.parse_function_key(x)["class_name"], keys.display_name(x))
-    assert got == [("fn", True, "C", "C.m(int, String[])"), ("listener", False, None, "listener:kafka:orders.created"), (None, False, None, "http://x"),
+    assert got == [("fn", True, "C", "C.m(int, String[])"), ("listener", False, None, "listener:kafka:parcels.in"), (None, False, None, "http://x"),
                    (None, False, None, ":fn"), ("fn", True, None, "fn:C#m(,)"), ("fn", True, None, "fn:C#m"), ("fn", True, None, "fn:#m()"),
                    ("fn", True, "C", "C.m()"), (None, False, None, None)]
 
 
 def test_paths(spark):
-    got = ev(spark, [("/api/", "/list"), ("/api", "list"), ("", ""), (None, "a//b/")], text.join_paths("x", "y"), schema="x string, y string")
-    assert [g[0] for g in got] == ["/api/list", "/api/list", "/", "/a/b"]
+    got = ev(spark, [("/depot/", "/all"), ("/depot", "all"), ("", ""), (None, "a//b/")], text.join_paths("x", "y"), schema="x string, y string")
+    assert [g[0] for g in got] == ["/depot/all", "/depot/all", "/", "/a/b"]
 
 
 def test_elements_and_names(spark):
     x = F.col("x")
-    assert [g[0] for g in ev(spark, ['{"orders.created", "b"}', "plain", "{A.B}"], text.first_element(x))] == ["orders.created", "plain", "A.B"]
+    assert [g[0] for g in ev(spark, ['{"parcels.in", "b"}', "plain", "{A.B}"], text.first_element(x))] == ["parcels.in", "plain", "A.B"]
     assert [g[0] for g in ev(spark, ["HTMLPage", "OrderLine", "x"], text.camel_to_underscores(x))] == ["h_t_m_l_page", "order_line", "x"]
     assert [g[0] for g in ev(spark, ["Map<String, List<Integer>>[]", "T...", "? extends Foo", "Outer<A>.Inner<B>"], text.erase_type_text(x))] == [
         "Map[]", "T[]", "java.lang.Object", "Outer.Inner"]
