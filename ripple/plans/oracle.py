@@ -439,21 +439,28 @@ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, bas
 DEL = deliveries()
 DEDUPED = """SELECT id, event, CASE WHEN event = 'ping' THEN 'ignored' ELSE event END AS route, strftime(ts, '%Y-%m-%d %H:%M:%S') AS received_at FROM dd"""
 define("dedupe_deliveries", DEDUPED, DEL)
-define("stream_dedupe", DEDUPED, DEL)
+define("stream_dedupe", DEDUPED.replace("AS received_at", "AS received_at, true AS processed"), DEL)
 define("units", """SELECT 'index:'||repo||':'||head AS unit_id, repo AS repo_id, 'index' AS "trigger", NULL::BIGINT AS pr_number, NULL AS base_sha, head AS head_sha, id AS delivery_id FROM pushes
   UNION ALL SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id FROM units""", DEL)
-define("stream_units", "SELECT DISTINCT repo_id, base_sha, head_sha FROM units", DEL)
+define("stream_units", """SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_received FROM firsts""", DEL)
 define("supersede", """SELECT unit_id, repo_id, "trigger", pr_number, base_sha, head_sha, delivery_id,
   EXISTS (SELECT 1 FROM firsts o WHERE o.repo_id = f.repo_id AND o."trigger" = f."trigger" AND o.pr_number IS NOT DISTINCT FROM f.pr_number
     AND (o.last_ts, o.base_sha, o.head_sha) > (f.last_ts, f.base_sha, f.head_sha)) AS superseded FROM firsts f""", DEL)
+VLOG = f"""
+vlog AS (SELECT user_id % 20 AS repo_id, {sha("'b'||(user_id % 20)||'-'||(event_id // 50)")} AS sha, ts + to_minutes(event_id % 15) AS seen,
+  CASE WHEN value < 10 THEN 'building' WHEN value < 14 THEN 'failed' WHEN value < 16 THEN 'superseded' ELSE 'ready' END AS status FROM events),
+logs AS (SELECT repo_id, sha, min(seen) FILTER (status IN ('ready','superseded')) AS usable, arg_max(status, struct_pack(a := seen, s := status)) AS last_status FROM vlog GROUP BY 1, 2)"""
 define("await_base_graph", f"""SELECT unit_id, f.repo_id, f.base_sha, head_sha, outcome, outcome = 'wait' AND coalesce(last_status = 'failed', true) AS request_index,
   CASE WHEN outcome = 'failed' THEN 'base commit '||f.base_sha||' was never indexed' END AS error FROM (
     SELECT f.*, l.last_status, CASE WHEN l.usable <= f.ts + to_minutes(10) AND l.usable <= TIMESTAMP '2024-01-30 23:20:00' THEN 'use'
       WHEN TIMESTAMP '2024-01-30 23:20:00' >= f.ts + to_minutes(10) THEN 'failed' ELSE 'wait' END AS outcome
-    FROM firsts f LEFT JOIN logs l ON l.repo_id = f.repo_id AND l.sha = f.base_sha) f""", DEL, f"""
-vlog AS (SELECT user_id % 20 AS repo_id, {sha("'b'||(user_id % 20)||'-'||(event_id // 50)")} AS sha, ts + to_minutes(event_id % 15) AS seen,
-  CASE WHEN value < 10 THEN 'building' WHEN value < 14 THEN 'failed' WHEN value < 16 THEN 'superseded' ELSE 'ready' END AS status FROM events),
-logs AS (SELECT repo_id, sha, min(seen) FILTER (status IN ('ready','superseded')) AS usable, arg_max(status, struct_pack(a := seen, s := status)) AS last_status FROM vlog GROUP BY 1, 2)""")
+    FROM firsts f LEFT JOIN logs l ON l.repo_id = f.repo_id AND l.sha = f.base_sha) f""", DEL, VLOG)
+define("stream_supersede", """SELECT unit_id, repo_id, base_sha, head_sha, EXISTS (SELECT 1 FROM firsts o WHERE o.repo_id = f.repo_id AND o."trigger" = f."trigger" AND o.pr_number IS NOT DISTINCT FROM f.pr_number
+    AND (o.last_ts, o.base_sha, o.head_sha) > (f.last_ts, f.base_sha, f.head_sha)) AS superseded FROM firsts f""", DEL)
+define("stream_await_base", """SELECT unit_id, repo_id, base_sha, head_sha, outcome FROM (
+  SELECT f.*, CASE WHEN l.usable <= f.ts + to_minutes(10) THEN 'use' WHEN f.ts + to_minutes(10) <= (
+      SELECT date_trunc('milliseconds', least((SELECT max(ts) FROM firsts), (SELECT max(seen) FROM vlog WHERE status IN ('ready', 'superseded')))) - to_minutes(30)) THEN 'failed' END AS outcome
+  FROM firsts f LEFT JOIN logs l ON l.repo_id = f.repo_id AND l.sha = f.base_sha) WHERE outcome IS NOT NULL""", DEL, VLOG)
 INST = """
 inst AS (SELECT u % 40 AS github_installation_id, arg_max('l'||(n % 6), struct_pack(t := ts, i := id)) AS login, arg_max(CASE WHEN n % 2 = 0 THEN 'all' ELSE 'selected' END, struct_pack(t := ts, i := id)) AS sel,
   min(ts) AS created FROM ddd WHERE event = 'installation' GROUP BY 1)"""

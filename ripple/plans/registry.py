@@ -12,7 +12,7 @@ from ripple.plans import analyze, index
 from ripple.schema import DEPTH_CAP, REVERSE_TYPES
 from ripple.session import cut, scratch_root, spread
 from ripple.sources import code_facts as cf, event_feed as feed, files as src, store, warehouse as wh, wire
-from ripple.streaming import events as ev
+from ripple.streaming import events as ev, state
 
 QUERIES = {}
 
@@ -970,7 +970,7 @@ def stream_dedupe(spark, d):
     events = spark.readStream.schema(wh.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ev.run_available(ev.dedupe_stream(feed.to_deliveries(events)), f"{out}/rows", f"{out}/checkpoint",
                      lambda b: ev.mark_processed(ev.route_events(b)))
-    return spark.read.parquet(f"{out}/rows").select("id", "event", "route", clock("received_at").alias("received_at"))
+    return spark.read.parquet(f"{out}/rows").select("id", "event", "route", clock("received_at").alias("received_at"), F.col("processed_at").isNotNull().alias("processed"))
 
 
 @query
@@ -994,16 +994,59 @@ def await_base_graph(spark, d):
     return ev.await_base_graph(u, feed.version_log(spark, d), now).select("unit_id", "repo_id", "base_sha", "head_sha", "outcome", "request_index", "error")
 
 
+def event_files(spark, d, n=4):
+    """The events as ``n`` files, written one after another, so that a stream reads them in ``n`` batches."""
+    path, events = f"{scratch_root(spark)}/ripple_events_{uuid.uuid4().hex}", wh.table(spark, d, "events")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    for i in range(n):
+        part = events.filter(F.floor(F.col("event_id") * n / F.lit(most + 1)) == i)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark, d, path):
+    return spark.readStream.schema(wh.table(spark, d, "events").schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+@shared
+def unit_changes(spark, d):
+    """(event files, folder of the unit changes that a stream over them has written)."""
+    spark.conf.set(*state.PROVIDER)
+    path, out = event_files(spark, d), f"{scratch_root(spark)}/ripple_stream_{uuid.uuid4().hex}"
+    ev.run_available(ev.dedupe_stream(feed.to_deliveries(event_stream(spark, d, path))), f"{out}/deliveries", f"{out}/checkpoint_deliveries")
+    fresh = spark.readStream.schema(ev.DELIVERY).parquet(f"{out}/deliveries")
+    parsed = ev.parse_payload(fresh)
+    units = ev.push_units(parsed).unionByName(ev.pull_request_units(parsed))
+    ev.run_available(state.first_units(units), f"{out}/units", f"{out}/checkpoint_units", mode="update")
+    return path, out
+
+
 @query
 def stream_units(spark, d):
-    """Deliveries -> dedupe -> push and pull request units -> one per (repo, base, head), as one streaming query."""
-    out = f"{scratch_root(spark)}/ripple_stream_{uuid.uuid4().hex}"
-    events = spark.readStream.schema(wh.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    fresh = ev.dedupe_stream(feed.to_deliveries(events))
-    parsed = ev.parse_payload(fresh)
-    units = ev.create_or_get_stream(ev.push_units(parsed).unionByName(ev.pull_request_units(parsed)))
-    ev.run_available(units, f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").select("repo_id", "base_sha", "head_sha")
+    """Deliveries -> dedupe -> push and pull request units -> the first one per (repo, base, head), as streams."""
+    _, out = unit_changes(spark, d)
+    rows = state.latest(spark.read.schema(state.FIRST).parquet(f"{out}/units").filter("NOT gone"), "revision")
+    return rows.select("unit_id", "repo_id", "trigger", "pr_number", "base_sha", "head_sha", "delivery_id", clock(F.timestamp_micros("last_us")).alias("last_received"))
+
+
+@query
+def stream_supersede(spark, d):
+    """Streaming twin of supersede: the flag of every unit after the last batch."""
+    _, out = unit_changes(spark, d)
+    changes = spark.readStream.schema(state.FIRST).option("maxFilesPerTrigger", "2").parquet(f"{out}/units")
+    ev.run_available(state.newest_units(changes), f"{out}/flags", f"{out}/checkpoint_flags_{uuid.uuid4().hex}", mode="update")
+    rows = state.latest(spark.read.schema(state.FLAG).parquet(f"{out}/flags"), "revision", "step")
+    return rows.select("unit_id", "repo_id", "base_sha", "head_sha", "superseded")
+
+
+@query
+def stream_await_base(spark, d):
+    """Streaming twin of await_base_graph: units that met their base or ran out of time by the last watermark."""
+    path, out = unit_changes(spark, d)
+    new = spark.readStream.schema(state.FIRST).parquet(f"{out}/units").filter("revision = 1").withColumn("received_at", F.timestamp_micros("received_us"))
+    log = feed.to_version_log(event_stream(spark, d, path))
+    ev.run_available(state.awaited(new, log, "30 minutes"), f"{out}/waits", f"{out}/checkpoint_waits", mode="update")
+    return spark.read.schema(state.OUTCOME).parquet(f"{out}/waits").select("unit_id", "repo_id", "base_sha", "head_sha", "outcome")
 
 
 @query
