@@ -21,6 +21,8 @@ PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ſ]+")
 MEMORY = 150_000
 #: Pre-tokens that are encoded by one call.
 CALL = 50
+#: Marks that are a pre-token of their own after letters.
+MARKS = ".,;:!?)"
 
 
 class Pieces:
@@ -43,32 +45,45 @@ class Pieces:
 
     def encode(self, pretokens: list[str]) -> list[bytes]:
         """The ids of each pre-token, as little-endian integers of ``width``."""
-        out: list[bytes | None] = [None] * len(pretokens)
-        plain = [i for i, p in enumerate(pretokens) if "<|" not in p and PLAIN.fullmatch(p)]
-        groups = [plain[i:i + CALL] for i in range(0, len(plain), CALL)]
-        lines = self.tokenizer.encode_batch_fast([" ".join([pretokens[i] for i in g]) for g in groups], add_special_tokens=False)
-        for g, line in zip(groups, lines):
+        plain = ["<|" not in p and PLAIN.fullmatch(p) is not None for p in pretokens]
+        known = iter(self.encode_plain([p for p, x in zip(pretokens, plain) if x]))
+        rest = iter(self.encode_whole([p for p, x in zip(pretokens, plain) if not x]))
+        return [next(known) if x else next(rest) for x in plain]
+
+    def encode_plain(self, pretokens: list[str]) -> list[bytes]:
+        """The ids of pre-tokens of plain words, many by one call; each ends with a piece that ends a word."""
+        out: list[bytes] = []
+        groups = [pretokens[i:i + CALL] for i in range(0, len(pretokens), CALL)]
+        for g, line in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(line.ids, dtype=self.width)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            if len(cuts) != len(g):
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) != len(g):
                 raise ValueError("a pre-token has no end")
-            for i, end in zip(g, (cuts * size).tolist()):
-                out[i] = raw[start:end]
-                start = end
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, line in zip(rest, self.tokenizer.encode_batch_fast([pretokens[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(line.ids, dtype=self.width).tobytes()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
+    def encode_whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(line.ids, dtype=self.width).tobytes() for line in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def word_ids(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self.ids_of]
         found: dict[str, bytes] = {}
         if new:
-            split = [self.pretokens(w) for w in new]
-            distinct = list({p for x in split for p in x})
-            ids = dict(zip(distinct, self.encode(distinct)))
-            found = {w: b"".join([ids[p] for p in x]) for w, x in zip(new, split)}
+            split, whole = {}, []
+            for w in new:
+                if w.isascii() and w.isalpha():
+                    split[w] = (w.lower(),)
+                elif w.isascii() and w[:-1].isalpha() and w[-1] in MARKS:  # the pattern cuts off the mark
+                    split[w] = (w[:-1].lower(), w[-1])
+                elif "<|" in w or not PLAIN.fullmatch(w):
+                    whole.append(w)
+                else:
+                    split[w] = self.pattern.findall(w.lower())
+            distinct = list({p for x in split.values() for p in x})
+            ids = dict(zip(distinct, self.encode_plain(distinct)))
+            found = dict(zip(whole, self.encode_whole(whole)))
+            found.update({w: ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for w, x in split.items()})
             room = MEMORY - len(self.ids_of)
             for w in new[:max(0, room)]:
                 self.ids_of[w] = found[w]
