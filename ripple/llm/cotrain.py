@@ -68,12 +68,16 @@ def views(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> tuple[np.ndarr
     return np.concatenate([hashed, word], axis=1).astype(np.float32), meta.astype(np.float32)
 
 
+#: Rows of a matrix that the fit copies at a time.
+ROWS = 2048
+
+
 class View:
     """Logistic regression over standardised features, calibrated by a slope and an offset on held-out rows."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray):
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-        self.w = _logistic((x - self.mean) / self.scale, y, 1.0)
+        self.w = _logistic(x, y, 1.0, self.mean, self.scale)
         self.a, self.b = 1.0, 0.0
         if len(set(cy.tolist())) == 2:
             self.a, self.b = _logistic(self.raw(cx)[:, None], cy, 1.0)
@@ -85,13 +89,19 @@ class View:
         return np.clip(self.raw(x) * self.a + self.b, -30, 30)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    x = np.concatenate([x.astype(np.float64), np.ones((len(x), 1))], axis=1)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, mean: np.ndarray | float = 0.0, scale: np.ndarray | float = 1.0) -> np.ndarray:
+    """Newton steps over the standardised columns of ``x`` and an offset; only ``ROWS`` rows at a time are copied."""
+    n = x.shape[1] + 1
+    w, penalty = np.zeros(n), np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(15):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        gradient, hessian = -penalty * w, np.diag(penalty)
+        for a in range(0, len(x), ROWS):
+            part = np.concatenate([(x[a:a + ROWS].astype(np.float64) - mean) / scale, np.ones((len(x[a:a + ROWS]), 1))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient += part.T @ (y[a:a + ROWS] - p)
+            hessian += (part * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(hessian, gradient)
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
