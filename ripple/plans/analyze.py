@@ -35,6 +35,16 @@ def roots_of(changes: DataFrame) -> DataFrame:
                           "signature_compatible")
 
 
+def touched_parse_errors(errors: DataFrame, analyses: DataFrame, touched: DataFrame) -> DataFrame:
+    """(analysis_id, parse_errors): what the extractor could not read in the touched files of each analysis's head version.
+
+    ``errors``: graph_version_id, file_path, message (rows without a file stand for a version without errors); an analysis without any has no row.
+    """
+    per_file = errors.filter("file_path IS NOT NULL").groupBy("graph_version_id", "file_path").agg(F.count("*").alias("n"))
+    head = touched.join(analyses.select("analysis_id", F.col("head_gv").alias("graph_version_id")), "analysis_id")
+    return head.join(per_file, ["graph_version_id", "file_path"]).groupBy("analysis_id").agg(F.sum("n").alias("parse_errors"))
+
+
 class Analysis:
     """Holds the flat parts of a context; every part is keyed by root_id. The base graph is the walked one.
 

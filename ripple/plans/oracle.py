@@ -258,9 +258,10 @@ rates AS (SELECT gv, count(*) FILTER (type = 'unresolved') / count(*) AS unresol
 header AS (SELECT c.root_id, c.repo_id, 'acme' AS owner, n_name AS name, CAST(n_nationkey AS BIGINT) AS pr_number, c.function_key,
     {DISPLAY.format(k='c.function_key')} AS display_name, change_kind, file_path, base_signature, head_signature, return_type_changed, visibility_changed,
     source_diff, coalesce(caller_total, 0) AS caller_total, coalesce(truncated, false) AS truncated, 5 AS max_depth, k.root_id IS NOT NULL AS depth_cap_hit,
-    nodes_visited, round(coalesce(unresolved_rate, 0), 6) AS unresolved_rate, ambiguous_edges_on_path, 0 AS parse_errors
+    nodes_visited, round(coalesce(unresolved_rate, 0), 6) AS unresolved_rate, ambiguous_edges_on_path, coalesce(pe.n, 0) AS parse_errors
   FROM changes c JOIN nation ON c.repo_id = 'r'||n_nationkey LEFT JOIN rates USING (gv) LEFT JOIN totals USING (root_id) LEFT JOIN mdiff m USING (root_id)
-  LEFT JOIN meta USING (root_id) LEFT JOIN ambig USING (root_id) LEFT JOIN capped k USING (root_id))"""
+  LEFT JOIN meta USING (root_id) LEFT JOIN ambig USING (root_id) LEFT JOIN capped k USING (root_id)
+    LEFT JOIN (SELECT t.analysis_id, count(*) AS n FROM touched t JOIN fv_head h USING (analysis_id, file_path) WHERE h.end_line > 50 GROUP BY 1) pe ON pe.analysis_id = c.analysis_id)"""
 ALL_PARTS = (LINES, EB, EH, SB, CHANGES, CALLERS, REV, FWD, META, DATA, AMBIG, HUNKS, METHOD_DIFF, HEADER)
 define("context_objects", "SELECT * FROM header", *ALL_PARTS)
 
@@ -536,6 +537,7 @@ template AS (SELECT h.root_id, h.change_kind, h.visibility_changed,
       c.txt, 'Reachable entrypoints: '||e.txt||'.', 'Data touched: '||d.txt||'.') AS who_is_affected,
     coalesce(nullif(concat_ws(' ', 'New dependencies introduced: '||n.txt||'.', CASE WHEN unresolved_rate > 0.05 THEN 'A notable share of calls in the base graph are unresolved.' END,
       CASE WHEN ambiguous_edges_on_path > 0 THEN ambiguous_edges_on_path||' ambiguous edge(s) lie on the affected path — the true callee could not be narrowed to one candidate.' END,
+      CASE WHEN parse_errors > 0 THEN parse_errors||' touched file(s) had parse errors.' END,
       CASE WHEN depth_cap_hit THEN 'The reverse traversal hit its depth cap — some further-removed effects may be missing.' END), ''), 'No further concerns from the graph.') AS what_to_check
   FROM header h LEFT JOIN t_callers c USING (root_id) LEFT JOIN t_ent e USING (root_id) LEFT JOIN t_data d USING (root_id) LEFT JOIN t_new n USING (root_id))"""
 define("template_sections", "SELECT root_id, what_changed, who_is_affected, what_to_check FROM template", *ALL_PARTS, LISTS, TEMPLATE)

@@ -236,8 +236,11 @@ def whole_analysis(spark, d):
     rates = base.groupBy(F.col("graph_version_id").alias("id")).agg(
         (F.count_if(F.col("type") == "unresolved") / F.count("*"))
         .alias("unresolved_rate"))
+    # The extractor reports an error for every function that ends beyond line 50 (as in response_documents).
+    errors = fl.function_versions("head").filter("end_line > 50").select("graph_version_id", "file_path", F.lit("boom").alias("message"))
+    errors = cut(analyze.touched_parse_errors(errors, fl.analyses, diff.touched_files(fl.name_status)), "parse_errors")
     return analyze.Analysis(fl.analyses, c, base, fl.edges("head"), fl.surfaces("base"),
-                            source_diffs=diff.method_diffs(texts, ranges), versions=rates)
+                            source_diffs=diff.method_diffs(texts, ranges), versions=rates, parse_errors=errors)
 
 
 @shared
