@@ -17,9 +17,9 @@ def extendible_shards(docs: DataFrame, key: str, size: Column, limit: int) -> Da
     bucket that fits. Rows whose keys are equal go on by the md5 of the whole row, and equal rows at last by their
     number, so that a hot key is split too. A row larger than the limit is a shard of its own.
 
-    Null keys hash as one key, null sizes count as 0 bytes, an empty table gives no rows. Returns ``key``, ``depth``
+    Null keys hash as one key, null sizes count as 0 bytes, an empty table gives no rows; other columns only tell rows of one key apart. Returns ``key``, ``depth``
     (bits used), ``shard`` (those bits; hexadecimal, with the row hash and page after dots where they were needed),
-    ``n_bytes``, ``shard_bytes`` and ``shard_rows``.
+    ``n_bytes``, ``shard_bytes`` and ``shard_rows``; a shard is named by ``depth`` and ``shard`` together.
     """
     spark = docs.sparkSession
     k1 = md5_bits(F.col(key).cast("string"))
@@ -87,8 +87,12 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, key: str, path: str) -> None:
-    """Write the rows of ``docs`` (unique in ``key``) with their shard as one folder a shard."""
-    (docs.join(shards.select(key, "shard"), key).repartition("shard").write.partitionBy("shard").parquet(path))
+    """Write the rows of ``docs`` (unique in ``key``) as one folder a shard; bits name a shard only together with their number.
+
+    Rows with a null key have no folder; columns of ``docs`` named ``depth`` or ``shard`` are replaced.
+    """
+    named = docs.drop("depth", "shard").join(shards.select(key, "depth", "shard"), key)
+    named.repartition("depth", "shard").write.partitionBy("depth", "shard").parquet(path)
 
 
 def op4_extendible_sharding(spark, sf_dir):
