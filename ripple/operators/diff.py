@@ -95,21 +95,3 @@ def method_diffs(hunks: DataFrame, ranges: DataFrame, cap: int | None = None) ->
         return out.select(*keys, text(F.col("lines")).alias("source_diff"))
     return out.select(*keys, text(F.slice("lines", 1, cap)).alias("source_diff"),
                       F.coalesce(F.size("lines") > cap, F.lit(False)).alias("source_diff_truncated"))
-
-
-def is_ancestor(commit_parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds ``is_ancestor`` to (repo_id, base_sha, head_sha): base reachable from head over parent links."""
-    from ripple.operators.walk import reachable
-    from ripple.session import cut
-
-    keys = ["repo_id", "base_sha", "head_sha"]
-    # A pair stops walking at its base commit, so each pair visits only what lies between the two.
-    wanted = cut(pairs.select(*keys).distinct(), "pairs")
-    roots = wanted.select(F.to_json(F.struct(*keys)).alias("root_id"), F.col("repo_id").alias("gv"),
-                          F.col("head_sha").alias("node"), F.col("base_sha").alias("stop"))
-    links = commit_parents.select(F.col("repo_id").alias("gv"), F.col("sha").alias("from_node"),
-                                  F.col("parent_sha").alias("to_node"))
-    seen = reachable(roots, links)
-    hit = seen.filter("node = stop").select("root_id").distinct().withColumn("hit", F.lit(True))
-    return (wanted.withColumn("root_id", F.to_json(F.struct(*keys))).join(hit, "root_id", "left")
-            .select(*keys, F.coalesce("hit", F.lit(False)).alias("is_ancestor")))

@@ -247,22 +247,16 @@ def ambiguous_on_path(totals: DataFrame, data: DataFrame, roots: DataFrame) -> D
 
 
 def reachable(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Unbounded closure over links(gv, from_node, to_node): root_id, gv, node, distance [, stop].
+    """Unbounded closure over links(gv, from_node, to_node): root_id, gv, node, distance.
 
-    Runs until no new node appears, one round per unit of distance. With a ``stop`` column in ``roots`` a
-    root leaves the frontier once its stop node was seen.
+    Runs until no new node appears, one round per unit of distance (ancestor tests on long histories: ``ripple.operators.history``).
     """
     hops = salt_hops(links.select("gv", "from_node", "to_node").filter("from_node <> to_node").distinct())
-    extra = ["stop"] if "stop" in roots.columns else []
     state = ["root_id", "gv", "node"]
     seen = Levels(roots.sparkSession, "reach", "distance")
-    level = seen.append(roots.select(*state, *extra).distinct())
+    level = seen.append(roots.select(*state).distinct())
     while not level.isEmpty():
-        frontier = level
-        if extra:
-            done = frontier.filter("node = stop").select("root_id", "gv").distinct()
-            frontier = frontier.join(done, ["root_id", "gv"], "left_anti")
-        grown = expand(frontier, hops).select("root_id", "gv", F.col("to_node").alias("node"), *extra).distinct()
+        grown = expand(level, hops).select("root_id", "gv", F.col("to_node").alias("node")).distinct()
         level = seen.append(grown.join(seen.all().select(*state), state, "left_anti"))
     return seen.all()
 

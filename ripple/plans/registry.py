@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ripple.functions import canonical, keys, text, trust
-from ripple.operators import (calls, declarations, diagnostics, diff, entry_rules, explain, grounding, repository_rules, serve,
+from ripple.operators import (calls, declarations, diagnostics, diff, entry_rules, explain, grounding, history, repository_rules, serve,
                               walk)
 from ripple.plans import analyze, index
 from ripple.schema import DEPTH_CAP, REVERSE_TYPES
@@ -222,7 +222,7 @@ def diff_hunks(spark, d):
 @query
 def is_ancestor(spark, d):
     """Is the commit of order k div 4 an ancestor of order k? Histories branch and merge."""
-    return diff.is_ancestor(*wh.commit_history(spark, d))
+    return history.is_ancestor(*wh.commit_history(spark, d))
 
 
 @shared

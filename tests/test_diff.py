@@ -50,10 +50,3 @@ def test_method_diffs(spark):
 def test_hunk_at_text_start(spark):
     t = spark.createDataFrame([("a", "f", "@@ -1 +1 @@\n-x")], "analysis_id string, file_path string, text string")
     assert rowset(diff.diff_hunks(t), "hunk_no", "old_start", "old_end") == [(0, None, None), (1, 1, 1)]
-
-
-def test_is_ancestor(spark):
-    parents = spark.createDataFrame([("r", "d", "c"), ("r", "c", "b"), ("r", "b", "a"), ("r", "d", "x"), ("q", "b", "a")], "repo_id string, sha string, parent_sha string")
-    pairs = spark.createDataFrame([("r", "a", "d"), ("r", "x", "c"), ("r", "x", "d"), ("r", "d", "a"), ("r", "b", "b"), ("q", "c", "d")], "repo_id string, base_sha string, head_sha string")
-    assert rowset(diff.is_ancestor(parents, pairs), "repo_id", "base_sha", "head_sha", "is_ancestor") == [
-        ("q", "c", "d", False), ("r", "a", "d", True), ("r", "b", "b", True), ("r", "d", "a", False), ("r", "x", "c", False), ("r", "x", "d", True)]
