@@ -600,8 +600,22 @@ define("node_lookups", """SELECT 'function' AS what, f.gv AS graph_version_id, f
   UNION ALL SELECT 'surface', s.gv, key, kind FROM surf_base s SEMI JOIN edges_base e ON e.gv = s.gv AND e.src = s.key AND e.type IN ('handles','triggers')""", LINES, EB, SB, CHANGES)
 
 # --- snapshots and data quality ------------------------------------------------------------------------------------------
-define("unique_key_report", """SELECT 'edges' AS table_name, gv||'|'||src||'|'||dst||'|'||type AS key, count(*) AS n FROM raw_base GROUP BY 2 HAVING count(*) > 1
-  UNION ALL SELECT 'deliveries', 'd'||CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END, count(*) FROM events GROUP BY 2 HAVING count(*) > 1""", LINES, EB)
+UNIQUE = f"""
+raw_surf AS (SELECT repo_id||':base' AS gv, {NODE} AS key FROM li WHERE in_base AND is_lead AND o_orderpriority <> '5-LOW'
+  UNION ALL SELECT repo_id||':base', 'entity:com.acme.S'||l_suppkey FROM li JOIN supplier ON l_suppkey = s_suppkey WHERE in_base AND is_lead AND l_returnflag <> 'N'
+  UNION ALL SELECT repo_id||':base', 'table:nation_'||s_nationkey FROM li JOIN supplier ON l_suppkey = s_suppkey WHERE in_base AND is_lead AND l_returnflag <> 'N' AND s_acctbal > 0),
+both_fv AS (SELECT repo_id, function_key FROM fv_base UNION ALL SELECT repo_id, function_key FROM fv_head),
+uniques AS (SELECT 'edges' AS table_name, concat_ws('|', gv, src, dst, type) AS key FROM raw_base
+  UNION ALL SELECT 'surfaces', concat_ws('|', gv, key) FROM raw_surf
+  UNION ALL SELECT 'function_versions', concat_ws('|', repo_id||':base', function_key) FROM both_fv
+  UNION ALL SELECT 'functions', concat_ws('|', repo_id, function_key) FROM both_fv
+  UNION ALL SELECT 'graph_versions', concat_ws('|', repo_id, sha, 'branch') FROM vlog
+  UNION ALL SELECT 'analyses', concat_ws('|', repo_id, base_sha, head_sha) FROM units
+  UNION ALL SELECT 'repos', concat_ws('|', 'github', c_nationkey) FROM customer
+  UNION ALL SELECT 'installations', CAST(user_id % 40 AS VARCHAR) FROM events
+  UNION ALL SELECT 'explanations', concat_ws('|', sha256(text), 'v1', lang) FROM documents
+  UNION ALL SELECT 'deliveries', id FROM d0)"""
+define("unique_key_report", "SELECT table_name, key, count(*) AS n FROM uniques GROUP BY ALL HAVING count(*) > 1", LINES, EB, CHANGES, DEL, VLOG, UNIQUE)
 define("dangling_edges", """SELECT gv AS graph_version_id, side, key, count(*) AS n FROM (SELECT gv, 'src' AS side, src AS key FROM edges_base UNION ALL SELECT gv, 'dst', dst FROM edges_base) e
   WHERE key NOT LIKE 'unresolved:%' AND NOT EXISTS (SELECT 1 FROM fv_base f WHERE f.gv = e.gv AND f.function_key = e.key) AND NOT EXISTS (SELECT 1 FROM surf_base s WHERE s.gv = e.gv AND s.key = e.key)
   GROUP BY 1, 2, 3""", LINES, EB, SB, CHANGES)

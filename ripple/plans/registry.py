@@ -644,9 +644,17 @@ def node_lookups(spark, d):
 
 @query
 def unique_key_report(spark, d):
+    """All ten keys, over rows as they come before they are collapsed, merged or deduplicated; each table holds violations."""
     fl = fleet(spark, d)
+    versions = fl.function_versions("base").unionByName(fl.function_versions("head"))  # both snapshots taken for one
     return diagnostics.unique_key_report({
-        "edges": fl.raw_edges("base"), "function_versions": fl.function_versions("base"), "deliveries": feed.deliveries(spark, d)})
+        "edges": fl.raw_edges("base"), "surfaces": wh.raw_surfaces(spark, d, fl.lines, "base"),
+        "function_versions": versions.withColumn("graph_version_id", F.concat("repo_id", F.lit(":base"))),
+        "functions": versions.select("repo_id", F.col("function_key").alias("key")),
+        "graph_versions": feed.version_log(spark, d), "analyses": ev.analysis_units(parsed_events(spark, d)),
+        "repos": wh.table(spark, d, "customer").select(F.lit("github").alias("provider"), F.col("c_nationkey").alias("github_repo_id")),
+        "installations": wh.table(spark, d, "events").select((F.col("user_id") % 40).alias("github_installation_id")),
+        "explanations": documents_as_explanations(spark, d), "deliveries": feed.deliveries(spark, d)}).select("table_name", "key", *big("n"))
 
 
 @query
