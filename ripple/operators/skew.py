@@ -14,17 +14,35 @@ def group_hashed(df: DataFrame, *keys: str):
     return df.groupBy(F.xxhash64(*keys).alias("_h"), *keys)
 
 
+def _pieces(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows in pieces of one total order by (keys, order), each sorted and written; ``_row`` grows along a piece without gaps."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    return cut(parted.withColumns({"_piece": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "pieces")
+
+
+def _before(pieces: DataFrame, keys: list[str], size) -> DataFrame:
+    """One row per group and piece: the first ``_row`` of the group there, and what the pieces before it hold of the group."""
+    earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    return (pieces.groupBy(*keys, "_piece").agg(F.min("_row").alias("_first"), size.alias("_n"))
+            .select(*keys, "_piece", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
     """Exact 1-based position of each row in its group, without gathering a group in one task.
 
-    Rows are range-partitioned by (keys, order), so a hot group spans many partitions; each piece is
-    numbered on its own and shifted by the sizes of the pieces before it.
+    Rows are range-partitioned by (keys, order), so a hot group spans many pieces; within a piece the rows of a group follow one another,
+    so a position is a difference of row numbers. The rows themselves are shuffled once: what is joined to them is one row per group and piece.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = cut(df.repartitionByRange(n, *keys, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
-    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    sizes = (pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-             .select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    local = pieces.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order)))
-    return (local.join(sizes, [*keys, "_piece"]).withColumn(name, F.col("_rn") + F.col("_before"))
-            .drop("_piece", "_rn", "_before"))
+    pieces = _pieces(df, keys, order)
+    return (pieces.join(_before(pieces, keys, F.count("*")), [*keys, "_piece"])
+            .withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + 1).drop("_piece", "_row", "_first", "_before"))
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Sum of ``amount`` over the rows that come before each row in its group, in pieces as ``rank_within``; a window spans one piece at most."""
+    pieces = _pieces(df, keys, order)
+    upto = W.partitionBy(*keys, "_piece").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    local = pieces.withColumn("_sum", F.coalesce(F.sum(amount).over(upto), F.lit(0)))
+    return (local.join(_before(pieces, keys, F.sum(amount)), [*keys, "_piece"])
+            .withColumn(name, F.col("_sum") + F.col("_before")).drop("_piece", "_row", "_first", "_before", "_sum"))

@@ -566,6 +566,36 @@ def renamed(sql):
     return sql
 
 
+PARTS = f"""
+terms AS (SELECT root_id, string_agg(token, ', ' ORDER BY place, token) AS terms FROM (
+  SELECT root_id, token, min(struct_pack(a := section, b := stage, c := pos)) AS place FROM bad GROUP BY 1, 2) GROUP BY 1),
+parts AS (SELECT root_id, 0 AS part, 0 AS pos, '' AS k1, '' AS k2, concat_ws(chr(10)||chr(10), 'Explain the change.',
+    'These terms are not in the context object and must not appear again: '||terms, 'prompt version: v1', 'Context object:'||chr(10)||'{{"schema_version":1,"repo":'||
+    to_json({{'owner': owner, 'name': name, 'pr_number': pr_number}})||',"changed_method":'||to_json({{'key': function_key, 'display_name': display_name,
+    'change_kind': change_kind, 'file_path': file_path, 'signature_diff': {{'base': base_signature, 'head': head_signature, 'return_type_changed': return_type_changed,
+    'params_changed': false, 'throws_added': []::VARCHAR[], 'visibility_changed': visibility_changed}}, 'source_diff': source_diff}})||',"affected_by":{{"direct_callers":[') AS text
+    FROM header LEFT JOIN terms USING (root_id)
+  UNION ALL SELECT root_id, 1, position, '', '', CASE WHEN position = 1 THEN '' ELSE ',' END||to_json({{'position': position, 'key': key, 'display_name': display_name, 'hops': hops,
+    'file_path': file_path, 'line': line, 'usage': usage, 'signature_compatible': signature_compatible, 'confidence': confidence, 'inferred': inferred}}) FROM crank
+  UNION ALL SELECT root_id, 2, 0, '', '', '],"direct_caller_total":'||caller_total||',"direct_callers_truncated":'||truncated||',"reachable_surfaces":{{"entrypoints":[' FROM header
+  UNION ALL SELECT root_id, 3, 0, key, kind, CASE WHEN row_number() OVER (PARTITION BY root_id ORDER BY key, kind) = 1 THEN '' ELSE ',' END||
+    to_json({{'key': key, 'kind': kind, 'min_hops': min_hops, 'via_inferred_edge': via_inferred_edge}}) FROM ent
+  UNION ALL SELECT root_id, 4, 0, '', '', '],"data":[' FROM header
+  UNION ALL SELECT root_id, 5, 0, key, kind, CASE WHEN row_number() OVER (PARTITION BY root_id ORDER BY key, kind) = 1 THEN '' ELSE ',' END||
+    to_json({{'key': key, 'kind': kind, 'access': access, 'via_inferred_edge': via_inferred_edge, 'confidence': confidence}}) FROM data
+  UNION ALL SELECT root_id, 6, 0, '', '', ']}},"traversal":'||to_json({{'max_depth': max_depth, 'depth_cap_hit': depth_cap_hit, 'nodes_visited': nodes_visited}})||'}},"now_depends_on":{{"callees":['
+    FROM header
+  UNION ALL SELECT root_id, 7, 0, key, type, CASE WHEN row_number() OVER (PARTITION BY root_id ORDER BY key, type) = 1 THEN '' ELSE ',' END||
+    to_json({{'key': key, 'type': type, 'display_name': display_name, 'is_new': is_new, 'confidence': confidence, 'inferred': inferred}}) FROM callees
+  UNION ALL SELECT h.root_id, 8, 0, '', '', ']}},"change_history":{{"commits":[],"truncated_at_rename":false}},"quality":'||to_json({{'unresolved_rate': coalesce(r.unresolved_rate, 0::DOUBLE),
+    'ambiguous_edges_on_path': h.ambiguous_edges_on_path, 'parse_errors_in_touched_files': h.parse_errors}})||'}}' FROM header h JOIN changes c USING (root_id) LEFT JOIN rates r USING (gv))"""
+PROMPTS = (*ALL_PARTS, LISTS, SYMS, TEMPLATE, bad(1), PARTS)
+define("prompt_rows", "SELECT root_id, string_agg(text, '' ORDER BY part, pos, k1, k2) AS prompt FROM parts GROUP BY 1", *PROMPTS)
+define("prompt_chunks", """SELECT root_id, chunk, string_agg(text, '' ORDER BY part, pos, k1, k2) AS text FROM (
+  SELECT *, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY root_id ORDER BY part, pos, k1, k2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 2000 AS chunk FROM parts)
+  GROUP BY 1, 2""", *PROMPTS)
+
+
 TRIES = """
 tries AS (SELECT t.root_id, t.change_kind, v1 IS NULL AS c1, v2 IS NULL AS c2, coalesce(v2, 0) AS v2, what_changed, t.who_is_affected, what_to_check, p1.extra AS e1, p2.extra AS e2
   FROM template t JOIN (SELECT root_id, extra FROM planted) p1 USING (root_id) JOIN (SELECT root_id, extra FROM planted_2) p2 USING (root_id)

@@ -6,8 +6,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ripple.functions import canonical, keys, text, trust
-from ripple.operators import (calls, declarations, diagnostics, diff, entry_rules, explain, grounding, history, repository_rules, serve,
-                              walk)
+from ripple.operators import (calls, declarations, diagnostics, diff, entry_rules, explain, grounding, history, reports, repository_rules,
+                              serve, walk)
 from ripple.plans import analyze, index
 from ripple.schema import DEPTH_CAP, REVERSE_TYPES
 from ripple.session import cut, scratch_root, spread
@@ -596,6 +596,13 @@ def prompt_rows(spark, d):
     return explain.prompt_rows(contexts, "v1", ["Explain the change."], all_violations(spark, d))
 
 
+@query
+def prompt_chunks(spark, d):
+    """The same request texts as ordered chunks of some 2,000 bytes, made without a row that holds a whole report."""
+    rows = reports.prompt_chunks(whole_analysis(spark, d), "v1", ["Explain the change."], all_violations(spark, d), 2000)
+    return rows.select("root_id", "chunk", "text")
+
+
 def stored_analyses(spark, d):
     """One stored analysis per order; its changed functions are the parts of the order, in line order."""
     li = wh.table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln"))
