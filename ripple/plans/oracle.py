@@ -700,6 +700,26 @@ define("quarantined_documents", """SELECT gv||'|'||file_path AS request_id, CASE
 define("retention_applied", """SELECT x.name, gv AS graph_version_id, count(*) AS n FROM (
   SELECT 'function_versions' AS name, gv FROM docs WHERE NOT broken UNION ALL SELECT unnest(['edges', 'edges_by_dst']), gv FROM docs WHERE NOT broken
   UNION ALL SELECT 'surfaces', gv FROM surf_base UNION ALL SELECT 'surfaces', gv FROM surf_head) x JOIN ended USING (gv) WHERE status IN ('ready', 'superseded') GROUP BY 1, 2""", *RUN_PARTS)
+EXPORTED = """
+lines AS (SELECT name, gv, line, row_number() OVER (PARTITION BY name, gv ORDER BY k1, k2, k3, line) - 1 AS line_no FROM (
+  SELECT 'functions' AS name, gv, function_key AS k1, '' AS k2, '' AS k3, to_json({'annotations': []::VARCHAR[], 'body_hash': body_hash, 'end_line': end_line, 'file_path': file_path,
+    'function_key': function_key, 'graph_version_id': gv, 'is_abstract': false, 'is_interface_method': false, 'modifiers': CASE WHEN others = '' THEN [vis] ELSE [vis, 'final'] END,
+    'param_names': ['id'], 'repo_id': repo_id, 'return_type': return_type, 'sha': repo_id||'-base', 'start_line': start_line})::VARCHAR AS line FROM fv_base
+  UNION ALL SELECT 'surfaces', gv, key, '', '', to_json({'attrs': map_from_entries(list_transform(string_split(attrs, ';'), lambda a: {'k': split_part(a, '=', 1), 'v': split_part(a, '=', 2)})),
+    'graph_version_id': gv, 'key': key, 'kind': kind, 'repo_id': repo_id})::VARCHAR FROM surf_base
+  UNION ALL SELECT 'edges', gv, src, dst, type, to_json({'call_sites': list_transform(string_split(call_sites, ';'), lambda s: {'file_path': split_part(s, ':', 1), 'line': CAST(split_part(s, ':', 2) AS INT)}),
+    'confidence': confidence, 'dst': dst, 'graph_version_id': gv, 'inferred': inferred, 'reason': reason, 'repo_id': repo_id, 'src': src, 'type': type})::VARCHAR FROM edges_base)),
+files AS (SELECT name, gv, line_no // 200 AS file, count(*) AS n, sha256(string_agg(sha256(line), '' ORDER BY line_no)) AS digest FROM lines GROUP BY 1, 2, 3),
+""" + ",\n".join(f"fold{i} AS (SELECT name, gv, file // 8 AS file, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY file)) AS digest, {depth} AS depth FROM {of} GROUP BY 1, 2, 3)"
+                 for i, of, depth in ((1, "files", 1), (2, "fold1", 2), (3, "fold2", 3), (4, "fold3", 4)))
+define("canonical_export", """SELECT name, gv AS graph_version_id, file, n AS rows, digest FROM files UNION ALL
+  SELECT name, gv, NULL, CAST(n AS BIGINT), digest FROM (SELECT *, min(depth) FILTER (whole) OVER (PARTITION BY name) AS d FROM (
+    SELECT *, max(file) OVER (PARTITION BY name, depth) = 0 AS whole FROM (SELECT * FROM fold1 UNION ALL SELECT * FROM fold2 UNION ALL SELECT * FROM fold3 UNION ALL SELECT * FROM fold4)))
+  WHERE depth = d""", LINES, EB, SB, fv("base"), EXPORTED)
+SQL["source_scan"] = r"""SELECT repo_id, 'head' AS sha, root||'/h'||(page_id % 17)||'/p'||page_id||'.java' AS path, size, root,
+  CASE WHEN root LIKE 'target%' THEN 'solver_only' ELSE 'extraction' END AS root_kind FROM (
+  SELECT 'r'||(page_id % 5) AS repo_id, page_id, strlen(html) AS size, CASE page_id % 4 WHEN 0 THEN 'src/main/java' WHEN 1 THEN 'src/test/java'
+    WHEN 2 THEN 'target/gen/src/main/java' ELSE 'mod/src/main/java' END AS root FROM pages WHERE page_id % 6 <> 5)"""
 FILES = r"""
 pf0 AS (SELECT 'r'||(page_id % 5) AS repo_id, 'head' AS sha, CASE page_id % 4 WHEN 0 THEN 'src/main/java' WHEN 1 THEN 'src/test/java' WHEN 2 THEN 'target/gen/src/main/java' ELSE 'mod/src/main/java' END AS root,
   page_id % 4 IN (0, 3) AS extraction, page_id % 6 <> 5 OR url LIKE '%.java' AS is_java,

@@ -877,6 +877,20 @@ def retention_applied(spark, d):
     return reduce(DataFrame.unionByName, parts).select("name", "graph_version_id", "n")
 
 
+@query
+def canonical_export(spark, d):
+    """Functions, surfaces and edges of every base version exported in files of 200 lines: a row per file, and one per version without a file number."""
+    fl, path = fleet(spark, d), f"{scratch_root(spark)}/ripple_export_{uuid.uuid4().hex}"
+    tables = {"functions": (fl.function_versions("base"), ["function_key"]), "surfaces": (fl.surfaces("base"), ["key"]),
+              "edges": (fl.base_edges, ["src", "dst", "type"])}
+    parts = []
+    for name, (rows, order) in tables.items():
+        files = cut(store.canonical_export(rows, order, f"{path}/{name}", 200), "digests")
+        roots = store.export_roots(files, 8).withColumn("file", F.lit(None).cast("long"))
+        parts += [x.select(F.lit(name).alias("name"), "graph_version_id", *big("file", "rows"), "digest") for x in (files, roots)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def page_files(spark, d):
     """Web page addresses read as source paths."""
     p = wh.table(spark, d, "pages")
@@ -890,6 +904,19 @@ def source_roots(spark, d):
     return src.classify_roots(page_files(spark, d), include_tests=True)
 
 
+@query
+def source_scan(spark, d):
+    """Web pages written as files of five checkouts, found again by listing all of them at once, with the kind of their roots."""
+    top = f"{scratch_root(spark)}/ripple_checkouts_{uuid.uuid4().hex}"
+    p = wh.table(spark, d, "pages").selectExpr("concat('r', page_id % 5) AS repo_id", "html AS text", """concat(
+        CASE page_id % 4 WHEN 0 THEN 'src/main/java/' WHEN 1 THEN 'src/test/java/' WHEN 2 THEN 'target/gen/src/main/java/' ELSE 'mod/src/main/java/' END,
+        'h', page_id % 17, '/p', page_id, if(page_id % 6 = 5, '.txt', '.java')) AS path""")
+    root = F.concat(F.lit(top + "/"), "repo_id")
+    src.write_checkouts(spread(p).withColumn("root", root))
+    found = src.scan_checkouts(p.select("repo_id", F.lit("head").alias("sha"), root.alias("root")).distinct())
+    return src.with_root(found, include_tests=True).select("repo_id", "sha", "path", "size", "root", "root_kind")
+
+
 @query
 def java_files_gate(spark, d):
     """Extraction lists narrowed to the listed .example.com files, with the size ceiling at 5 files."""

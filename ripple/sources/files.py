@@ -1,8 +1,13 @@
 """Source files, roots and extraction scope, over a table of paths."""
 
+import os
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ripple.schema import MAX_FILES
+from ripple.session import Levels
 
 # Build output directories (their roots resolve but are never extracted) and root suffixes.
 BUILD_OUTPUT_DIRS = ["target", "build", "out", "bin", "node_modules", ".git", ".gradle", ".mvn"]
@@ -18,6 +23,70 @@ def scan_source_files(spark: SparkSession, root: str, repo_id: str, sha: str) ->
                         local.substr(F.lit(len(root.rstrip("/")) + 2), F.length("path")).alias("path"), "size")
 
 
+FOUND = "repo_id string, sha string, root string, path string, size long, is_dir boolean"
+#: Rows of one batch of a listing.
+BATCH = 10_000
+
+
+def file_system(uri: str):
+    """(file system, path below it) of a plain path or a URI; s3a and s3n are read as s3."""
+    scheme, _, rest = uri.partition("://") if "://" in uri else ("", "", uri.removeprefix("file:"))
+    if scheme in ("", "file"):
+        return pa.fs.LocalFileSystem(), rest
+    return pa.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
+def _listing(batches):
+    """The entries of each directory (repo_id, sha, root, path), one level deep; links to directories are not followed."""
+    for batch in batches:
+        for d in batch.to_pylist():
+            fs, at = file_system(f"{d['root'].rstrip('/')}/{d['path']}".rstrip("/"))
+            local = isinstance(fs, pa.fs.LocalFileSystem)
+            found = fs.get_file_info(pa.fs.FileSelector(at, allow_not_found=True))
+            for k in range(0, len(found), BATCH):
+                part = [x for x in found[k:k + BATCH] if not (local and x.type == pa.fs.FileType.Directory and os.path.islink(x.path))]
+                n = len(part)
+                names = [f"{d['path']}/{x.base_name}".lstrip("/") for x in part]
+                dirs = [x.type == pa.fs.FileType.Directory for x in part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d["repo_id"]] * n, pa.string()), pa.array([d["sha"]] * n, pa.string()), pa.array([d["root"]] * n, pa.string()),
+                     pa.array(names, pa.string()), pa.array([None if y else x.size for x, y in zip(part, dirs)], pa.int64()), pa.array(dirs, pa.bool_())],
+                    names=["repo_id", "sha", "root", "path", "size", "is_dir"])
+
+
+def scan_checkouts(checkouts: DataFrame) -> DataFrame:
+    """(repo_id, sha, path, size) of the source files below many checkouts (repo_id, sha, root).
+
+    One round per level of directories, all checkouts at once; a task lists single directories, so neither the driver nor a task holds a whole tree, and
+    a lost executor costs the directories it was listing. A root that does not exist or is null has no files; repeated rows are read once.
+    """
+    spark = checkouts.sparkSession
+    n, levels = int(spark.conf.get("spark.sql.shuffle.partitions")), Levels(spark, "scan", "depth")
+    level = levels.append(checkouts.filter("root IS NOT NULL").select("repo_id", "sha", "root", F.lit("").alias("path"), F.lit(None).cast("long").alias("size"),
+                                                                      F.lit(True).alias("is_dir")).distinct())
+    while True:
+        dirs = level.filter("is_dir")
+        if dirs.isEmpty():
+            return levels.all().filter("NOT is_dir AND path LIKE '%.java'").select("repo_id", "sha", "path", "size")
+        level = levels.append(dirs.select("repo_id", "sha", "root", "path").repartition(n, "repo_id", "root", "path").mapInArrow(_listing, FOUND))
+
+
+def _written(batches):
+    for batch in batches:
+        for x in batch.to_pylist():
+            fs, at = file_system(f"{x['root'].rstrip('/')}/{x['path']}")
+            fs.create_dir(os.path.dirname(at), recursive=True)
+            with fs.open_output_stream(at) as out:
+                out.write((x["text"] or "").encode())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+
+def write_checkouts(files: DataFrame) -> int:
+    """Write (root, path, text) as files, each by the task that holds it; returns how many. A null text becomes an empty file."""
+    counted = files.select("root", "path", "text").mapInArrow(_written, "n long")
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def root_of(path, include_tests: bool = False):
     """Source root of a file: the path up to and including src/main/java (or src/test/java on request)."""
     tail = f"(?:{MAIN_ROOT}|{TEST_ROOT})" if include_tests else MAIN_ROOT
