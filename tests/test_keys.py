@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ripple.functions import canonical, keys, text, trust
+from ripple.operators import grounding
 
 
 def ev(spark, values, *cols, schema="x string"):
@@ -66,3 +67,10 @@ def test_deep_paths_and_generics(spark):
     df = spark.createDataFrame(rows, "path string, t string")
     got = [tuple(r) for r in df.select(normalise_path(F.col("path")), erase_type_text(F.col("t"))).collect()]
     assert got == [("src/main/java/A.java", "Outer.Inner"), ("../../a/C.java", "Map[]"), ("a/b/C.java", "java.lang.Object"), ("/y.java", "int")]
+
+
+def test_keys_are_parsed_once(spark):
+    """Names of a key come from one parse, however many there are."""
+    df = spark.range(1).selectExpr("concat('fn:a.B#m(x.Y[],', id, ')') AS key").select(grounding.key_symbols(F.col("key")).alias("s"))
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("regexp_extract(") <= 3
+    assert df.first().s == ["a.B", "B", "m", "B.m(Y[], 0)", "x.Y[]", "0", "Y[]", "0"]
