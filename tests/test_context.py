@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from helpers import edge, edges, surfaces
+from helpers import edge, edges, rowset, surfaces
 
 from ripple.operators import explain, grounding
 from ripple.plans import analyze
@@ -96,3 +96,18 @@ def test_attempts_cache_and_prompt(spark, analysis):
     prompt = explain.prompt_rows(ctx, "v1", ["one", "two"], token).first().prompt
     assert prompt.startswith("one\n\ntwo\n\nThese terms") and "again: x.y\n\nprompt version: v1\n\nContext object:\n" in prompt
     assert json.loads(prompt.split("Context object:\n")[1])["schema_version"] == 1
+
+
+def test_candidates_work_each_text_out_once(spark):
+    """Each blanked text is made once, however many patterns look at it; texts without a mark of a pattern, null and empty ones included."""
+    rows = spark.createDataFrame([(1, "see a/B.java then a.B.c(x) and GET /x_y/z, some_name 12 a_1.b 3x x3 _4 5_"), (2, "plain words"), (3, None), (4, "")], "id int, text string")
+    got = grounding.candidates(rows)
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("regexp_replace") == 3
+    assert rowset(got, "stage", "pos", "token") == sorted([("file", 0, "a/B.java"), ("call", 0, "a.B.c(x)"), ("route", 0, "GET /x_y/z"), ("dotted", 0, "a_1.b"), ("snake", 0, "some_name"),
+                                                           ("snake", 1, "a_1"), ("number", 0, "12")], key=str)
+
+
+def test_attempts_share_equal_sections(spark):
+    texts = explain.attempt_texts(spark.sql("""SELECT 'r' AS root_id, named_struct('what_changed', 'a', 'who_is_affected', 'b', 'what_to_check', cast(null AS string)) AS s1,
+        named_struct('what_changed', 'a', 'who_is_affected', 'c', 'what_to_check', cast(null AS string)) AS s2"""), ["s1", "s2"])
+    assert rowset(texts, "text_id", "section", "text") == [("1", "who_is_affected", "b"), ("1,2", "what_changed", "a"), ("1,2", "what_to_check", None), ("2", "who_is_affected", "c")]
