@@ -10,6 +10,8 @@ from ripple.session import Levels, cut
 
 #: Positions of a chain whose outgoing links share a join key.
 BLOCK = 1024
+#: Peeling goes on while a round leaves at most this share of the links.
+SHRINK = 0.75
 
 
 def _first_parents(links: DataFrame) -> DataFrame:
@@ -63,11 +65,31 @@ def chain_labels(links: DataFrame) -> DataFrame:
                        F.when(F.col("open"), F.lit(0).cast("long")).otherwise(F.col("position")).alias("position"))
 
 
+def peel(links: DataFrame) -> tuple[DataFrame, int]:
+    """links(gv, from_node, to_node) -> (gv, node, top) of every commit with a child, and the last round.
+
+    A round takes away the commits without children; ``top`` is the round that a commit was still there after (0: it has no row), which is its longest
+    distance from any head. So what a commit reaches has a larger top, or that of the last round. Rounds end when they no longer take much away (long lines,
+    rings), so that all of them together cost a few times the first.
+    """
+    seen, last = Levels(links.sparkSession, "peel", "top"), 0
+    rest, left = links.select("gv", "from_node", "to_node"), links.count()
+    while True:
+        there = seen.append(rest.select("gv", F.col("to_node").alias("node")).distinct())
+        rest = cut(rest.join(there.withColumnRenamed("node", "from_node"), ["gv", "from_node"], "left_semi"), "peeled")
+        before, left = left, rest.count()
+        if left == 0 or left > SHRINK * before:
+            break
+        last += 1
+    return seen.all().groupBy("gv", "node").agg((F.max("top") + 1).alias("top")), last + 1
+
+
 def is_ancestor(commit_parents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds ``is_ancestor`` to the distinct (repo_id, base_sha, head_sha): base reachable from head over parent links, or equal to it.
 
     commit_parents(repo_id, sha, parent_sha [, ordinal]). A pair holds the highest position it reaches on each chain; a round takes all links that
-    leave the newly reached stretches, so its number is that of chains on the way, not of commits. A pair ends once its base is covered.
+    leave the newly reached stretches, so its number is that of chains on the way, not of commits. A pair ends once its base is covered, and does not follow
+    what cannot reach its base by the rounds of ``peel``.
     Commits without a row are known to nobody and reach nothing; null shas link with nothing; repeated rows count once.
     """
     keys = ["repo_id", "base_sha", "head_sha"]
@@ -75,19 +97,26 @@ def is_ancestor(commit_parents: DataFrame, pairs: DataFrame) -> DataFrame:
     order = [c for c in ["ordinal"] if c in commit_parents.columns]
     links = cut(commit_parents.join(wanted.select("repo_id").distinct(), "repo_id", "left_semi").filter("sha <> parent_sha")
                 .select(F.col("repo_id").alias("gv"), F.col("sha").alias("from_node"), F.col("parent_sha").alias("to_node"), *order).distinct(), "links")
-    labels = cut(chain_labels(links), "labels")
+    tops, last = peel(links)
+    labels = cut(chain_labels(links).join(tops, ["gv", "node"], "left").fillna(0, "top"), "labels")
 
     def end(side):
-        return labels.select("gv", F.col("node").alias(f"{side}_node"), F.col("chain").alias(f"{side}_chain"), F.col("position").alias(f"{side}_position"))
+        return labels.select("gv", F.col("node").alias(f"{side}_node"), F.col("chain").alias(f"{side}_chain"), F.col("position").alias(f"{side}_position"),
+                             F.col("top").alias(f"{side}_top"))
 
     # Links down the same chain are what positions say already.
     cross = (links.select("gv", "from_node", "to_node").join(end("from"), ["gv", "from_node"]).join(end("to"), ["gv", "to_node"])
              .filter("from_chain <> to_chain or to_position > from_position"))
-    cross = cut(cross.groupBy("gv", F.col("from_chain").alias("chain"), "from_position", "to_chain").agg(F.max("to_position").alias("to_position"))
+    # Along a chain the top falls with the position, so the smallest belongs to the highest.
+    cross = cut(cross.groupBy("gv", F.col("from_chain").alias("chain"), "from_position", "to_chain").agg(F.max("to_position").alias("to_position"), F.min("to_top").alias("to_top"))
                 .withColumn("block", F.floor(F.col("from_position") / BLOCK)), "cross")
-    goal, state = ["base_chain", "base_position"], ["pair", "gv", "chain"]
+    goal, state = ["base_chain", "base_position", "base_top"], ["pair", "gv", "chain"]
+
+    def may_reach(chain, position, top):
+        return f"base_top >= least({top} + 1, {last}) or ({chain} = base_chain and {position} >= base_position)"
+
     starts = (wanted.filter("base_sha <> head_sha").select("pair", F.col("repo_id").alias("gv"), F.col("base_sha").alias("base_node"), F.col("head_sha").alias("from_node"))
-              .join(end("base"), ["gv", "base_node"]).join(end("from"), ["gv", "from_node"])
+              .join(end("base"), ["gv", "base_node"]).join(end("from"), ["gv", "from_node"]).filter(may_reach("from_chain", "from_position", "from_top"))
               .select("pair", "gv", F.col("from_chain").alias("chain"), F.col("from_position").alias("position"), *goal, F.lit(-1).cast("long").alias("low")))
     met = "chain = base_chain and position >= base_position"
     seen = Levels(wanted.sparkSession, "ancestors", "round")
@@ -96,7 +125,7 @@ def is_ancestor(commit_parents: DataFrame, pairs: DataFrame) -> DataFrame:
         # Every row of a level comes from a pair that was open before, so only the level itself can have closed it.
         open_rows = level.join(level.filter(met).select("pair").distinct(), "pair", "left_anti")
         probe = open_rows.withColumn("block", F.explode(F.sequence(F.floor(F.greatest("low", F.lit(0)) / BLOCK), F.floor(F.col("position") / BLOCK))))
-        grown = (probe.join(cross, ["gv", "chain", "block"]).filter("from_position > low and from_position <= position")
+        grown = (probe.join(cross, ["gv", "chain", "block"]).filter("from_position > low and from_position <= position").filter(may_reach("to_chain", "to_position", "to_top"))
                  .groupBy("pair", "gv", F.col("to_chain").alias("chain")).agg(F.max("to_position").alias("position"), *[F.first(c).alias(c) for c in goal]))
         known = seen.all().groupBy(*state).agg(F.max("position").alias("known"))
         level = seen.append(grown.join(known, state, "left").filter("known is null or position > known")

@@ -82,3 +82,23 @@ def test_long_line_in_few_rounds(spark, monkeypatch):
         ("0", "9999", True), ("9999", "0", False), ("s100", "9000", True), ("s150", "9000", False), ("s8000", "8019", False), ("s8000", "8020", True), ("17", "s9950", True)], key=str)
     assert steps.count("sizes") <= 16 and steps.count("chains") <= 16
     assert time.time() - start < 60
+
+
+def test_pairs_do_not_visit_what_cannot_reach_their_base(spark, monkeypatch):
+    """Commit k has the parents k div 2 and k div 3; most bases are no ancestors, and a whole closure holds dozens of commits."""
+    n, kept = 3000, {}
+    links = [("r", str(k), str(p)) for k in range(1, n) for p in {k // 2, k // 3}]
+    heads = range(1, n, 7)
+    reached = {}
+    for k in range(n):
+        reached[k] = {k}.union(*(reached[p] for p in ({k // 2, k // 3} if k else ())))
+    want = {("r", str(b), str(k)): b in reached[k] for k in heads for b in {k // 5, k // 4}}
+    real = history.Levels
+
+    def levels(spark, name, number):
+        kept[name] = real(spark, name, number)
+        return kept[name]
+
+    monkeypatch.setattr(history, "Levels", levels)
+    assert ask(spark, links, list(want)) == want
+    assert kept["ancestors"].all().count() < 5 * len(want)
