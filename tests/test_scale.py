@@ -5,9 +5,9 @@ from helpers import edge, edges, fn
 from pyspark.sql import functions as F
 
 from ripple.operators import collapse, walk
-from ripple.plans import registry
+from ripple.plans import index, registry
 from ripple.session import cut
-from ripple.sources import warehouse as wh
+from ripple.sources import code_facts as cf, warehouse as wh
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,3 +68,14 @@ def test_levels_do_not_shuffle_the_hops(spark):
 
 def test_lines_are_shuffled_once_for_their_lead(spark):
     assert plan_of(wh.lines(spark, SMALL)).count("lineitem.parquet") == 1
+
+
+def test_graph_surfaces_read_no_call_sites(spark, monkeypatch):
+    """Routes, jobs, listeners and entities come from declarations; call sites are neither bound nor collapsed for them."""
+    steps, real = [], index.cut
+    monkeypatch.setattr(index, "cut", lambda df, name: (steps.append(name), real(df, name))[1])
+    graph = index.build_graph(cf.all_facts(spark, SMALL))
+    assert graph.surfaces.count() > 0
+    assert sorted(steps) == ["declared", "functions", "types"]
+    graph.edges
+    assert sorted(steps) == ["classified", "declared", "functions", "literal", "types"]
