@@ -4,7 +4,7 @@ import pytest
 from helpers import rowset
 from pyspark.sql import functions as F
 
-from ripple.operators import calls, declarations
+from ripple.operators import calls, declarations, walk
 from ripple.plans import index
 
 SITE = ("gv string, file_path string, line int, col int, target_kind string, is_bound boolean, resolved_file string, resolved_line int, resolved_col int, "
@@ -51,3 +51,13 @@ def test_rules_of_paths_are_not_applied_to_every_site(spark):
     assert rowset(got, "line", "outcome", "dst", "index_miss") == [
         (50, "calls", "fn:a.A#late()", False), (50, "calls", None, True), (51, "calls", "fn:a.A#late()", False),
         (52, "unresolved", "unresolved:#late", False), (53, "unresolved", "unresolved:a.A#none", False)]
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_small_and_large_levels_reach_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(walk, "FEW", few)
+    links = spark.createDataFrame([("g", a, b) for a, b in ["ab", "ab", "bc", "ca", "cd", "dd", "de", "ae", "xy"]], "gv string, from_node string, to_node string")
+    roots = spark.createDataFrame([("1", "g", "a"), ("2", "g", "c"), ("2", "g", "x")], "root_id string, gv string, node string")
+    assert rowset(walk.reachable(roots, links), "root_id", "node", "distance") == [
+        ("1", "a", 0), ("1", "b", 1), ("1", "c", 2), ("1", "d", 3), ("1", "e", 1),
+        ("2", "a", 1), ("2", "b", 2), ("2", "c", 0), ("2", "d", 1), ("2", "e", 2), ("2", "x", 0), ("2", "y", 1)]
