@@ -13,7 +13,8 @@ SEED = 23
 BLOCK = 4096
 #: Low bits of a MinHash value by which the index is looked up first.
 LOW = 16
-PIECE = 4 << 20
+#: Bytes of text that are worked on at a time.
+PIECE = 1 << 20
 
 
 class ItemIndex:
@@ -35,6 +36,7 @@ class ItemIndex:
             least = np.array([[(self.sets[i] * m).min() for m in a] for i in who], dtype=np.uint64)
             coarse = np.zeros((N, 1 << LOW), dtype=bool)
             coarse[np.tile(np.arange(N), len(who)), (least & np.uint64((1 << LOW) - 1)).astype(np.int64).ravel()] = True
+            coarse = np.packbits(coarse, axis=1, bitorder="little")  # every worker holds its own copy
             exact = []
             for j in range(N):
                 order = np.argsort(least[:, j], kind="stable")
@@ -72,7 +74,8 @@ class ItemIndex:
                 same = owner[1:] == owner[:-1]
                 window[:-1][same] = np.minimum(least[:-1], least[1:])[same]
                 coarse, exact = self.by_class[k]
-                hit = np.flatnonzero(coarse[j][(window & np.uint64((1 << LOW) - 1)).astype(np.int64)])
+                low = (window & np.uint64((1 << LOW) - 1)).astype(np.int64)
+                hit = np.flatnonzero((coarse[j][low >> 3] >> (low & 7).astype(np.uint8)) & 1)
                 values, who = exact[j]
                 lo, hi = np.searchsorted(values, window[hit]), np.searchsorted(values, window[hit], side="right")
                 some = hi > lo

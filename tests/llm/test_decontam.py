@@ -34,3 +34,10 @@ def test_against_brute_force(spark, monkeypatch):
     dirty = {w[0] for w in want}
     assert clean.columns == frame.columns and clean.count() == sum(str(k) not in dirty for k, *_ in docs)
     assert decontam.contained_items(frame, table.limit(0)).collect() == [] and decontam.clean_documents(frame.limit(0), table).collect() == []
+
+
+def test_index_of_a_block_is_small():
+    """Every Python worker holds a copy, beside what earlier stages left there."""
+    import pickle
+    index = decontam.ItemIndex([1, 2, 3], ["a b c d e f", " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(900))])
+    assert len(index.by_class) == 3 and len(pickle.dumps(index)) < 2 << 20
