@@ -4,7 +4,7 @@ from helpers import edge, edges, fn
 
 from pyspark.sql import functions as F
 
-from ripple.operators import collapse, walk
+from ripple.operators import collapse, skew, walk
 from ripple.plans import index, registry
 from ripple.session import cut
 from ripple.sources import code_facts as cf, warehouse as wh
@@ -79,3 +79,20 @@ def test_graph_surfaces_read_no_call_sites(spark, monkeypatch):
     assert sorted(steps) == ["declared", "functions", "types"]
     graph.edges
     assert sorted(steps) == ["classified", "declared", "functions", "literal", "types"]
+
+
+def test_caller_totals_store_only_what_is_near(spark, monkeypatch):
+    """Neither a ranking nor the edges of the whole base are stored for counts of callers."""
+    registry.forget()
+    steps, real = [], wh.cut
+    noted = lambda df, name="step", *a: (steps.append(name), real(df, name, *a))[1]
+    for module in (wh, walk, registry, collapse, skew):
+        monkeypatch.setattr(module, "cut", noted)
+    got = unordered(registry.direct_caller_totals(spark, SMALL))
+    assert sorted(steps) == ["callers", "lines", "near_calls", "near_lines", "near_parts", "repeats", "roots", "touched"]
+    fl = registry.fleet(spark, SMALL)
+    _, totals = walk.direct_callers(registry.changed_roots(fl), fl.base_edges)
+    assert got == unordered(totals.select("root_id", *registry.big("caller_total", "ambiguous_callers"), "truncated")) and got
+    files = registry.touched(spark, SMALL)
+    assert fl.near_calls("base", files).count() < fl.base_edges.filter("type IN ('calls', 'implements', 'overrides')").count()
+    registry.forget()

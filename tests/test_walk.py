@@ -126,3 +126,15 @@ def test_callers_of_a_hub_are_numbered_in_pieces(spark, monkeypatch):
     got = ranked.orderBy("position").collect()
     assert [(r.position, r.key) for r in got] == [(i + 1, fn(f"u{i:04}", "User")) for i in range(2000)]
     assert stored[0].select("_piece").distinct().count() > 1
+
+
+def test_counts_of_callers_without_their_paths(spark):
+    r = random.Random(11)
+    names = [fn(f"n{i}") for i in range(30)]
+    trust, kinds = ["exact", "single_impl", "regex", "ambiguous", "ambiguous", "odd", None], ["calls", "implements", "overrides", "queries"]
+    graph = edges(spark, [edge(r.choice(names), r.choice(names), r.choice(kinds), r.random() < 0.5, r.choice(trust)) for _ in range(150)]).persist()
+    # a root with several start nodes, one that nobody calls, and one of another version
+    starts = roots(spark, [(f"r{i % 7}", "g", n, True) for i, n in enumerate(names[:12])] + [("none", "g", fn("alone"), True), ("other", "h", names[0], True)])
+    want = walk.caller_totals(walk.all_callers(starts, graph))
+    got = walk.count_callers(starts, graph)
+    assert got.columns == want.columns and rowset(got, *got.columns) == rowset(want, *want.columns) and got.count() == 7
