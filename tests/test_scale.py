@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ripple.operators import collapse, skew, walk
 from ripple.plans import index, registry
 from ripple.session import cut
-from ripple.sources import code_facts as cf, warehouse as wh
+from ripple.sources import code_facts as cf, warehouse as wh, wire
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -96,3 +96,33 @@ def test_caller_totals_store_only_what_is_near(spark, monkeypatch):
     files = registry.touched(spark, SMALL)
     assert fl.near_calls("base", files).count() < fl.base_edges.filter("type IN ('calls', 'implements', 'overrides')").count()
     registry.forget()
+
+
+def test_documents_are_read_in_one_pass(spark, tmp_path):
+    """Functions, edges, errors and surfaces of a document are the joined tables of wire, without a join, a shuffle or a stored copy."""
+    import json
+    fn_ = lambda n: {"key": f"k{n}", "bodyHash": f"h{n}", "endLine": n}
+    edge_ = lambda n: {"from": "a", "to": "b", "reason": f"why{n}", "callSites": [{"filePath": "f", "line": n}]}
+    docs = [{"requestId": "many", "sha": "s", "functions": [fn_(1), fn_(2), None], "edges": [edge_(1), edge_(2)], "diagnostics": {"parseErrors": [{"message": "x"}, {"message": "y"}], "unresolvedRate": 0.5}},
+            {"requestId": "clean", "functions": [fn_(3)], "edges": [edge_(3)], "surfaces": [{"key": "s", "kind": "table", "attrs": {"a": "b"}}]},
+            {"requestId": "no edges", "functions": [fn_(4)], "edges": [], "diagnostics": {"parseErrors": [{"message": "z"}]}},
+            {"requestId": "no functions", "edges": [edge_(5)]}, {"requestId": "only", "surfaces": [{"key": "t", "kind": "entity"}]}, {"sha": "no id", "functions": [fn_(6)], "edges": [edge_(6)]}]
+    (tmp_path / "docs.json").write_text("\n".join(map(json.dumps, docs)) + "\n{\"requestId\": \"cut\", \"functions\": [{\n")
+    r = wire.accepted(wire.read_parse_responses(spark, str(tmp_path), multi_line=False, stored=False))
+    rows = wire.report_rows(r)
+    assert "Exchange" not in plan_of(rows) and "Join" not in plan_of(rows) and "FileScan json" in plan_of(rows)
+    f, e, p, s = wire.function_versions_of(r), wire.edges_of(r), wire.parse_errors_of(r), wire.snapshot_stats(r)
+    key = "graph_version_id"
+    want = f.select(key, "sha", "function_key").join(e.select(key, "reason", "call_sites"), key).join(s.select(key, "functions", "edges", "surfaces", "parse_errors", "unresolved_rate"), key).join(p.select(key, "message"), key)
+    got = rows.filter("is_f").select(key, "sha", "f.key", "e.reason", wire.sites_of(F.col("e")), "n_functions", "n_edges", "n_surfaces", "n_parse_errors", "unresolved_rate", "p.message")
+    plain = lambda df: sorted(str(tuple(x)) for x in df.collect())
+    assert plain(got) == plain(want) and want.count() == 13
+    assert plain(rows.filter("NOT is_f").select(key, "s.key", "s.kind", "s.attrs")) == plain(wire.surfaces_of(r).select(key, "key", "kind", "attrs"))
+    assert rows.count() == 15
+
+
+def test_ingest_stores_no_responses(spark, monkeypatch):
+    steps, real = [], wire.cut
+    monkeypatch.setattr(wire, "cut", lambda df, name: (steps.append(name), real(df, name))[1])
+    found = registry.ingest_parse_responses(spark, SMALL)
+    assert steps == [] and "Exchange" not in plan_of(found) and found.count() > 0
