@@ -9,6 +9,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from ripple.llm.common import word_codes, words_of
@@ -17,12 +18,15 @@ from ripple.llm.common import word_codes, words_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose case folding and normal form change nothing but ASCII and Latin letters one by one.
 PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ſ]+")
+#: Plain words of letters alone (``isalpha`` knows other categories than the pattern does).
+LETTERS = regex.compile(r"[\p{L}]+")
 #: Words remembered by a Python worker at most; others are counted again in their next batch.
-MEMORY = 150_000
+MEMORY = 250_000
 #: Pre-tokens that are encoded by one call.
 CALL = 50
-#: Marks that are a pre-token of their own after letters.
-MARKS = ".,;:!?)"
+#: A plain word, for Arrow, and one whose last sign is a mark after a letter: the pattern cuts that mark off, whatever is before it.
+PLAIN_WORD = r"\A[\x21-\x7E¡-įı-ſ]+\z"
+MARKED = r"\pL[.,;:!?)]\z"
 
 
 class Pieces:
@@ -67,6 +71,7 @@ class Pieces:
         return [np.array(line.ids, dtype=self.width).tobytes() for line in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; of those in lower case, letters alone are one pre-token."""
         new = [w for w in words if w not in self.ids_of]
         found: dict[str, bytes] = {}
         if new:
@@ -74,10 +79,10 @@ class Pieces:
             for w in new:
                 if w.isascii() and w.isalpha():
                     split[w] = (w.lower(),)
-                elif w.isascii() and w[:-1].isalpha() and w[-1] in MARKS:  # the pattern cuts off the mark
-                    split[w] = (w[:-1].lower(), w[-1])
                 elif "<|" in w or not PLAIN.fullmatch(w):
                     whole.append(w)
+                elif w.isalpha() and LETTERS.fullmatch(w):
+                    split[w] = (w.lower(),)
                 else:
                     split[w] = self.pattern.findall(w.lower())
             distinct = list({p for x in split.values() for p in x})
@@ -105,14 +110,34 @@ def gather(values: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[
 
 
 
+def bare_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Plain words in lower case without the mark at their end, all others as they are; and where a mark was cut off."""
+    plain = pc.and_(pc.match_substring_regex(words, PLAIN_WORD), pc.invert(pc.match_substring(words, "<|")))
+    lower = pc.if_else(plain, pc.utf8_lower(words), words)
+    marked = pc.and_(plain, pc.match_substring_regex(words, MARKED))
+    return pc.if_else(marked, pc.utf8_slice_codeunits(lower, 0, -1), lower), np.asarray(marked)
+
+
 def encode_texts(p: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch of whole texts, and the offsets of each text in them."""
+    """All ids of a batch of whole texts, and the offsets of each text in them.
+
+    Words that differ in case or in a mark at the end are encoded once.
+    """
     flat, offsets = words_of(texts, lower=False)
     codes, distinct = word_codes(flat)
-    ids = p.word_ids(distinct.to_pylist())
+    bare, marked = bare_words(distinct)
+    marks = pc.utf8_slice_codeunits(distinct.filter(pa.array(marked)), -1)
+    # one part a word, and its mark after it
+    own = np.arange(len(marked)) + np.cumsum(marked) - marked
+    numbers, names = word_codes(pa.concat_arrays([bare, marks.cast(bare.type)]))
+    parts = np.empty(len(numbers), dtype=np.int64)
+    parts[own] = numbers[:len(own)]
+    parts[own[marked] + 1] = numbers[len(own):]
+    ids = p.word_ids(names.to_pylist())
     values = np.frombuffer(b"".join(ids), dtype=p.width)
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))]) // np.dtype(p.width).itemsize
-    all_ids, word_offsets = gather(values, starts, codes)
+    values, starts = gather(values, starts, parts)
+    all_ids, word_offsets = gather(values, starts[np.append(own, len(parts))], codes)
     return all_ids, word_offsets[offsets]
 
 

@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from ripple.llm import pieces
 from ripple.llm.token_counts import token_counts
 from ripple.llm.token_store import EliasFano, TokenFile, read_tokens, write_tokens
 
@@ -71,3 +73,16 @@ def test_elias_fano(values):
     assert [e.select(i) for i in range(len(values))] == values
     if len(values) == 5000:
         assert len(raw) < 8 * len(values) / 4
+
+
+def test_words_that_differ_in_case_or_a_final_mark_are_encoded_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, p, asked = Tokenizer.from_file(path), pieces.Pieces(path), []
+    monkeypatch.setattr(p, "word_ids", lambda words, real=p.word_ids: (asked.extend(words), real(words))[1])
+    pieces.encode_texts(p, pa.array(["Word word WORD, word. wOrd!", None, "wörd; WÖRD)"]))
+    assert sorted(asked) == ["!", ")", ",", ".", ";", "word", "wörd"]
+    odd = ["It's, IT'S. 's! a,, b., 7, x7. é, É) ª, ª. µ; Ÿ, ÿ. Ŀ, ŀ. ŉ? ſ! İ, ı. ×, ÷. Ø, a\u0301, \u00a0, word\u00a0, x\u0085, 東, Ω. <|x, a<|endoftext|>, <|endoftext|>. ,", "", " ", "a-b, a_b. A!B! (a) ñ)) ß, ẞ. ,a a,"]
+    ids, offsets = pieces.encode_texts(p, pa.array(odd))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
+    none, offsets = pieces.encode_texts(p, pa.array(["", None], pa.string()))
+    assert len(none) == 0 and offsets.tolist() == [0, 0, 0]
