@@ -70,6 +70,17 @@ def _keys(classes: DataFrame) -> DataFrame:
     return rows.select("cls", "k", F.xxhash64(F.col("k"), F.expr(rest)).alias("bucket"))
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """``cls, k, bucket, n`` of the buckets that several classes share.
+
+    Spark sizes an exploded side by what it was exploded from, many times too low, and would collect it on the driver to broadcast it;
+    so both sides are shuffled whatever it thinks.
+    """
+    keys = _keys(classes)
+    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.join(shared.hint("merge"), "bucket")
+
+
 def _sigs(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u2").reshape(len(batch), N)
 
@@ -190,9 +201,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = cut(signatures(docs, "_key", "_text", size), "signatures")
     classes = rows.where("digest is not null and _key is not null").groupBy("digest").agg(F.min("_key").alias("first"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # stored, so the numbers stay
-    keys = _keys(classes)
-    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(keys.join(shared, "bucket"), "buckets")
+    members = cut(_members(classes), "buckets")
     involved = cut(members.select("cls").distinct().join(classes.select("cls", "first", "digest", "sig"), "cls"), "involved")
     sets = cut(shingle_sets(docs.join(send(involved.select("cls", "first", "digest"), 64), F.col("_key") == F.col("first")), "_text", size), "sets")
     sigs = involved.select("cls", "sig")

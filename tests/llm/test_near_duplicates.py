@@ -49,3 +49,14 @@ def test_edges(spark):
     twice = hamming.near_duplicates(frame(spark, [(5, "p q r s"), (5, "p q r s"), (5, "k l m n"), (None, "p q r s"), (6, "K l m N")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in twice) == [("5", "5", True)] * 3 + [("6", "5", False), ("None", "None", True)]
     assert hamming.near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_exploded_keys_are_not_collected_for_a_broadcast(spark, tmp_path):
+    """A signature has fifty keys, which Spark takes for one row: at this size it would broadcast them all."""
+    rows = [(i, bytes([i % 7]) * (2 * hamming.N)) for i in range(40)]
+    spark.createDataFrame(rows, "cls long, sig binary").write.parquet(str(tmp_path / "classes"))
+    members = hamming._members(spark.read.parquet(str(tmp_path / "classes")))
+    members.collect()
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in members.groupBy("cls").count().collect()} == {(i, hamming.N) for i in range(40)}
