@@ -126,3 +126,53 @@ def test_ingest_stores_no_responses(spark, monkeypatch):
     monkeypatch.setattr(wire, "cut", lambda df, name: (steps.append(name), real(df, name))[1])
     found = registry.ingest_parse_responses(spark, SMALL)
     assert steps == [] and "Exchange" not in plan_of(found) and found.count() > 0
+
+
+def few_lines(spark):
+    """Lines of two repositories with parts without a number or a verb, repeats, and orders of every priority."""
+    rows, n = [], 0
+    for repo in ("r1", "r2", None):
+        for order in range(12):
+            for line, part in enumerate([order % 5 - 2, order % 4, None, 7]):
+                n += 1
+                rows.append((order // 2, part, order % 3, line, float(n % 7), float(n % 11), 0.01 * (n % 10), 0.08, "NRA"[n % 3], "OF"[n % 2], None, repo, None,
+                             ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", None][order // 2], n % 4 != 0, n % 3 != 0, line == order % 4, [order % 5 - 2, None, 7][order % 3]))
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                               "l_returnflag string, l_linestatus string, l_shipdate timestamp, repo_id string, o_orderdate timestamp, o_orderpriority string, in_base boolean, in_head boolean, "
+                               "is_lead boolean, lead_part long")
+    return cut(li, "few_lines")
+
+
+def test_repeats_are_counted_by_numbers(spark):
+    """What is counted instead of the texts of an identity is equal wherever they are."""
+    li = few_lines(spark)
+    raw = wh.line_edges(li, "base").unionByName(wh.order_edges(li, "base"))
+    for rows, keys in ((raw, collapse.EDGE), (wh.counted_surfaces(spark, SMALL, li, "base")[0], collapse.SURFACE)):
+        assert rows.groupBy(*keys).agg(F.countDistinct("identity").alias("n")).filter("n > 1").isEmpty()
+        assert rows.select("identity").distinct().count() > 0.9 * rows.select(*keys).distinct().count()  # nulls are not hashed
+        assert "part.P" not in plan_of(rows.select("identity"))
+    assert unordered(collapse.collapse_edges(raw, few_repeats=True)) == unordered(collapse.collapse_edges(raw.drop("identity")))
+    entry, stored = wh.raw_surfaces(spark, SMALL, li, "base")
+    assert entry.columns == stored.columns
+
+
+def test_contexts_make_only_edges_and_diffs_of_touched_files(spark, monkeypatch):
+    li = few_lines(spark)
+    fl = wh.Fleet(spark, SMALL)
+    fl.__dict__["lines"] = li
+    files = spark.createDataFrame([("a:r1", "src/main/java/com/acme/P2.java"), ("a:r2", "src/main/java/com/acme/P-2.java"), ("a:r2", "src/main/java/com/acme/P7.java")], "analysis_id string, file_path string")
+    mine = wh.files_parts(files).select("repo_id", wh.part_key(F.col("l_partkey")).alias("src")).filter("src IS NOT NULL")
+    raw = wh.line_edges(li, "head").unionByName(wh.order_edges(li, "head"))
+    whole = collapse.collapse_edges(raw).join(mine, ["repo_id", "src"], "left_semi")
+    found = fl.edges_from("head", files).filter("src IS NOT NULL")
+    assert unordered(found.select(*whole.columns)) == unordered(whole) and whole.count() > 0
+    assert unordered(fl.diff_texts_of(files)) == unordered(fl.diff_texts.join(files, ["analysis_id", "file_path"], "left_semi").select("analysis_id", "file_path", "text"))
+
+
+def test_numbers_are_asked_for_without_symbols(spark, monkeypatch):
+    registry.forget()
+    steps, real = [], registry.cut
+    monkeypatch.setattr(registry, "cut", lambda df, name="step", *a: (steps.append(name), real(df, name, *a))[1])
+    assert registry.number_allowlist(spark, SMALL).count() > 0
+    assert "numbers" in steps and "symbols" not in steps
+    registry.forget()
