@@ -176,3 +176,12 @@ def test_numbers_are_asked_for_without_symbols(spark, monkeypatch):
     assert registry.number_allowlist(spark, SMALL).count() > 0
     assert "numbers" in steps and "symbols" not in steps
     registry.forget()
+
+
+def test_documents_are_looked_at_without_an_index_run(spark, monkeypatch):
+    """Counts and broken documents come from the documents alone; no snapshot is written for them."""
+    registry.forget()
+    monkeypatch.setattr(index, "run_index", None)
+    stats, broken = registry.index_stats(spark, SMALL), registry.quarantined_documents(spark, SMALL)
+    assert stats.filter("functions > 0").count() > 0 and broken.filter("error = 'not valid JSON'").count() > 0
+    registry.forget()
